@@ -15,12 +15,12 @@ from gridloom.llm.common import slices, texts_of
 
 
 class _Names(dict):
-    """64-bit names of words, remembered up to a bound."""
+    """64-bit names of words; the first 150,000 words met are remembered (frequent ones are met early)."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 1_000_000:
-            self.clear()
-        h = self[word] = xxhash.xxh64_intdigest(word, 1)
+        h = xxhash.xxh64_intdigest(word, 1)
+        if len(self) < 150_000:
+            self[word] = h
         return h
 
 
@@ -31,10 +31,11 @@ class _Chunk:
     """Rolling blocks of all documents of a chunk, laid one after the other."""
 
     def __init__(self, ids: list, raws: list[bytes], block: int) -> None:
-        words = [r.split() for r in raws]
-        self.count = np.array([len(w) for w in words], dtype=np.int64)
+        each = [np.fromiter(map(_names.__getitem__, w), np.uint64, len(w)) for w in map(bytes.split, raws)]
+        self.count = np.array([len(x) for x in each], dtype=np.int64)
         self.doc = np.array([R.NO_ID if i is None else i for i in ids], dtype=np.int64)
-        names = np.fromiter((h for w in words for h in map(_names.__getitem__, w)), np.uint64, int(self.count.sum()))
+        names = np.concatenate(each)
+        del each
         self.start = np.cumsum(self.count) - self.count
         self.pos = np.arange(len(names)) - np.repeat(self.start, self.count)
         self.left = np.repeat(self.count, self.count) - self.pos  # words from here to the end of the document
@@ -74,7 +75,7 @@ def _windows(c: _Chunk, s: np.ndarray, window: int, block: int) -> tuple[np.ndar
     return k1, k2, c.doc[c.owner[s]], c.pos[s]
 
 
-def dedup_words(docs: DataFrame, window: int = 20, id_col: str = "doc_id", text_col: str = "text", chunk_bytes: int = 4_000_000) -> DataFrame:
+def dedup_words(docs: DataFrame, window: int = 20, id_col: str = "doc_id", text_col: str = "text", chunk_bytes: int = 2_500_000) -> DataFrame:
     """One row for each document: doc_id, n_words, removed (maximal removed word ranges) and kept (words left, joined
     by one space).
 
