@@ -152,7 +152,7 @@ def corpus_counts(docs: DataFrame, held_mod: int, held_rest: int, classes: ByteC
                 if len(words) > flush:
                     yield rows(words, none, none)
                     words.clear()
-            size = np.cumsum([len(t) + 1 for t in learn]) // 4_000_000 if learn else []
+            size = np.cumsum([len(t) + 1 for t in learn]) // 1_000_000 if learn else []
             for part in np.unique(size):
                 code, _, _ = codes_of([t for t, s in zip(learn, size, strict=True) if s == part], classes)
                 if leaves is None:
@@ -240,7 +240,7 @@ def score_documents(docs: DataFrame, held_mod: int = 7, held_rest: int = 2, head
         for batch in batches:
             ids, raws = batch.column(0).to_pylist(), [t.lower() for t in as_bytes(batch.column(1))]
             held = [c % held_mod == held_rest for c in crc_of(ids)]
-            size = np.cumsum([len(t) + 1 for t in raws]) // 4_000_000
+            size = np.cumsum([len(t) + 1 for t in raws]) // 1_000_000
             for part in np.unique(size):
                 at = np.flatnonzero(size == part)
                 texts = [raws[i] for i in at]
