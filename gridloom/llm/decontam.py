@@ -119,7 +119,7 @@ def _finder(blocks: list[list[tuple]], window: int):
                 merged = runs(row[1])
                 hit.append(sum(e - s for s, e in merged))
                 if merged:
-                    at = [m.span() for m in _WORD.finditer(raw.decode())]
+                    at = [m.span() for m in _WORD.finditer(raw.lower().decode())]  # bytes.lower() touches A-Z only
                     spans.append([{"start": at[s][0], "end": at[e - 1][1]} for s, e in merged])
                 else:
                     spans.append([])

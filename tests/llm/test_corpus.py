@@ -187,7 +187,7 @@ def test_segments_hysteresis():
 
 @pytest.mark.parametrize("block_chars", [4_000_000, 50])
 def test_decontamination(spark, docs, block_chars):
-    bench = [(k, "".join(x)) for k, x in enumerate(["one two", "x", "", "Tie!"])] + [(90, None), (None, "tie"), (7, "one two")]
+    bench = [(k, "".join(x)) for k, x in enumerate(["one two", "x", "", "Tie!", "A B"])] + [(90, None), (None, "tie"), (7, "one two")]
     bench += [(1000 + r.item_id, r.text) for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()]
     got = decontam.digest(decontam.find_contamination(docs, spark.createDataFrame(bench, "item_id long, text string"), block_chars=block_chars)).collect()
     pattern, want = re.compile("[^\x00-\x2f\x3a-\x60\x7b-\x7f]+"), []
@@ -207,6 +207,10 @@ def test_decontamination(spark, docs, block_chars):
         items.discard(None)
         want.append((i, len(w), len(hit), len(items), sha(",".join(sorted(map(str, items))).encode()), bool(hit)))
     same(got, want)
+    texts = Counter((i, t) for i, t, _ in rows_of(docs))
+    for r in decontam.find_contamination(docs, spark.createDataFrame(bench, "item_id long, text string"), block_chars=block_chars).collect():
+        own = [t for i, t in texts if i == r.doc_id]
+        assert any(sum(len(pattern.findall(lower(t[a:b]))) for a, b in r.spans) == r.n_hit for t in own if t) or not r.spans
     assert decontam.drop_contaminated(docs, spark.createDataFrame(bench, "item_id long, text string")).count() == sum(not x[5] for x in want)
 
 
