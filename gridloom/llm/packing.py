@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import string
 from collections import deque
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -11,38 +12,76 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridloom.llm.common import as_bytes, texts_of
+from gridloom.llm.common import as_bytes, slices, texts_of
 
 _encoders: dict = {}
+_MARKS = string.punctuation.encode()
 
 
-class WordEncoder:
-    """Ids of a text as little-endian uint32 bytes. Only for vocabularies whose splits never cross or see white
-    space, such as the default one: then each white-space word is encoded once and remembered."""
+class _Ids(dict):
+    """Ids of words met early, and of the words at hand beyond them."""
 
-    def __init__(self, path: str, most: int = 300_000):
-        from tokenizers import Tokenizer
+    extra: dict = {}
+
+    def __missing__(self, word: bytes) -> bytes:
+        return self.extra[word]
 
-        self.tokenizer, self.most, self.known = Tokenizer.from_file(path), most, {}
 
-    def learn(self, words: set[bytes]) -> None:
-        if len(self.known) + len(words) > self.most:
-            self.known.clear()
-        new = [w for w in words if w not in self.known]
-        for w, e in zip(new, self.tokenizer.encode_batch([w.decode() for w in new], add_special_tokens=False), strict=True):
-            self.known[w] = np.array(e.ids, dtype="<u4").tobytes()
+class WordEncoder:
+    """Ids of texts as little-endian uint32 bytes. Only for vocabularies like the default one: lower case, splits that
+    never cross white space, every run of letters a unit whose last token ends a word. Distinct words are encoded, not
+    their occurrences; the first `most` are remembered."""
+
+    def __init__(self, path: str, most: int = 600_000):
+        from tokenizers import Tokenizer
 
-    def __call__(self, raw: bytes) -> bytes:
-        words = raw.split()
-        try:
-            return b"".join(map(self.known.__getitem__, words))
-        except KeyError:
-            out = []
-            for a in range(0, len(words), 50_000):
-                part = words[a : a + 50_000]
-                self.learn(set(part))
-                out.append(b"".join(map(self.known.__getitem__, part)))
-            return b"".join(out)
+        self.tokenizer, self.most, self.known = Tokenizer.from_file(path), most, _Ids()
+        vocabulary = self.tokenizer.get_vocab()
+        self.ends = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
+        self.ends[[k for t, k in vocabulary.items() if t.endswith("</w>")]] = True
+
+    def _one(self, text: str) -> bytes:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
+
+    def _letters(self, words: list[bytes]) -> dict[bytes, bytes]:
+        """Ids of words of letters only, many in one call; the tokens that end a word tell them apart."""
+        out = {}
+        for a in range(0, len(words), 500):
+            part = words[a : a + 500]
+            ids = np.array(self.tokenizer.encode(b" ".join(part).decode(), add_special_tokens=False).ids, dtype="<u4")
+            cuts = np.flatnonzero(self.ends[ids]) + 1
+            if len(cuts) == len(part):
+                raw = ids.tobytes()
+                for w, s, e in zip(part, [0, *cuts[:-1].tolist()], cuts.tolist(), strict=True):
+                    out[w] = raw[4 * s : 4 * e]
+            else:
+                out |= {w: self._one(w.decode()) for w in part}
+        return out
+
+    def _learn(self, words: set[bytes]) -> dict[bytes, bytes]:
+        """Ids of words; one that ends in ASCII punctuation after an ASCII letter takes the ids of these two parts."""
+        parts = {}
+        for w in words:
+            stem = w.rstrip(_MARKS)
+            if stem != w and (stem[-1:].isalpha() or not stem):
+                parts[w] = (stem, w[len(stem) :])
+        need = {x for p in parts.values() for x in p if x and x not in self.known} | {w for w in words if w not in parts}
+        letters = [w for w in need if w.isalpha() or w.decode().isalpha()]
+        new = self._letters(letters)
+        new |= {w: self._one(w.decode()) for w in need.difference(letters)}
+        of = lambda x: b"" if not x else new[x] if x in new else self.known[x]
+        return new | {w: of(stem) + of(end) for w, (stem, end) in parts.items()}
+
+    def __call__(self, raws: list[bytes]) -> list[bytes]:
+        # a special token's text stands for itself, in its own case
+        split = [None if b"<|" in r else r.lower().split() for r in raws]
+        known = self.known
+        new = self._learn({w for w in set().union(*(w for w in split if w)) if w not in known})
+        if len(known) + len(new) <= self.most:
+            known.update(new)
+        else:
+            known.extra = new
+        return [self._one(r.decode()) if w is None else b"".join(map(known.__getitem__, w)) for r, w in zip(raws, split, strict=True)]
 
 
 def encoder(path: str) -> WordEncoder:
@@ -188,12 +227,14 @@ def pack_documents(docs: DataFrame, tokenizer: str, end_id: int = 2, tiers: tupl
             held = 0
 
         for batch in batches:
-            for i, raw in zip(batch.column(0).to_pylist(), as_bytes(batch.column(1)), strict=True):
-                ids.append(i)
-                tokens.append(encode(raw) + end)
-                held += len(tokens[-1]) // 4
-                if held >= buffer_tokens:
-                    yield from flush()
+            names, raws = batch.column(0).to_pylist(), as_bytes(batch.column(1))
+            for a, b in slices([len(r) for r in raws], 200_000):
+                for i, made in zip(names[a:b], encode(raws[a:b]), strict=True):
+                    ids.append(i)
+                    tokens.append(made + end)
+                    held += len(tokens[-1]) // 4
+                    if held >= buffer_tokens:
+                        yield from flush()
         if ids:
             yield from flush()
 
