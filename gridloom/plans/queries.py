@@ -151,12 +151,12 @@ def i5_quantile_map(s, d):
 
 
 @query(CELLS_SQL + """SELECT cell_id, CASE WHEN q % 7 = 0 THEN 0.0 ELSE p END AS masked, least(greatest(p * 3 - 1, 0.0), 1.0) AS clean, round(ln(1 + greatest(q - 100.0, 0.0)), 6) AS logged,
-  round(atan2(p, q / 100.0 + 1e-6), 6) AS tilt, round(atan2(q / 100.0, abs(p) + 1e-6), 6) AS tilt_h, round(p * (abs(q) + 1) / (r + 2.0), 6) AS trans, round(sqrt(p * q), 6) AS dip FROM fp""")
+  round(atan2(p, q / 100.0 + 1e-6), 6) AS tilt, round(atan2(q / 100.0, abs(p) + 1e-6), 6) AS tilt_h, round(p * (abs(q) + 1) / (r + 2.0), 6) AS trans, round(sqrt(p * q), 4) AS dip FROM fp""")
 def c_band_algebra(s, d):
     p, q = F.col("p"), F.col("q").cast("double")
     v = F.when(F.col("q") % 7 == 0, F.lit(-3.4e38)).otherwise(p)
     out = cells(s, d).select("cell_id", fx.mask_sentinel(v).alias("masked"), fx.sanitize(p * 3 - 1).alias("clean"), fx.log_positive(q - 100).alias("logged"), fx.tilt(p, q / 100).alias("tilt"), fx.tilt_horizontal(p, q / 100).alias("tilt_h"), fx.transtension(p, q, F.col("r").cast("double")).alias("trans"), fx.dipole(p, q).alias("dip"))
-    return rounded(out, "logged", "tilt", "tilt_h", "trans", "dip")
+    return rounded(rounded(out, "logged", "tilt", "tilt_h", "trans"), "dip", digits=4)
 
 
 @query(CELLS_SQL + "SELECT cell_id, round(CASE WHEN q % 256 = 0 THEN 0.0 WHEN r % 2 = 0 THEN pow((q % 256 - 1) / 254.0, 2) * 8.0 ELSE (q % 256 - 1) / 254.0 * 8.0 END, 6) AS v FROM fp")
@@ -521,3 +521,136 @@ def m2_identical_groups(s, d):
 def m5_surface_difference(s, d):
     x = cells(s, d)
     return rounded(forensics.surface_difference(x, x.withColumn("p", F.col("p") * 0.9)), "mae", "max_diff", "share_changed", "jaccard")
+
+
+# ---- composites without an SQL form, and text columns ----
+
+
+@query()
+def d5_point_field(s, d):
+    from gridloom.operators.lineaments import point_field
+
+    x = cells(s, d)
+    return rounded(point_field(x.where("known").select("r", "c", F.col("q").cast("double").alias("w")), x, GRID), "v")
+
+
+@query()
+def e8_fill_nearest(s, d):
+    from gridloom.operators.lineaments import fill_nearest
+
+    return fill_nearest(cells(s, d).where("q % 3 > 0").select("r", "c", F.col("q").cast("double").alias("v")), GRID, "v", 2)
+
+
+@query()
+def e9_hessian_lines(s, d):
+    from gridloom.operators.lineaments import hessian_lines
+
+    return rounded(hessian_lines(full_q(s, d), cells(s, d), "q", sigmas=(2, 4)), "response")
+
+
+@query()
+def e11_strike_response(s, d):
+    from gridloom.operators.lineaments import strike_response
+
+    return rounded(strike_response(full_q(s, d), GRID, "q", tile=48), "q")
+
+
+@query()
+def e12_ridge_cells(s, d):
+    from gridloom.operators.lineaments import ridge_cells
+
+    return ridge_cells(full_q(s, d), "q", H, W)
+
+
+@query()
+def f4_skeleton(s, d):
+    from gridloom.operators.lineaments import skeleton
+
+    return skeleton(focal.dilate(cells(s, d).where("part"), H, W, 1))
+
+
+@query()
+def l18_transfer_field(s, d):
+    from gridloom.operators.lineaments import transfer_field
+
+    x = cells(s, d)
+    return rounded(transfer_field(x.where("known"), x, GRID, 4.0), "v")
+
+
+@query()
+def l2_calibrated(s, d):
+    from gridloom.operators.learning import calibrate_out_of_fold
+
+    x = table(s, d, "labels").join(table(s, d, "documents").select("doc_id", "n_chars"), "doc_id")
+    x = x.select("doc_id", (F.col("doc_id") % 4).cast("int").alias("fold"), F.least(F.col("n_chars") / 2000.0, F.lit(1.0)).alias("p"), F.col("quality").cast("double").alias("y"))
+    return rounded(calibrate_out_of_fold(x, "p", "y", "fold", [0, 1, 2, 3]).select("doc_id", "fold", "calibrated"), "calibrated")
+
+
+@query()
+def l7_nonnegative_head(s, d):
+    from gridloom.operators.learning import apply_head, train_head
+
+    e = table(s, d, "embeddings")
+    head = train_head(e, "embedding", F.col("label") == 0, 0.15, epochs=10)
+    return rounded(apply_head(e, "embedding", head).select("vec_id", "margin"), "margin", digits=4)
+
+
+@query()
+def l12_tail_bootstrap(s, d):
+    from gridloom.operators.learning import tail_bootstrap
+
+    return tail_bootstrap(s, 200, 1.5, 1650.0, 0.05)
+
+
+@query("""WITH x AS (SELECT p_size / 50.0 AS a, p_retailprice / 3000.0 AS b, p_partkey FROM part),
+y AS (SELECT p_partkey, least(greatest(a, 1e-4), 1 - 1e-4) AS a, least(greatest(b, 1e-4), 1 - 1e-4) AS b FROM x)
+SELECT p_partkey, round(1 / (1 + exp(-(ln(a / (1 - a)) + ln(b / (1 - b))))), 6) AS pooled FROM y""")
+def q1_product_of_experts(s, d):
+    from gridloom.operators.learning import product_of_experts
+
+    x = table(s, d, "part").select("p_partkey", (F.col("p_size") / 50.0).alias("a"), (F.col("p_retailprice") / 3000.0).alias("b"))
+    return rounded(product_of_experts(x, ["a", "b"]).select("p_partkey", "pooled"), "pooled")
+
+
+@query("SELECT o_totalprice AS o_totalprice, sum(count(*)) OVER (ORDER BY o_totalprice DESC ROWS UNBOUNDED PRECEDING) AS n_at_least FROM orders GROUP BY o_totalprice")
+def i4_survival_counts(s, d):
+    from gridloom.operators.learning import survival_counts
+
+    return survival_counts(table(s, d, "orders"), "o_totalprice")
+
+
+@query("""SELECT p_partkey, regexp_replace(regexp_replace(lower(p_name), '[^a-z0-9]+', '-', 'g'), '^-|-$', '', 'g') || '_' || regexp_replace(regexp_replace(lower(p_type), '[^a-z0-9]+', '-', 'g'), '^-|-$', '', 'g') || '_20260101_' || substr(sha256(p_name), 1, 8) || '_nan.tif' AS file,
+  substr(trim(regexp_replace(p_name || ' [' || substr(sha256(p_name), 1, 8) || '] ' || p_type || '   ' || p_brand, '\\s+', ' ', 'g')), 1, 200) AS note FROM part""")
+def b10_b11_names(s, d):
+    from gridloom.plans import governance as gov
+
+    i = F.substring(F.sha2(F.col("p_name"), 256), 1, 8)
+    return table(s, d, "part").select("p_partkey", gov.file_name(F.col("p_name"), F.col("p_type"), F.lit("20260101"), i).alias("file"), gov.note(F.col("p_name"), F.concat_ws("   ", "p_type", "p_brand"), i).alias("note"))
+
+
+@query("SELECT doc_id FROM documents WHERE regexp_matches(text, '(?i)fault|thrust|fissure|scarp|lineament|license') OR regexp_matches(source, '(?i)fault|src7')")
+def c20_keyword_rows(s, d):
+    hit = lambda c, w: F.col(c).rlike(f"(?i){w}")
+    return table(s, d, "documents").where(hit("text", "fault|thrust|fissure|scarp|lineament|license") | hit("source", "fault|src7")).select("doc_id")
+
+
+@query("""SELECT url, count(*) AS n FROM (SELECT page_id, unnest(regexp_extract_all(html, 'href="([^"]+)"', 1)) AS url FROM pages) GROUP BY 1""")
+def m21_page_links(s, d):
+    links = table(s, d, "pages").select(F.explode(F.regexp_extract_all("html", F.lit('href="([^"]+)"'), F.lit(1))).alias("url"))
+    return links.groupBy("url").agg(F.count("*").alias("n"))
+
+
+@query(CELLS_SQL + "SELECT unnest(['missing_inside', 'out_of_range', 'off_grid', 'scores_outside', 'not_empty', 'not_constant']) AS check, unnest([true, true, true, true, (SELECT count(*) FILTER (p > 0) > 0 FROM fp), (SELECT count(DISTINCT p) > 1 FROM fp)]) AS pass, unnest([true, true, true, false, true, false]) AS hard, unnest(['0', '0', '0', '0', CAST((SELECT count(*) FILTER (p > 0) FROM fp) AS VARCHAR), CAST((SELECT count(DISTINCT p) FROM fp) AS VARCHAR)]) AS detail")
+def m9_checks(s, d):
+    from gridloom.plans.governance import checks
+
+    x = cells(s, d)
+    return checks(x, x, GRID)
+
+
+@query(CELLS_SQL + """, a AS (SELECT r, c, cell_id, known, p, q FROM fp) SELECT cell_id, round(p * least(greatest(list_sort([p, q / 1000.0, r / 960.0, c / 800.0])[3] / 0.18, 0.35), 1.0), 6) AS gated FROM a""")
+def k15_corroborated(s, d):
+    from gridloom.operators.learning import corroborate
+
+    x = cells(s, d).withColumns({"b": F.col("q") / 1000.0, "x": F.col("r") / 960.0, "y": F.col("c") / 800.0})
+    return rounded(corroborate(x, ["p", "b", "x", "y"], "p").select("cell_id", "gated"), "gated")
