@@ -128,7 +128,7 @@ def _flat(n: int, most: int):
         yield a, min(n, a + most)
 
 
-def corpus_counts(docs: DataFrame, held_mod: int, held_rest: int, classes: ByteClasses, flush: int = 400_000) -> DataFrame:
+def corpus_counts(docs: DataFrame, held_mod: int, held_rest: int, classes: ByteClasses, flush: int = 200_000) -> DataFrame:
     """(word, code, n): how often each word (code null; the empty word is a text's end) and each trie leaf (word
     null) occurs in training documents, gathered in each task before the shuffle."""
 
@@ -210,6 +210,7 @@ def score_documents(docs: DataFrame, held_mod: int = 7, held_rest: int = 2, head
         if kept > head_words:
             break
         least = 1 << int(k)
+    floor = tokens + types + 1
     head = words.where(F.col("n") >= least).select("word", "n").toArrow()
     leaf = counts.where("word is null").select("code", "n").toArrow()
     order = np.argsort(leaf.column("code").to_numpy())
@@ -223,17 +224,15 @@ def score_documents(docs: DataFrame, held_mod: int = 7, held_rest: int = 2, head
         "codes": npy(leaf.column("code").to_numpy()[order].astype(np.uint32)),
         "counts": npy(leaf.column("n").to_numpy()[order]),
         "classes": classes,
-        "words": dict(zip((bytes(x) for x in head.column("word").to_pylist()), head.column("n").to_pylist(), strict=True)),
+        "words": {bytes(w): math.log10((n + 1) / floor) for w, n in zip(head.column("word").to_pylist(), head.column("n").to_pylist(), strict=True)},
     }
     shared = spark.sparkContext.broadcast(model)
-    floor = tokens + types + 1
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """A row with word null for each document (its row number in the task tells repeated ids apart), and one
         for each word of it that the head doesn't hold."""
         m = shared.value
-        known = m["words"]
-        logs = {w: math.log10((n + 1) / floor) for w, n in known.items()}
+        logs = m["words"]
         from pyspark import TaskContext
 
         row = TaskContext.get().partitionId() << 33
