@@ -234,4 +234,4 @@ def keep_one(docs: DataFrame, most: int = 3, width: int = 3) -> DataFrame:
     document, and stay or go together; rows without an id stay only where their group has no id at all."""
     found = near_groups(docs, most, width)
     stays = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_keep")).distinct()
-    return docs.join(stays, F.col("doc_id").eqNullSafe(F.col("_keep")), "left_semi")
+    return docs.join(stays, docs["doc_id"].eqNullSafe(stays["_keep"]), "left_semi")

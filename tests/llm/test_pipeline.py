@@ -1,8 +1,5 @@
 """The pipeline's stages and run() against the same decisions made by brute force."""
 
-import zlib
-
-import numpy as np
 import pyarrow.parquet as pq
 
 import corpus_pipeline
@@ -38,3 +35,17 @@ def test_stages_keep_columns(spark):
     rows = docs.collect()
     assert rows and not any(base(r.text) for r in rows)
     assert all(len(r.text) == r.n_chars for r in rows)
+
+
+def test_stages_on_awkward_rows(spark):
+    from tests.llm.test_corpus import SCHEMA, awkward
+
+    wide = spark.createDataFrame(awkward(), SCHEMA).selectExpr("*", "1 AS _keep", "2 AS component_id", "3 AS fp", "4 AS row")
+    for docs in (wide, wide.limit(0)):
+        before = docs.count()
+        for _, stage in corpus_pipeline.STAGES[:-1]:
+            docs = corpus_pipeline.materialize(stage(spark, docs, SF), "awkward")
+            assert docs.columns == wide.columns
+        kept = docs.count()
+        assert kept <= before and (kept > 0) == (before > 0)
+        assert (corpus_pipeline.STAGES[-1][1](spark, docs, SF).count() > 0) == (kept > 0)
