@@ -60,3 +60,31 @@ def describe_surface(cells: DataFrame) -> DataFrame:
         F.count("*").alias("cells"), F.count_if(~ok).alias("missing"), F.count_if(ok & ~p.between(0, 1)).alias("out_of_range"), F.count_if(ok & (p == 0)).alias("zeros"), F.count_if(ok & (p == 1)).alias("ones"),
         F.count_if(ok & (p > 0.5)).alias("above_half"), F.count_distinct(F.when(ok, p)).alias("distinct_values"), F.min(F.when(ok, p)).alias("min"), F.max(F.when(ok, p)).alias("max"), F.sum(F.when(ok, p)).alias("mass"),
     )
+
+
+def against_history(candidate: DataFrame, history: DataFrame, near: float = 0.8, top: int = 5) -> DataFrame:
+    """(artifact, inter, jaccard, verdict) of the `top` artifacts of history (artifact, cell_id) most like the candidate
+    (cell_id); an empty candidate is like none. The candidate is one support and history's cells meet it by key."""
+    own = candidate.select("cell_id").distinct().withColumn("_in", F.lit(1))
+    n = own.agg(F.count("*").alias("n_c"))
+    sizes = history.join(own, "cell_id", "left").groupBy("artifact").agg(F.count("*").alias("n_h"), F.coalesce(F.sum("_in"), F.lit(0)).alias("inter"))
+    out = sizes.crossJoin(F.broadcast(n))
+    union = F.col("n_c") + F.col("n_h") - F.col("inter")
+    j = F.col("inter") / F.greatest(union, F.lit(1))
+    told = F.when((F.col("inter") == F.col("n_c")) & (F.col("inter") == F.col("n_h")) & (union > 0), "DUPLICATE").when((j >= near) & (union > 0), "NEAR_DUPLICATE").otherwise("DISTINCT")
+    return out.select("artifact", "inter", F.round(j, 5).alias("jaccard"), told.alias("verdict")).orderBy(F.desc("jaccard"), "artifact").limit(top)
+
+
+def lineage(entries: DataFrame) -> DataFrame:
+    """(sha, n, repos, first_id) of every blob of a registry (id, repo, sha): which repositories hold it."""
+    return entries.groupBy("sha").agg(F.count("*").alias("n"), F.array_sort(F.collect_set("repo")).alias("repos"), F.min("id").alias("first_id"))
+
+
+def with_representative(entries: DataFrame, groups: DataFrame) -> DataFrame:
+    """entries (id, ...) with rep: the representative that groups (id, rep) name, else the id itself."""
+    return entries.join(groups.select("id", F.col("rep").alias("_rep")), "id", "left").withColumn("rep", F.coalesce("_rep", "id")).drop("_rep")
+
+
+def best_scores(ledger: DataFrame) -> DataFrame:
+    """(id, best, latest, n) of an append-only ledger (id, score, recorded_utc)."""
+    return ledger.groupBy("id").agg(F.max("score").alias("best"), F.max_by("score", "recorded_utc").alias("latest"), F.count("*").alias("n"))

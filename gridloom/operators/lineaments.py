@@ -178,3 +178,77 @@ def phase_coherence(a: DataFrame, b: DataFrame) -> DataFrame:
     """(r, c, v): geometric mean of the gradient norms of two angle grids (column v)."""
     g = lambda x, n: focal.gradient(x.select("r", "c", "v"), "v").select("r", "c", F.col("slope").alias(n))
     return g(a, "x").join(g(b, "y"), ["r", "c"]).select("r", "c", F.sqrt(F.col("x") * F.col("y")).alias("v"))
+
+
+def openness(cells: DataFrame, grid: GridSpec, value: str, radii: tuple[int, ...] = (5, 10, 20), tile: int = 128) -> DataFrame:
+    """(r, c, value): mean over eight azimuths and the radii of 90 degrees less the steepest rise within the radius;
+    heights beyond the edge repeat the edge."""
+    far = max(radii)
+
+    def kernel(z: np.ndarray) -> np.ndarray:
+        total = np.zeros_like(z)
+        for dr, dc in ((0, 1), (1, 1), (1, 0), (1, -1), (0, -1), (-1, -1), (-1, 0), (-1, 1)):
+            steep = np.full_like(z, -np.inf)
+            for k in range(1, far + 1):
+                d = k * math.hypot(dr, dc)
+                if d <= far:
+                    steep = np.maximum(steep, (np.roll(z, (-k * dr, -k * dc), (0, 1)) - z) / d)
+                if k in radii:
+                    total += 90 - np.degrees(np.arctan(steep))
+        return total / (8 * len(radii))
+
+    return tiles.tile_apply(cells, grid, value, far, kernel, tile)
+
+
+def standardise(cells: DataFrame, grid: GridSpec, value: str, sigma: float = 0.8) -> DataFrame:
+    """(r, c, value) on the rectangle: gaps filled from the nearest cell, clipped to the 1 % and 99 % quantiles, centred
+    and scaled by the population deviation (zeros where that is 0), blurred."""
+    x = settle(fill_nearest(cells, grid, value, 0).select("r", "c", F.col(value).alias("v")), "standardise")
+    q = x.agg(F.percentile("v", F.array(F.lit(0.01), F.lit(0.99))).alias("q"))
+    clipped = x.crossJoin(F.broadcast(q)).select("r", "c", F.least(F.greatest("v", F.col("q")[0]), F.col("q")[1]).alias("v"))
+    m = clipped.agg(F.avg("v").alias("m"), F.stddev_pop("v").alias("s"))
+    z = clipped.crossJoin(F.broadcast(m)).select("r", "c", F.when(F.col("s") > 0, (F.col("v") - F.col("m")) / F.when(F.col("s") > 0, F.col("s"))).otherwise(0.0).alias(value))
+    return tiles.strip_gaussian(z, value, sigma)
+
+
+def marker_displacement(cells: DataFrame, grid: GridSpec, first: str, second: str, lags: tuple[int, ...] = (2, 4, 6, 8), offsets: tuple[int, ...] = (2, 4, 6), half: int = 5, floor: float = 0.01, tile: int = 128) -> DataFrame:
+    """(r, c, first): how much better two standardised markers match across a line once one side is shifted along it.
+
+    In four directions, profiles of 2 half + 1 cells on either side of the line (at the given offsets) are correlated
+    as they are and with one side shifted by each lag, both ways. A gain is half of what a shifted correlation over 0.5
+    has above the unshifted one and above that of the opposite shift between two profiles, as far apart, of one side
+    (which an oblique pattern without a break matches as well); it is zero where a profile's variance is under `floor`.
+    A cell takes the largest geometric mean of both markers' gains. Beyond the edge its values repeat."""
+    halo = max(lags) + 3 * max(offsets) + half + 1
+
+    def gains(x: np.ndarray) -> list[np.ndarray]:
+        out = []
+        for dr, dc in STEPS:
+
+            def move(y: np.ndarray, along: int, across: int, dr: int = dr, dc: int = dc) -> np.ndarray:
+                return np.roll(y, (-(along * dr - across * dc), -(along * dc + across * dr)), (0, 1))
+
+            def mean(y: np.ndarray, move=move) -> np.ndarray:
+                return sum(move(y, t, 0) for t in range(-half, half + 1)) / (2 * half + 1)
+
+            def match(a: np.ndarray, b: np.ndarray, mean=mean) -> np.ndarray:
+                ma, mb = mean(a), mean(b)
+                va, vb = mean(a * a) - ma * ma, mean(b * b) - mb * mb
+                ok = (va > floor) & (vb > floor)
+                return np.where(ok, (mean(a * b) - ma * mb) / np.sqrt(np.where(ok, va * vb, 1)), 0)
+
+            for o in offsets:
+                left, right, beyond = move(x, 0, o), move(x, 0, -o), move(x, 0, 3 * o)
+                still = match(left, right)
+                for lag in [k * s for k in lags for s in (1, -1)]:
+                    c, same = match(left, move(right, lag, 0)), match(left, move(beyond, -lag, 0))
+                    out.append(np.where(c > 0.5, np.maximum(0, (c - np.maximum(still, same)) / 2), 0))
+        return out
+
+    def kernel(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        best = np.zeros_like(a)
+        for x, y in zip(gains(a), gains(b), strict=True):
+            best = np.maximum(best, np.sqrt(x * y))
+        return best
+
+    return tiles.tile_apply(cells, grid, [first, second], halo, kernel, tile)

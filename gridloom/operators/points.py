@@ -65,3 +65,26 @@ def mosaic(*tiles: DataFrame) -> DataFrame:
     for t in tiles[1:]:
         out = out.unionByName(t)
     return out.groupBy("r", "c").agg(F.max(F.when(F.isnan("v"), None).otherwise(F.col("v"))).alias("v"))
+
+
+def rasterise(lines: DataFrame, grid: GridSpec, footprint: DataFrame | None = None) -> DataFrame:
+    """(id, r, c): the distinct cells that polylines (id, points array<struct<x, y>>) pass through, as a walk of each
+    segment in steps of at most half a cell visits them; within the footprint where one is given."""
+    a, _, x0, _, e, y0 = grid.transform
+    seg = lines.select("id", F.explode(F.arrays_zip(F.slice("points", 1, F.greatest(F.size("points") - 1, F.lit(0))).alias("p"), F.slice("points", 2, F.greatest(F.size("points") - 1, F.lit(0))).alias("q"))).alias("s")).select("id", *[((F.col(f"s.{k}.x") - x0) / a).alias(f"{k}x") for k in "pq"], *[((y0 - F.col(f"s.{k}.y")) / -e).alias(f"{k}y") for k in "pq"])
+    n = F.greatest(F.ceil(2 * F.greatest(F.abs(F.col("qx") - F.col("px")), F.abs(F.col("qy") - F.col("py")))), F.lit(1))
+    walk = seg.withColumn("n", n).withColumn("k", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n"))))
+    t = F.col("k") / F.col("n")
+    out = walk.select("id", F.floor(F.col("py") + t * (F.col("qy") - F.col("py"))).cast("int").alias("r"), F.floor(F.col("px") + t * (F.col("qx") - F.col("px"))).cast("int").alias("c")).where(grid.inside()).distinct()
+    return out if footprint is None else out.join(footprint.select("r", "c").distinct(), ["r", "c"], "left_semi").select("id", "r", "c")
+
+
+def line_lengths(lines: DataFrame) -> DataFrame:
+    """(id, length, x, y) of polylines: total length, and the centroid weighted by it (of the points where it is 0)."""
+    part = F.transform(F.sequence(F.lit(1), F.greatest(F.size("points") - 1, F.lit(1))), lambda i: F.struct(F.get("points", i - 1).alias("p"), F.coalesce(F.get("points", i), F.get("points", i - 1)).alias("q")))
+    seg = F.transform(part, lambda s: F.struct(F.sqrt(F.pow(s["q"]["x"] - s["p"]["x"], 2) + F.pow(s["q"]["y"] - s["p"]["y"], 2)).alias("l"), ((s["q"]["x"] + s["p"]["x"]) / 2).alias("x"), ((s["q"]["y"] + s["p"]["y"]) / 2).alias("y")))
+    own = lines.select("id", seg.alias("s"))
+    total = lambda f: F.aggregate("s", F.lit(0.0), lambda acc, s: acc + f(s))
+    length = total(lambda s: s["l"])
+    weighted = lambda k: F.when(length > 0, total(lambda s: s["l"] * s[k]) / F.when(length > 0, length)).otherwise(F.get("s", F.lit(0))[k])
+    return own.select("id", length.alias("length"), weighted("x").alias("x"), weighted("y").alias("y"))

@@ -41,25 +41,28 @@ def strip_gaussian(cells: DataFrame, value: str, sigma: float, orders: tuple[int
     return strip_convolve(out, value, "r", taps(sigma, orders[0], truncate), border)
 
 
-def tile_apply(cells: DataFrame, grid: GridSpec, value: str, halo: int, kernel: Callable[[np.ndarray], np.ndarray], tile: int = 128, border: str = "nearest") -> DataFrame:
-    """kernel over tiles widened by `halo` cells on every side (at the rectangle's edge by `border`); it returns an
-    array of the widened shape, of which the core is kept."""
+def tile_apply(cells: DataFrame, grid: GridSpec, value: str | list[str], halo: int, kernel: Callable[..., np.ndarray], tile: int = 128, border: str = "nearest") -> DataFrame:
+    """kernel over tiles widened by `halo` cells on every side (at the rectangle's edge by `border`), one array for
+    each value column; it returns one of the widened shape, whose core becomes the first value column."""
+    names = [value] if isinstance(value, str) else list(value)
     lo = lambda x: F.floor((F.col(x) - halo) / tile)
     hi = lambda x: F.floor((F.col(x) + halo) / tile)
     last = {"r": (grid.height - 1) // tile, "c": (grid.width - 1) // tile}
     span = lambda x: F.sequence(F.greatest(lo(x), F.lit(0)), F.least(hi(x), F.lit(last[x])))
-    wide = cells.select("r", "c", F.col(value).cast("double").alias("v")).withColumn("tr", F.explode(span("r"))).withColumn("tc", F.explode(span("c")))
+    wide = cells.select("r", "c", *[F.col(n).cast("double").alias(f"v{k}") for k, n in enumerate(names)]).withColumn("tr", F.explode(span("r"))).withColumn("tc", F.explode(span("c")))
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         tr, tc = int(pdf.tr.iloc[0]), int(pdf.tc.iloc[0])
         r0, r1 = tr * tile, min((tr + 1) * tile, grid.height)
         c0, c1 = tc * tile, min((tc + 1) * tile, grid.width)
         ra, rb, ca, cb = max(0, r0 - halo), min(grid.height, r1 + halo), max(0, c0 - halo), min(grid.width, c1 + halo)
-        x = np.zeros((rb - ra, cb - ca))
-        x[pdf.r.to_numpy() - ra, pdf.c.to_numpy() - ca] = pdf.v.to_numpy()
-        x = np.pad(x, ((halo - (r0 - ra), halo - (rb - r1)), (halo - (c0 - ca), halo - (cb - c1))), mode=PAD[border])
-        out = kernel(x)[halo : halo + r1 - r0, halo : halo + c1 - c0]
+        bands = []
+        for k in range(len(names)):
+            x = np.zeros((rb - ra, cb - ca))
+            x[pdf.r.to_numpy() - ra, pdf.c.to_numpy() - ca] = pdf[f"v{k}"].to_numpy()
+            bands.append(np.pad(x, ((halo - (r0 - ra), halo - (rb - r1)), (halo - (c0 - ca), halo - (cb - c1))), mode=PAD[border]))
+        out = kernel(*bands)[halo : halo + r1 - r0, halo : halo + c1 - c0]
         rr, cc = np.mgrid[r0:r1, c0:c1]
-        return pd.DataFrame({"r": rr.ravel(), "c": cc.ravel(), value: out.ravel()})
+        return pd.DataFrame({"r": rr.ravel(), "c": cc.ravel(), names[0]: out.ravel()})
 
-    return wide.groupBy("tr", "tc").applyInPandas(run, f"r int, c int, {value} double")
+    return wide.groupBy("tr", "tc").applyInPandas(run, f"r int, c int, {names[0]} double")

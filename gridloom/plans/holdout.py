@@ -36,3 +36,43 @@ def gate(candidate: dict, baseline: dict, max_fold_loss: float = 0.01, tolerance
         "no_large_fold_loss": min(a - b for a, b in pairs + dense) >= -max_fold_loss,
     }
     return {"rules": rules, "promoted": all(rules.values())}
+
+
+def build(footprint: DataFrame, labels: DataFrame, grid, share: float = 0.2, seed: int = 4242) -> DataFrame:
+    """(r, c, cell_id, fold, dense, sparse): quadrant folds of the footprint, all label cells as dense truth, and of
+    every fold a seeded `share` of its whole regions as sparse truth."""
+    from gridloom.operators.partition import quadrants
+    from gridloom.operators.regions import label, thin
+
+    cells = quadrants(footprint.select("r", "c").distinct().withColumn("cell_id", grid.cell_id()))
+    own = labels.select("r", "c").distinct().join(cells, ["r", "c"])
+    kept = None
+    for f in range(4):
+        part = own.where(F.col("fold") == f)
+        if part.isEmpty():
+            continue
+        few = thin(label(part, grid), share, seed + f).select("r", "c")
+        kept = few if kept is None else kept.union(few)
+    dense = own.select("r", "c", F.lit(True).alias("dense"))
+    out = cells.join(dense, ["r", "c"], "left")
+    out = out.join(kept.withColumn("sparse", F.lit(True)), ["r", "c"], "left") if kept is not None else out.withColumn("sparse", F.lit(None).cast("boolean"))
+    return out.select("r", "c", "cell_id", "fold", F.coalesce("dense", F.lit(False)).alias("dense"), F.coalesce("sparse", F.lit(False)).alias("sparse"))
+
+
+def evaluate(surface: DataFrame, holdout: DataFrame) -> DataFrame:
+    """(kind, fold, tp_w, fp_w, n_truth, dti, coverage) of a surface (r, c, p) against dense and sparse truth in one
+    plan; under sparse truth the other label cells are known and cost nothing."""
+    cells = holdout.join(surface.select("r", "c", "p"), ["r", "c"], "left").withColumn("p", F.coalesce("p", F.lit(0.0)))
+    kinds = F.array(F.struct(F.lit("dense").alias("kind"), F.col("dense").alias("truth"), F.lit(False).alias("known")), F.struct(F.lit("sparse").alias("kind"), F.col("sparse").alias("truth"), (F.col("dense") & ~F.col("sparse")).alias("known")))
+    both = cells.select("r", "c", "fold", "p", F.lit(True).alias("valid"), F.inline(kinds))
+    return tversky(both, by=("kind", "fold")).select("kind", "fold", "tp_w", "fp_w", "n_truth", "dti", "coverage")
+
+
+def report(scores: DataFrame) -> dict:
+    """The report that gate() takes, from the eight rows of evaluate()."""
+    rows = {(r.kind, r.fold): r.dti for r in scores.collect()}
+    out = {}
+    for kind in ("dense", "sparse"):
+        v = [rows.get((kind, f), 0.0) for f in range(4)]
+        out |= {f"mean_{kind}_dti": sum(v) / 4, f"fold_{kind}": v}
+    return out

@@ -654,3 +654,46 @@ def k15_corroborated(s, d):
 
     x = cells(s, d).withColumns({"b": F.col("q") / 1000.0, "x": F.col("r") / 960.0, "y": F.col("c") / 800.0})
     return rounded(corroborate(x, ["p", "b", "x", "y"], "p").select("cell_id", "gated"), "gated")
+
+
+@query(SUPPORTS_SQL + """, n AS (SELECT artifact, count(*) AS n FROM sup GROUP BY 1), i AS (SELECT b.artifact, count(*) AS inter FROM sup a JOIN sup b USING (cell_id) WHERE a.artifact = 0 AND b.artifact > 0 GROUP BY 1),
+j AS (SELECT n.artifact, coalesce(inter, 0) AS inter, n.n, (SELECT x.n FROM n x WHERE x.artifact = 0) AS m FROM n LEFT JOIN i USING (artifact) WHERE artifact > 0)
+SELECT artifact, inter, round(inter / CAST(n + m - inter AS DOUBLE), 5) AS jaccard, CASE WHEN inter = n AND inter = m THEN 'DUPLICATE' WHEN inter / CAST(n + m - inter AS DOUBLE) >= 0.8 THEN 'NEAR_DUPLICATE' ELSE 'DISTINCT' END AS verdict FROM j ORDER BY jaccard DESC, artifact LIMIT 5""")
+def m6_against_history(s, d):
+    x = supports(s, d)
+    return forensics.against_history(x.where("artifact = 0").select("cell_id"), x.where("artifact > 0"))
+
+
+@query("SELECT sha256(text) AS sha, count(*) AS n, string_agg(DISTINCT source, ',' ORDER BY source) AS repos, min(doc_id) AS first_id FROM documents GROUP BY 1")
+def g10_lineage(s, d):
+    x = table(s, d, "documents").select(F.col("doc_id").alias("id"), F.col("source").alias("repo"), F.sha2(F.col("text").cast("binary"), 256).alias("sha"))
+    return forensics.lineage(x).withColumn("repos", F.array_join("repos", ","))
+
+
+@query("SELECT o_custkey AS id, max(o_totalprice) AS best, max_by(o_totalprice, o_orderdate + to_microseconds(o_orderkey)) AS latest, count(*) AS n FROM orders GROUP BY 1")
+def m19_best_scores(s, d):
+    o = table(s, d, "orders")
+    return forensics.best_scores(o.select(F.col("o_custkey").alias("id"), F.col("o_totalprice").alias("score"), F.struct("o_orderdate", "o_orderkey").alias("recorded_utc")))
+
+
+@query()
+def k10_holdout(s, d):
+    from gridloom.plans.holdout import build, evaluate
+
+    x = cells(s, d)
+    return _told(evaluate(x.select("r", "c", "p"), build(x, x.where("part"), GRID)).withColumns({"fn_w": F.lit(0.0), "mass": F.lit(0.0)})).drop("fn_w", "mass")
+
+
+@query()
+def e15_marker_displacement(s, d):
+    from gridloom.operators.lineaments import marker_displacement
+
+    x = full_q(s, d).withColumn("b", F.col("q") / 10).withColumn("q", F.col("q") / 12)
+    return rounded(marker_displacement(x, GRID, "q", "b", lags=(2, 4), offsets=(2,), tile=48), "q")
+
+
+@query()
+def e17_openness(s, d):
+    from gridloom.operators.lineaments import openness
+
+    return rounded(openness(full_q(s, d), GRID, "q", (5, 10), tile=48), "q")
