@@ -151,12 +151,12 @@ def i5_quantile_map(s, d):
 
 
 @query(CELLS_SQL + """SELECT cell_id, CASE WHEN q % 7 = 0 THEN 0.0 ELSE p END AS masked, least(greatest(p * 3 - 1, 0.0), 1.0) AS clean, round(ln(1 + greatest(q - 100.0, 0.0)), 6) AS logged,
-  round(atan2(p, q / 100.0 + 1e-6), 6) AS tilt, round(atan2(q / 100.0, abs(p) + 1e-6), 6) AS tilt_h, round(p * (abs(q) + 1) / (r + 2.0), 4) AS trans, round(sqrt(p * q), 4) AS dip FROM fp""")
+  round(atan2(p, q / 100.0 + 1e-6), 6) AS tilt, round(atan2(q / 100.0, abs(p) + 1e-6), 6) AS tilt_h, p * (abs(q) + 1) / (r + 2.0) AS trans, sqrt(p * q) AS dip FROM fp""")
 def c_band_algebra(s, d):
     p, q = F.col("p"), F.col("q").cast("double")
     v = F.when(F.col("q") % 7 == 0, F.lit(-3.4e38)).otherwise(p)
     out = cells(s, d).select("cell_id", fx.mask_sentinel(v).alias("masked"), fx.sanitize(p * 3 - 1).alias("clean"), fx.log_positive(q - 100).alias("logged"), fx.tilt(p, q / 100).alias("tilt"), fx.tilt_horizontal(p, q / 100).alias("tilt_h"), fx.transtension(p, q, F.col("r").cast("double")).alias("trans"), fx.dipole(p, q).alias("dip"))
-    return rounded(rounded(out, "logged", "tilt", "tilt_h"), "dip", "trans", digits=4)
+    return rounded(out, "logged", "tilt", "tilt_h")
 
 
 @query(CELLS_SQL + "SELECT cell_id, round(CASE WHEN q % 256 = 0 THEN 0.0 WHEN r % 2 = 0 THEN pow((q % 256 - 1) / 254.0, 2) * 8.0 ELSE (q % 256 - 1) / 254.0 * 8.0 END, 6) AS v FROM fp")
