@@ -7,10 +7,10 @@ import duckdb
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
 
-def connect(sf_dir: str):
+def connect(sf_dir: str, tables: list[str] = TABLES):
     con = duckdb.connect()
     con.execute("SET TimeZone='UTC'")
-    for t in TABLES:
+    for t in tables:
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{sf_dir}/{t}.parquet')")
     return con
 
