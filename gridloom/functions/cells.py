@@ -76,3 +76,20 @@ def truncated_pareto_mean(alpha: Column, low: Column, high: Column) -> Column:
     near = F.abs(e * ratio) < 1e-9
     top = F.when(near, ratio).otherwise(F.expm1(e * ratio) / F.when(near, 1.0).otherwise(e))
     return alpha * low * top / -F.expm1(-alpha * ratio)
+
+
+def tectonic_over_fluvial(down: Column, up: Column, coherence: Column, cross: Column) -> Column:
+    """Scarp-like over channel-like response: the stronger face (an upward one counts 1.35 times) by coherence."""
+    return F.greatest(down, 1.35 * up) * (0.3 + coherence) / (cross + 0.08)
+
+
+def piedmont_step(step: Column, relief: Column) -> Column:
+    return step / F.sqrt(relief + 9.0)
+
+
+def antislope(up: Column, coherence: Column, cross: Column) -> Column:
+    return up * (0.25 + coherence) / (cross + 0.10)
+
+
+def potassic_ratio(potassium: Column, thorium: Column) -> Column:
+    return (potassium + 1.0) / (thorium + 10.0)

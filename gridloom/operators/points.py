@@ -53,6 +53,10 @@ def block_mean(cells: DataFrame, value: str, k: int = 2) -> DataFrame:
     return cells.groupBy(F.floor(F.col("r") / k).cast("int").alias("r"), F.floor(F.col("c") / k).cast("int").alias("c")).agg(F.avg(value).alias(value))
 
 
+def block_max(cells: DataFrame, value: str, k: int = 2) -> DataFrame:
+    return cells.groupBy(F.floor(F.col("r") / k).cast("int").alias("r"), F.floor(F.col("c") / k).cast("int").alias("c")).agg(F.max(value).alias(value))
+
+
 def upsample(coarse: DataFrame, k: int = 2) -> DataFrame:
     """Every coarse cell as k x k cells of the same values."""
     wide = coarse.withColumn("dr", F.explode(F.sequence(F.lit(0), F.lit(k - 1)))).withColumn("dc", F.explode(F.sequence(F.lit(0), F.lit(k - 1))))

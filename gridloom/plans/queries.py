@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gridloom.functions import cells as fx
-from gridloom.operators import focal, forensics, metric, partition, points, regions, stats
+from gridloom.grid import dense
+from gridloom.operators import composites, evidence, focal, forensics, metric, partition, points, regions, stats, tiles
 from gridloom.plans.holdout import fold_scores
 from gridloom.sources import adapter, runs
 from gridloom.sources.adapter import CELLS_SQL, GRID, SUPPORTS_SQL, cells, raw_cells, supports, table
@@ -35,8 +36,6 @@ def rounded(df: DataFrame, *names: str, digits: int = 6) -> DataFrame:
 
 def full_q(s: SparkSession, d: str) -> DataFrame:
     """Summed quantity on the whole rectangle, integers as doubles."""
-    from gridloom.grid import dense
-
     return dense(raw_cells(s, d), GRID, "q")
 
 
@@ -697,3 +696,149 @@ def e17_openness(s, d):
     from gridloom.operators.lineaments import openness
 
     return rounded(openness(full_q(s, d), GRID, "q", (5, 10), tile=48), "q")
+
+
+# ---- evidence tables ----
+
+_NEAR = CELLS_SQL + """, a AS (SELECT r, c FROM fp WHERE p > 0.6), b AS (SELECT r, c FROM fp WHERE known),
+da AS (SELECT a.r, a.c, min((a.r - b.r) * (a.r - b.r) + (a.c - b.c) * (a.c - b.c)) AS d2 FROM a, b GROUP BY 1, 2),
+db AS (SELECT b.r, b.c, min((a.r - b.r) * (a.r - b.r) + (a.c - b.c) * (a.c - b.c)) AS d2 FROM a, b GROUP BY 1, 2)
+"""
+
+
+@query(_NEAR + "SELECT CAST(range AS INT) AS reach, (SELECT count(*) FROM a) AS mask_cells, (SELECT round(avg(CASE WHEN d2 <= range * range THEN 1 ELSE 0 END), 6) FROM da) AS mask_within, (SELECT count(*) FROM b) AS labels_cells, (SELECT round(avg(CASE WHEN d2 <= range * range THEN 1 ELSE 0 END), 6) FROM db) AS labels_within FROM range(4)")
+def k19_agreement(s, d):
+    x = cells(s, d)
+    return rounded(evidence.agreement(x.where("p > 0.6"), x.where("known")), "mask_within", "labels_within")
+
+
+@query(CELLS_SQL + """, sup AS (SELECT DISTINCT CAST(l_suppkey % 8 AS INT) AS artifact, CAST((l_orderkey % 96) * 80 + l_partkey % 80 AS BIGINT) AS cell_id FROM lineitem),
+l AS (SELECT cell_id, 'p' AS feature, p AS value FROM fp UNION ALL SELECT cell_id, 'q', CAST(q AS DOUBLE) FROM fp),
+k AS (SELECT cell_id, feature, (rank() OVER (PARTITION BY feature ORDER BY value) + (count(*) OVER (PARTITION BY feature, value) - 1) / 2.0 - 0.5) / count(*) OVER (PARTITION BY feature) AS pct FROM l)
+SELECT artifact, feature, round(avg(pct), 6) AS enrichment FROM sup JOIN k USING (cell_id) GROUP BY 1, 2""")
+def k18_enrichment(s, d):
+    return rounded(evidence.enrichment(supports(s, d), cells(s, d), ["p", "q"]), "enrichment")
+
+
+@query(CELLS_SQL + """, g AS (SELECT r // 12 * 100 + c // 10 AS component, count(*) AS cells, count(*) * 108.0 AS length, CAST(round_even(avg(r), 0) AS INT) AS centroid_r, CAST(round_even(avg(c), 0) AS INT) AS centroid_c, max(p) AS p, max(q / 100.0) AS e FROM fp WHERE part GROUP BY 1)
+SELECT component, cells, length, centroid_r, centroid_c, round(p, 6) AS p, round(e, 6) AS e, concat_ws('|', CASE WHEN p >= 0.7 THEN 'p' END, CASE WHEN e >= 2 THEN 'e' END) AS satisfied, concat_ws('|', CASE WHEN p < 0.7 THEN 'p' END, CASE WHEN e < 2 THEN 'e' END) AS missing, CAST(p >= 0.7 AS INT) + CAST(e >= 2 AS INT) AS n_satisfied FROM g""")
+def k20_corridors(s, d):
+    x = cells(s, d).where("part").withColumns({"component": F.expr("r div 12 * 100 + c div 10"), "e": F.col("q") / 100.0})
+    return rounded(evidence.corridors(x, x, {"p": 0.7, "e": 2.0}).withColumns({n: F.array_join(n, "|") for n in ("satisfied", "missing")}), "p", "e")
+
+
+_AT = CELLS_SQL + """, pt AS (SELECT event_id, event_type AS kind, CAST(user_id % 24 AS INT) AS r, CAST(event_id % 20 AS INT) AS c FROM events),
+k AS (SELECT r, c FROM fp WHERE known), n AS (SELECT event_id, kind, r, c, (SELECT sqrt(min((k.r - pt.r) * (k.r - pt.r) + (k.c - pt.c) * (k.c - pt.c))) FROM k) AS d FROM pt)
+"""
+
+
+@query(_AT + "SELECT kind, count(*) AS n, count(*) FILTER (d > 5) AS beyond_5, round(avg(CASE WHEN d > 5 THEN 1 ELSE 0 END), 6) AS share_5, count(*) FILTER (d > 10) AS beyond_10, round(avg(CASE WHEN d > 10 THEN 1 ELSE 0 END), 6) AS share_10 FROM n GROUP BY 1")
+def q8_orphans(s, d):
+    return rounded(evidence.orphans(adapter.points(s, d), cells(s, d).where("known"), GRID, "kind"), "share_5", "share_10")
+
+
+@query(_AT + "SELECT event_id, round(d, 6) AS d, EXISTS (SELECT 1 FROM fp WHERE fp.r = n.r AND fp.c = n.c) AS inside FROM n")
+def d9_lookup(s, d):
+    x = cells(s, d)
+    return rounded(evidence.with_distance(adapter.points(s, d), x, x.where("known"), GRID).select("event_id", "d", "inside"), "d")
+
+
+@query("SELECT event_type, count(value) AS n, min(value) AS min, round(quantile_cont(value, 0.25), 6) AS p25, round(quantile_cont(value, 0.5), 6) AS median, round(quantile_cont(value, 0.75), 6) AS p75, max(value) AS max FROM events WHERE value IS NOT NULL GROUP BY 1")
+def h3_summary(s, d):
+    return rounded(evidence.summary(table(s, d, "events"), "value", "event_type"), "p25", "median", "p75")
+
+
+@query("SELECT least(coalesce(quality, 0), 1) AS quality, count(*) FILTER (CAST(quality IS NOT NULL AS INT) + CAST(toxic IS NOT NULL AS INT) + CAST(lang IS NOT NULL AS INT) >= 2) AS n FROM documents LEFT JOIN labels USING (doc_id) GROUP BY 1")
+def h6_filled(s, d):
+    x = table(s, d, "documents").join(table(s, d, "labels"), "doc_id", "left")
+    return x.groupBy(F.least(F.coalesce("quality", F.lit(0)), F.lit(1)).alias("quality")).agg(F.count_if(evidence.filled(F.col("quality"), F.col("toxic"), F.col("lang")) >= 2).alias("n"))
+
+
+@query("SELECT 'text' AS \"column\", count(*) AS n, count(*) - count(text) AS missing, round(count(text) / count(*), 6) AS share FROM documents UNION ALL SELECT 'lang', count(*), count(*) - count(lang), round(count(lang) / count(*), 6) FROM documents")
+def h9_coverage(s, d):
+    return rounded(evidence.coverage(table(s, d, "documents"), ["text", "lang"]), "share")
+
+
+@query("""WITH ok AS (SELECT url, octet_length(encode(html)) AS size FROM pages WHERE octet_length(encode(html)) <= 20000 AND NOT contains(lower(url), 'forum') AND NOT contains(lower(url), '7'))
+SELECT url, size, (SELECT count(*) > 50 FROM ok) AS cap_reached FROM ok ORDER BY url LIMIT 50""")
+def c21_admitted(s, d):
+    x = table(s, d, "pages").select("url", F.octet_length("html").cast("long").alias("size"))
+    return evidence.admitted(x, "url", "size", ["forum", "7"], 20000, 50)
+
+
+@query(CELLS_SQL + "SELECT cell_id, greatest(p, 1.35e0 * (q / 1e2)) * (0.3e0 + p) / (q / 5e1 + 0.08e0) AS fluvial, q / sqrt(p + 9e0) AS step, p * (0.25e0 + p) / (q / 5e1 + 0.1e0) AS anti, (q + 1e0) / (p + 1e1) AS potassic FROM fp")
+def c8_scarp_ratios(s, d):
+    p, q = F.col("p"), F.col("q")
+    return cells(s, d).select("cell_id", fx.tectonic_over_fluvial(p, q / 100.0, p, q / 50.0).alias("fluvial"), fx.piedmont_step(q, p).alias("step"), fx.antislope(p, p, q / 50.0).alias("anti"), fx.potassic_ratio(q, p).alias("potassic"))
+
+
+@query(CELLS_SQL + "SELECT CAST(r // 2 AS INT) AS r, CAST(c // 2 AS INT) AS c, max(q) AS q FROM full_q GROUP BY 1, 2")
+def d11_block_max(s, d):
+    return points.block_max(full_q(s, d), "q")
+
+
+@query()
+def q6_draw_scores(s, d):
+    x = cells(s, d)
+    scores = evidence.draw_scores(x, regions.label(x.where("part"), GRID), 0.2, 4242, 3)
+    return rounded(scores.agg(F.count("*").alias("draws"), F.avg("dti").alias("mean"), F.stddev_samp("dti").alias("sd")), "mean", "sd")
+
+
+# ---- composite surfaces ----
+
+
+def _bands(s: SparkSession, d: str) -> DataFrame:
+    """Dense bands v (summed quantity) and w (mean discount), p and a shifted elevation."""
+    x = dense(raw_cells(s, d), GRID, "p").join(full_q(s, d), ["r", "c"])
+    return x.select("r", "c", (F.col("q") / 100.0).alias("v"), F.col("p").alias("w"), (F.col("r") * 0.5 + F.col("q") / 50.0).alias("z"))
+
+
+@query()
+def c9_alteration(s, d):
+    b = _bands(s, d)
+    x = b.select("r", "c", F.col("v").alias("k"), F.col("w").alias("th"), F.col("v").alias("rtp"), F.col("w").alias("hg"), F.col("z").alias("cond"), (F.col("w") * 5).alias("slope"), F.col("w").alias("gravity_slope"))
+    return rounded(composites.alteration(x, GRID), "potassic", "demagnetised", "clay")
+
+
+@query()
+def e16_dual_edge(s, d):
+    b = _bands(s, d)
+    return rounded(composites.dual_edge(b, b.withColumn("v", F.col("w")), cells(s, d)), "v")
+
+
+@query()
+def e21_wing_crack(s, d):
+    b = _bands(s, d)
+    trunk = composites.trunks(tiles.strip_gaussian(b, "v", 2.0), GRID, 0.9, 8)
+    return rounded(composites.wing_crack(trunk, b.select("r", "c", F.col("w").alias("v")), GRID), "stress", "relay", digits=8)
+
+
+@query()
+def e22_updip_conduit(s, d):
+    b = _bands(s, d).select("r", "c", F.col("z").alias("elevation"), (F.col("w") * 5).alias("slope"), F.col("v").alias("basement"))
+    heat = adapter.points(s, d).select("r", "c", (1 + F.abs("value") / 60).alias("w"))
+    return rounded(composites.updip_conduit(heat, b, GRID), "conduit", "thermal")
+
+
+@query()
+def e23_tilt_worm(s, d):
+    b = _bands(s, d)
+    return rounded(composites.tilt_worm(b, b.withColumn("v", F.col("w")), GRID, tile=48), "v")
+
+
+@query()
+def q2_complexity_prior(s, d):
+    x = cells(s, d)
+    return rounded(composites.complexity_prior(x.select("r", "c", "p"), x.where("part"), GRID, 6.0), "p")
+
+
+@query()
+def q3_oblique_prior(s, d):
+    x = cells(s, d)
+    return rounded(composites.oblique_prior(x.select("r", "c", "p"), x.where("part"), GRID, 8.0), "p")
+
+
+@query()
+def q5_edge_agreement(s, d):
+    b = _bands(s, d)
+    return rounded(composites.edge_agreement(b, b.withColumn("v", F.col("w")), GRID, 1.0), "edge_a", "edge_b", "parallel", "crossed")
