@@ -24,7 +24,7 @@ def agreement(mask: DataFrame, labels: DataFrame, reach: int = 3) -> DataFrame:
     distance field of the rectangle is made."""
     sides = []
     for name, a, b in (("mask", mask, labels), ("labels", labels, mask)):
-        within = [F.coalesce(F.avg(F.when(F.col("d2") <= k * k, 1.0).otherwise(0.0)), F.lit(None)).alias(f"w{k}") for k in range(reach + 1)]
+        within = [F.avg(F.when(F.col("d2") <= k * k, 1.0).otherwise(0.0)).alias(f"w{k}") for k in range(reach + 1)]
         one = _nearest(a, b, reach).agg(F.count("*").alias(f"{name}_cells"), *within)
         rows = F.explode(F.array(*(F.struct(F.lit(k).alias("reach"), F.col(f"w{k}").alias(f"{name}_within")) for k in range(reach + 1))))
         sides.append(one.select(f"{name}_cells", rows.alias("x")).select("x.reach", f"{name}_cells", f"x.{name}_within"))
