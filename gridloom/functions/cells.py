@@ -78,18 +78,25 @@ def truncated_pareto_mean(alpha: Column, low: Column, high: Column) -> Column:
     return alpha * low * top / -F.expm1(-alpha * ratio)
 
 
+# Fixed values of the scarp and potassic ratios.
+UPWARD_WEIGHT, FACE_BASE, CROSS_FLOOR = 1.35, 0.3, 0.08
+RELIEF_FLOOR = 9.0
+ANTISLOPE_BASE, ANTISLOPE_CROSS_FLOOR = 0.25, 0.10
+POTASSIUM_OFFSET, THORIUM_OFFSET = 1.0, 10.0
+
+
 def tectonic_over_fluvial(down: Column, up: Column, coherence: Column, cross: Column) -> Column:
-    """Scarp-like over channel-like response: the stronger face (an upward one counts 1.35 times) by coherence."""
-    return F.greatest(down, 1.35 * up) * (0.3 + coherence) / (cross + 0.08)
+    """Scarp-like over channel-like response: the stronger face (upward ones weighted) by coherence."""
+    return F.greatest(down, UPWARD_WEIGHT * up) * (FACE_BASE + coherence) / (cross + CROSS_FLOOR)
 
 
 def piedmont_step(step: Column, relief: Column) -> Column:
-    return step / F.sqrt(relief + 9.0)
+    return step / F.sqrt(relief + RELIEF_FLOOR)
 
 
 def antislope(up: Column, coherence: Column, cross: Column) -> Column:
-    return up * (0.25 + coherence) / (cross + 0.10)
+    return up * (ANTISLOPE_BASE + coherence) / (cross + ANTISLOPE_CROSS_FLOOR)
 
 
 def potassic_ratio(potassium: Column, thorium: Column) -> Column:
-    return (potassium + 1.0) / (thorium + 10.0)
+    return (potassium + POTASSIUM_OFFSET) / (thorium + THORIUM_OFFSET)

@@ -15,6 +15,20 @@ from gridloom.session import settle
 
 KEY = ["r", "c"]
 
+# The weights, scales and limits that define the composites.
+ANOMALY_BOXES = {"ratio": 21, "rtp": 15, "cond": 21}
+GRAVITY_SLOPE_WEIGHT = 10.0
+TRUNK_SHARE, TRUNK_CELLS, TRUNK_BLUR = 0.965, 14, 2.5
+TIP_NEAR, TIP_MID, RELAY, LOBE_ANGLE = 14.0, 24.0, 22.0, 35.0
+TIP_IN_RELAY, LOBE_WEIGHT, NEAR_WEIGHT, RELAY_WEIGHT, GAIN_WEIGHT, MID_WEIGHT = 0.5, 0.35, 0.6, 0.4, 0.25, 0.5
+UPFLOW, OUTFLOW, TERRAIN_BLUR = 11.0, 24.0, 4.0
+ADVECTION, UPFLOW_WEIGHT, SHIFTED_WEIGHT, STEP_WEIGHT, STEP_MOST = 6.0, 0.55, 0.45, 0.3, 3.0
+SLOPE_UNIT, SLOPE_LEAST, SLOPE_MOST = 6.0, 0.15, 1.5
+THERMAL_UPFLOW, THERMAL_OUTFLOW = 0.6, 0.4
+OWN_TILT_WEIGHT = 0.5
+EDGE_QUANTILE, PRIOR_QUANTILE, NEUTRAL_SHARE = 0.99, 0.99, 0.02
+DEVIATION_FLOOR, NORM_FLOOR, TERRAIN_FLOOR = 1e-6, 1e-6, 1e-5
+
 
 def _blur(x: DataFrame, sigma: float, name: str, orders: tuple[int, int] = (0, 0)) -> DataFrame:
     """The dense column v of x blurred, as column `name`."""
@@ -36,17 +50,17 @@ def alteration(bands: DataFrame, grid: GridSpec, slope_floor: float = 1.5) -> Da
     (boxes of 21, 15 and 21 cells), zero where the slope is not above the floor."""
     steep = F.when(F.col("slope") > slope_floor, 1.0).otherwise(0.0)
     base = bands.withColumn("ratio", fx.potassic_ratio(F.col("k"), F.col("th")))
-    part = [focal.local_anomaly(base.select(*KEY, F.col(n).cast("double").alias(a)), a, grid.height, grid.width, size) for n, a, size in (("ratio", "a", 21), ("rtp", "f", 15), ("cond", "e", 21))]
+    part = [focal.local_anomaly(base.select(*KEY, F.col(n).cast("double").alias(a)), a, grid.height, grid.width, size) for (n, size), a in zip(ANOMALY_BOXES.items(), "afe", strict=True)]
     x = _joined(base, *part)
     return x.select(
         *KEY,
         (F.col("a") * steep).alias("potassic"),
         (F.greatest(-F.col("f"), F.lit(0.0)) * fx.log_positive(F.col("hg")) * steep).alias("demagnetised"),
-        (F.greatest(F.col("e"), F.lit(0.0)) * (F.col("slope") + 10.0 * F.col("gravity_slope")) * steep).alias("clay"),
+        (F.greatest(F.col("e"), F.lit(0.0)) * (F.col("slope") + GRAVITY_SLOPE_WEIGHT * F.col("gravity_slope")) * steep).alias("clay"),
     )
 
 
-def trunks(field: DataFrame, grid: GridSpec, share: float = 0.965, least: int = 14) -> DataFrame:
+def trunks(field: DataFrame, grid: GridSpec, share: float = TRUNK_SHARE, least: int = TRUNK_CELLS) -> DataFrame:
     """(r, c): thinned regions of at least `least` cells where the field (r, c, v on the footprint) reaches its
     `share` quantile."""
     x = settle(field.select(*KEY, "v"), "trunks")
@@ -55,46 +69,46 @@ def trunks(field: DataFrame, grid: GridSpec, share: float = 0.965, least: int =
     return large_regions(label(thin, grid), least).select(*KEY)
 
 
-def wing_crack(trunk: DataFrame, gain: DataFrame, grid: GridSpec, near: float = 14.0, mid: float = 24.0, relay: float = 22.0, angle: float = 35.0) -> DataFrame:
+def wing_crack(trunk: DataFrame, gain: DataFrame, grid: GridSpec, near: float = TIP_NEAR, mid: float = TIP_MID, relay: float = RELAY, angle: float = LOBE_ANGLE) -> DataFrame:
     """(r, c, stress, relay) on the cells of gain (r, c, v): halos of trunk tips, stronger along the given angle to the
     trunk's tangent, and of junctions, raised by the gain over its deviation."""
     n = settle(focal.neighbours(trunk), "wing-ends")
     grid_of = lambda m, w: dense(m.select(*KEY, w.cast("double").alias("v")), grid, "v")
     tips = grid_of(n.where("n = 1"), F.lit(1.0))
-    ends = grid_of(n.where("n = 1 or n >= 3"), F.when(F.col("n") == 1, 0.5).otherwise(1.0))
-    g = focal.gradient(_blur(grid_of(trunk, F.lit(1.0)), 2.5, "v"), "v")
-    norm = F.col("slope") + 1e-6
+    ends = grid_of(n.where("n = 1 or n >= 3"), F.when(F.col("n") == 1, TIP_IN_RELAY).otherwise(1.0))
+    g = focal.gradient(_blur(grid_of(trunk, F.lit(1.0)), TRUNK_BLUR, "v"), "v")
+    norm = F.col("slope") + NORM_FLOOR
     along = F.abs(-F.col("gc") / norm * math.cos(math.radians(angle)) + F.col("gr") / norm * math.sin(math.radians(angle)))
-    s = gain.agg((F.stddev_pop("v") + 1e-6).alias("s"))
-    x = _joined(gain.select(*KEY, F.col("v").alias("gain")), g.select(*KEY, (1 + 0.35 * along).alias("lobe")), _blur(tips, near, "tip_near"), _blur(tips, mid, "tip_mid"), _blur(ends, relay, "halo")).crossJoin(F.broadcast(s))
-    stress = (0.6 * F.col("tip_near") * F.col("lobe") + 0.4 * F.col("halo")) * (1 + 0.25 * F.col("gain") / F.col("s"))
-    return x.select(*KEY, stress.alias("stress"), (F.col("halo") + 0.5 * F.col("tip_mid")).alias("relay"))
+    s = gain.agg((F.stddev_pop("v") + DEVIATION_FLOOR).alias("s"))
+    x = _joined(gain.select(*KEY, F.col("v").alias("gain")), g.select(*KEY, (1 + LOBE_WEIGHT * along).alias("lobe")), _blur(tips, near, "tip_near"), _blur(tips, mid, "tip_mid"), _blur(ends, relay, "halo")).crossJoin(F.broadcast(s))
+    stress = (NEAR_WEIGHT * F.col("tip_near") * F.col("lobe") + RELAY_WEIGHT * F.col("halo")) * (1 + GAIN_WEIGHT * F.col("gain") / F.col("s"))
+    return x.select(*KEY, stress.alias("stress"), (F.col("halo") + MID_WEIGHT * F.col("tip_mid")).alias("relay"))
 
 
-def updip_conduit(sources: DataFrame, terrain: DataFrame, grid: GridSpec, near: float = 11.0, far: float = 24.0) -> DataFrame:
+def updip_conduit(sources: DataFrame, terrain: DataFrame, grid: GridSpec, near: float = UPFLOW, far: float = OUTFLOW) -> DataFrame:
     """(r, c, conduit, thermal) of heat sources (r, c, w) over dense terrain (elevation, slope, basement): the far plume,
     moved up-slope against its own gradient, with the near one, gated by slope and raised by the basement's step."""
     heat = dense(sources.groupBy(*KEY).agg(F.log1p(F.sum("w")).alias("v")), grid, "v")
-    up = focal.gradient(_blur(terrain.select(*KEY, F.col("elevation").cast("double").alias("v")), 4.0, "v"), "v").select(*KEY, (F.col("gr") / (F.col("slope") + 1e-5)).alias("ur"), (F.col("gc") / (F.col("slope") + 1e-5)).alias("uc"))
+    up = focal.gradient(_blur(terrain.select(*KEY, F.col("elevation").cast("double").alias("v")), TERRAIN_BLUR, "v"), "v").select(*KEY, *[(F.col(g) / (F.col("slope") + TERRAIN_FLOOR)).alias(u) for g, u in (("gr", "ur"), ("gc", "uc"))])
     plume = focal.gradient(_blur(heat, far, "v"), "v").select(*KEY, F.col("v").alias("outflow"), "gr", "gc")
-    s = terrain.agg((F.stddev_pop("basement") + 1e-6).alias("s"))
+    s = terrain.agg((F.stddev_pop("basement") + DEVIATION_FLOOR).alias("s"))
     x = _joined(terrain.select(*KEY, "slope", "basement"), up, plume, _blur(heat, near, "upflow")).crossJoin(F.broadcast(s))
-    shifted = F.greatest(F.lit(0.0), F.col("outflow") - 6.0 * (F.col("gr") * F.col("ur") + F.col("gc") * F.col("uc")))
-    conduit = (0.55 * F.col("upflow") + 0.45 * shifted) * _clip(F.col("slope") / 6.0, 0.15, 1.5) * (1 + 0.3 * _clip(F.col("basement") / F.col("s"), 0.0, 3.0))
-    return x.select(*KEY, conduit.alias("conduit"), (0.6 * F.col("upflow") + 0.4 * F.col("outflow")).alias("thermal"))
+    shifted = F.greatest(F.lit(0.0), F.col("outflow") - ADVECTION * (F.col("gr") * F.col("ur") + F.col("gc") * F.col("uc")))
+    conduit = (UPFLOW_WEIGHT * F.col("upflow") + SHIFTED_WEIGHT * shifted) * _clip(F.col("slope") / SLOPE_UNIT, SLOPE_LEAST, SLOPE_MOST) * (1 + STEP_WEIGHT * _clip(F.col("basement") / F.col("s"), 0.0, STEP_MOST))
+    return x.select(*KEY, conduit.alias("conduit"), (THERMAL_UPFLOW * F.col("upflow") + THERMAL_OUTFLOW * F.col("outflow")).alias("thermal"))
 
 
 def tilt_worm(magnetic: DataFrame, gravity: DataFrame, grid: GridSpec, tile: int = 128) -> DataFrame:
     """(r, c, v): strike response of two tilt grids' (r, c, v) phase coherence and half the first one's gradient."""
     own = focal.gradient(magnetic.select(*KEY, "v"), "v").select(*KEY, "slope")
-    x = lineaments.phase_coherence(magnetic, gravity).join(own, KEY).select(*KEY, (F.col("v") + 0.5 * F.col("slope")).alias("v"))
+    x = lineaments.phase_coherence(magnetic, gravity).join(own, KEY).select(*KEY, (F.col("v") + OWN_TILT_WEIGHT * F.col("slope")).alias("v"))
     return lineaments.strike_response(x, grid, "v", tile=tile)
 
 
 def dual_edge(a: DataFrame, b: DataFrame, interior: DataFrame) -> DataFrame:
     """(r, c, v) on the interior: phase_coherence() over its 99 % quantile there, at most 1."""
     x = settle(lineaments.phase_coherence(a, b).join(interior.select(*KEY).distinct(), KEY), "dual-edge")
-    q = x.agg(F.greatest(F.percentile("v", 0.99), F.lit(1e-6)).alias("q"))
+    q = x.agg(F.greatest(F.percentile("v", EDGE_QUANTILE), F.lit(1e-6)).alias("q"))
     return x.crossJoin(F.broadcast(q)).select(*KEY, _clip(F.col("v") / F.col("q"), 0.0, 1.0).alias("v"))
 
 
@@ -104,7 +118,7 @@ def edge_agreement(a: DataFrame, b: DataFrame, grid: GridSpec, sigma: float) ->
     part = []
     for x, n in ((a, "a"), (b, "b")):
         g = settle(focal.gradient(_blur(x, sigma, "v"), "v").select(*KEY, "gr", "gc", "slope"), f"edge-{n}")
-        q = g.agg(F.greatest(F.percentile("slope", 0.99), F.lit(1e-12)).alias("q"))
+        q = g.agg(F.greatest(F.percentile("slope", EDGE_QUANTILE), F.lit(1e-12)).alias("q"))
         part.append(g.crossJoin(F.broadcast(q)).select(*KEY, F.col("gr").alias(f"r_{n}"), F.col("gc").alias(f"c_{n}"), F.col("slope").alias(f"s_{n}"), _clip(F.col("slope") / F.col("q"), 0.0, 1.0).alias(f"edge_{n}")))
     x = part[0].join(part[1], KEY)
     scale = F.greatest(F.col("s_a") * F.col("s_b"), F.lit(1e-12))
@@ -118,7 +132,7 @@ def complexity_prior(surface: DataFrame, known: DataFrame, grid: GridSpec, sigma
     n = focal.neighbours(lineaments.skeleton(known)).where("n = 1 or n >= 3")
     density = _blur(dense(n.select(*KEY, F.lit(1.0).alias("v")), grid, "v"), sigma, "z")
     x = settle(surface.join(density, KEY), "complexity")
-    q = x.agg(F.percentile("z", 0.99).alias("q"))
+    q = x.agg(F.percentile("z", PRIOR_QUANTILE).alias("q"))
     z = F.when(F.col("q") > 0, F.least(F.col("z") / F.nullif("q", F.lit(0.0)), F.lit(1.0))).otherwise(0.0)
     return x.crossJoin(F.broadcast(q)).withColumn("p", F.col("p") * (1 + strength * z)).drop("z", "q")
 
@@ -133,9 +147,9 @@ def oblique_prior(surface: DataFrame, known: DataFrame, grid: GridSpec, sigma: f
     p = dense(surface, grid, "p").withColumnRenamed("p", "v")
     h = _joined(*[_blur(p, fine, n, o) for o, n in (((2, 0), "hrr"), ((1, 1), "hrc"), ((0, 2), "hcc"))])
     x = settle(_joined(surface, j, h), "oblique-all").withColumn("trace", F.col("jrr") + F.col("jcc"))
-    q = x.agg(F.percentile("trace", 0.99).alias("q"))
+    q = x.agg(F.percentile("trace", PRIOR_QUANTILE).alias("q"))
     normal = F.atan2(2 * F.col("jrc"), F.col("jcc") - F.col("jrr")) / 2
     strike = F.atan2(2 * F.col("hrc"), F.col("hcc") - F.col("hrr")) / 2
     turn = F.pow(F.cos(strike - normal), 2)  # the known strike is perpendicular to the normal
-    boost = F.when((F.col("q") > 0) & (F.col("trace") >= 0.02 * F.col("q")), 1 + strength * turn).otherwise(1.0)
+    boost = F.when((F.col("q") > 0) & (F.col("trace") >= NEUTRAL_SHARE * F.col("q")), 1 + strength * turn).otherwise(1.0)
     return x.crossJoin(F.broadcast(q)).withColumn("p", F.col("p") * boost).select(*surface.columns)
