@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from gridloom.grid import GridSpec
 from gridloom.operators.focal import offsets
@@ -109,5 +110,7 @@ def admitted(files: DataFrame, path: str, size: str, ignored: list[str], largest
     each with cap_reached (whether there were more)."""
     low = F.lower(path)
     ok = files.where((F.col(size) <= largest) & ~F.array_contains(F.array(*(low.contains(x) for x in ignored)), True))
-    n = ok.agg((F.count("*") > most).alias("cap_reached"))
-    return ok.orderBy(path).limit(most).crossJoin(F.broadcast(n))
+    top = ok.orderBy(path).limit(most + 1)  # one more tells whether there are more; the windows see only these
+    every = Window.partitionBy(F.lit(0))
+    numbered = top.withColumns({"cap_reached": F.count("*").over(every) > most, "_k": F.row_number().over(every.orderBy(path))})
+    return numbered.where(F.col("_k") <= most).drop("_k")
