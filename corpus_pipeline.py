@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from gridloom.llm import decontam, langid, packing, secrets, simhash
+from gridloom.llm import decontam, langid, packing, secrets, similar
 from gridloom.llm.common import materialize, table
 from gridloom.llm.queries import tokenizer_path
 
@@ -15,8 +15,8 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The smallest doc_id of every group of near copies."""
-    return simhash.keep_one(docs)
+    """The smallest doc_id of every group of near copies: similarity of five-word shingles of 0.8 or more."""
+    return similar.keep_one(docs)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
