@@ -25,6 +25,8 @@ _HEX = re.compile(r"[0-9a-f]{24,}")
 _KEYWORDS = ("password", "passwd", "secret", "token", "apikey", "api_key")
 _TOKEN = re.compile(r"[A-Za-z0-9+/_-]{16,}")
 _WORD = re.compile(r"[A-Za-z][A-Za-z0-9_-]{3,}")
+_PLAIN = re.compile(r"(?:[a-z]{1,12}|[A-Z]{1,12}|[A-Z][a-z]{1,11}|[0-9]{1,4})")
+_PART = re.compile(r"[A-Za-z]*[0-9]{0,4}|[0-9]+")
 _SYMBOLS = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_-"
 _CODE = {c: i + 1 for i, c in enumerate(_SYMBOLS)}  # 0: start of a string
 _RUN = np.zeros(256, dtype=bool)
@@ -62,12 +64,12 @@ def _transitions(strings: list[str], alpha: float = 0.5) -> np.ndarray:
 
 
 def fit(positives: list[str], negatives: list[str], odds: float = 1e4) -> RandomStringModel:
-    """Two first-order chains. The threshold is the log of the prior odds against a secret, or the largest
-    score of an ordinary training identifier of 16 or more characters where that is higher."""
+    """Two first-order chains. The threshold is the log of the prior odds against a secret, or the score that one
+    in a hundred ordinary training identifiers of 16 or more characters passes, where that is higher."""
     ratio = _transitions(positives) - _transitions(negatives)
     model = RandomStringModel(ratio, 0.0)
     scores = sorted(model.score(x) for x in negatives if len(x) >= 16)
-    high = scores[int(0.9999 * (len(scores) - 1))] if scores else 0.0
+    high = scores[int(0.99 * (len(scores) - 1))] if scores else 0.0
     return RandomStringModel(ratio, max(math.log(odds), high))
 
 
@@ -85,6 +87,19 @@ def identifiers(words: list[str], n: int, seed: int = 5) -> list[str]:
     return out
 
 
+def ordinary(words: list[str], positives: list[str], odds: float = 1e4) -> list[str]:
+    """The words that can stand for ordinary ones, though nobody has reviewed them. Words whose parts are short and of
+    one case do. Words with a part that mixes letters and digits (but for a short number at its end) don't. A first
+    pass, fitted to the former, scores all others, and those that it takes for random are left out."""
+    words = sorted(set(words))
+    parts = [re.split("[_-]+", w) for w in words]
+    sure = [w for w, p in zip(words, parts, strict=True) if all(_PLAIN.fullmatch(x) for x in p if x)]
+    rest = [w for w, p in zip(words, parts, strict=True) if not all(_PLAIN.fullmatch(x) for x in p if x) and all(_PART.fullmatch(x) for x in p)]
+    ratio = _transitions(positives) - _transitions(identifiers(sure, 4000))
+    first = RandomStringModel(ratio, math.log(odds))
+    return sorted(sure + [w for w in rest if first.score(w) <= first.threshold])
+
+
 def base_spans(text: str, raw: bytes | None = None, runs: list[tuple[int, int]] | None = None) -> list[tuple[int, int, int]]:
     """(start, kind, end) in code points of the rule kinds, leftmost non-overlapping for each kind."""
     found = []
@@ -137,7 +152,8 @@ def told(spans: list[tuple[int, int, int]]) -> str:
 
 def train(docs: DataFrame, max_train_docs: int = 2000, words_per_doc: int = 40, id_col: str = "doc_id", text_col: str = "text") -> RandomStringModel:
     """Fits the two chains on labelled strings of at most max_train_docs documents: values that the rules
-    matched (secret) and at most words_per_doc distinct other words (ordinary), with random_strings() besides."""
+    matched (secret) and at most words_per_doc distinct other words (ordinary, see ordinary()), with random_strings()
+    besides."""
 
     def labelled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -155,7 +171,8 @@ def train(docs: DataFrame, max_train_docs: int = 2000, words_per_doc: int = 40,
     rows = bounded_sample(texts_of(docs, id_col, text_col), max_train_docs).mapInArrow(labelled, "secret boolean, s string").collect()
     bad = sorted(r.s for r in rows if r.secret)
     good = sorted({r.s for r in rows if not r.secret})
-    return fit(bad + random_strings(4000), identifiers(good, 4000))
+    positives = bad + random_strings(4000)
+    return fit(positives, identifiers(ordinary(good, positives), 4000))
 
 
 def scan_secrets(docs: DataFrame, model: RandomStringModel | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
