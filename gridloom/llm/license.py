@@ -133,8 +133,6 @@ class LicenseModel:
         """Number of paragraphs (lines with a word), and (family, start, end, probability) in code points; adjacent
         paragraphs of a family are one span with the smallest probability."""
         lines = raw.split(b"\n")
-        if self.triggers.isdisjoint(raw.translate(_FOLD).split()):
-            return sum(1 for x in lines if x.strip()), []
         n, at, out, open_ = 0, 0, [], False
         for line in lines:
             end = at + len(line.decode(errors="replace"))
@@ -142,7 +140,7 @@ class LicenseModel:
                 n += 1
                 words = words_of(line)
                 name = None
-                if not self.triggers.isdisjoint(words):
+                if not self.triggers.isdisjoint(zip(words, words[1:], strict=False)):
                     p = self.probabilities(words)
                     k = int(p.argmax())
                     if k < len(self.names) - 1 and p[k] >= self.least and self.confirm(self.names[k], words) >= self.share:
@@ -205,9 +203,8 @@ def fit(unknown: list[str], seed: int = 3, each: int = 60) -> LicenseModel:
         return float((np.log(np.exp(s).sum(1)) - s[np.arange(len(s)), y[held]]).mean())
 
     heat = min((0.1, 0.15, 0.2, 0.3, 0.4, 0.5, 0.7, 1.0, 1.5, 2.0), key=loss) if held.any() else 1.0
-    common = {w for t in unknown for w in words_of(t.encode())}
     pairs = {f: [set(zip(ws, ws[1:], strict=False)) for ws in (words_of(t.encode()) for t in texts)] for f, texts in TEMPLATES.items()}
-    triggers = frozenset(w for texts in TEMPLATES.values() for t in texts for w in words_of(t.encode()) if w not in common and not w.isdigit() and len(w) > 2)
+    triggers = frozenset().union(*(p for of in pairs.values() for p in of))
     return LicenseModel(names, w, b, heat, triggers, pairs)
 
 
@@ -239,7 +236,7 @@ def scan_licenses(docs: DataFrame, model: LicenseModel | None = None, id_col: st
     an array of (family, start, end, probability), offsets in code points.
 
     A paragraph is a line. Null or empty texts have none; repeated rows give repeated results; null ids stay null;
-    other columns are ignored; whole texts are read. A line without any of the templates' telling words cannot be
+    other columns are ignored; whole texts are read. A line without any word pair of a template cannot be
     confirmed and is unknown without scoring. Without a model one is trained, see train()."""
     model = model or train(docs, id_col=id_col, text_col=text_col)
 
