@@ -1,4 +1,9 @@
-"""Near copies by similarity: MinHash bands find candidates, whole shingle sets decide each one."""
+"""SimHash near-dedup by similarity: several fingerprints of a shingle set, Golay-decoded segments as keys, whole sets decide.
+
+Two sets of Jaccard similarity 0.8 differ in 15 % of their SimHash bits, too many for one 64-bit fingerprint. Here a
+sketch has 16 pairs of 23-bit segments. A segment is decoded to the codewords nearest to it and to all words one bit
+away (some five indices); a pair of texts is a candidate if both segments of some pair share an index, which two sets at
+0.8 miss with a probability of about 0.001 and more similar ones with much less."""
 
 from __future__ import annotations
 
@@ -13,24 +18,28 @@ from pyspark.sql import functions as F
 
 from gridloom.llm.common import as_bytes, materialize, texts_of
 from gridloom.llm.components import components
+from gridloom.llm.simhash import codeword_index
 
 SEED = 42
 WIDTH = 5  # words of a shingle
-BANDS, ROWS = 32, 4  # a pair of similarity 0.8 shares no band with a probability of (1 - 0.8^4)^32 = 5e-8
+TABLES, BITS = 16, 23  # pairs of segments, and the width of a segment: a word of the Golay code
+WORDS = 12  # 64-bit words of a sketch; the last two also serve to compare candidates
+FAR = 46  # differing bits of 128 at most: six deviations above the mean of two sets at 0.8
 _rng = np.random.Generator(np.random.PCG64(SEED))
-_XOR = _rng.integers(0, 1 << 64, (BANDS * ROWS, 1), dtype=np.uint64)
-_TIMES = _rng.integers(0, 1 << 64, (BANDS * ROWS, 1), dtype=np.uint64) | np.uint64(1)
 _PLACE = _rng.integers(0, 1 << 64, 64, dtype=np.uint64) | np.uint64(1)
+_XOR = _rng.integers(0, 1 << 64, WORDS, dtype=np.uint64)
+_FLIPS = np.concatenate([[0], 1 << np.arange(BITS)])
+_ROW = np.dtype([("key", "<u2"), ("seg", "<u4"), ("node", "<i8"), ("root", "<i8"), ("f", "<u8", 2)])
 
 
 def _mixed(x: np.ndarray) -> np.ndarray:
     x = (x ^ (x >> np.uint64(32))) * np.uint64(0x9E3779B97F4A7C15)
-    return x ^ (x >> np.uint64(29))
+    x = (x ^ (x >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+    return x ^ (x >> np.uint64(32))
 
 
-def shingle_set(raw: bytes, width: int = WIDTH) -> np.ndarray:
-    """Distinct 64-bit hashes of all runs of `width` lower-cased words, sorted; of the whole where there are fewer."""
-    words = raw.lower().split()
+def shingle_set(words: list[bytes], width: int = WIDTH) -> np.ndarray:
+    """Distinct 64-bit hashes of all runs of `width` words, sorted; of the whole where there are fewer."""
     h = np.fromiter(map(xxhash.xxh64_intdigest, words, repeat(SEED)), np.uint64, len(words))
     if not words:
         return h
@@ -41,15 +50,37 @@ def shingle_set(raw: bytes, width: int = WIDTH) -> np.ndarray:
     return np.unique(_mixed(sums + np.uint64(min(width, len(words)))))
 
 
-def band_keys(grams: np.ndarray, step: int = 4096) -> np.ndarray:
-    """One key for each band of minima over a shingle set; none for the empty set."""
-    if not len(grams):
-        return np.zeros(0, np.uint64)
-    least = np.full(BANDS * ROWS, np.iinfo(np.uint64).max, np.uint64)
-    for a in range(0, len(grams), step):
-        np.minimum(least, ((grams[None, a : a + step] ^ _XOR) * _TIMES).min(axis=1), out=least)
-    sums = (least.reshape(BANDS, ROWS) * _PLACE[:ROWS]).sum(axis=1, dtype=np.uint64)
-    return _mixed(sums + np.arange(BANDS, dtype=np.uint64))
+def sketches(sets: list[np.ndarray], step: int = 32_768) -> np.ndarray:
+    """sets x WORDS: a bit is set where over half the set's hashes (mixed anew for each word) have it."""
+    size = np.array([len(s) for s in sets], dtype=np.int64)
+    sums = np.zeros((len(sets), 64 * WORDS), np.int32)
+    every = np.concatenate([*sets, np.zeros(0, np.uint64)])
+    owner = np.repeat(np.arange(len(sets)), size)
+    for a in range(0, len(every), step):
+        own = owner[a : a + step]
+        h = _mixed(every[a : a + step, None] ^ _XOR)
+        lanes = np.unpackbits(h.view(np.uint8), axis=1, bitorder="little").view(np.uint64)
+        # lanes of eight counters: no run of more than 255 rows is added up in one
+        new = np.concatenate([[True], own[1:] != own[:-1]])
+        since = np.arange(len(own)) - np.maximum.accumulate(np.where(new, np.arange(len(own)), 0))
+        starts = np.flatnonzero(since % 255 == 0)
+        np.add.at(sums, own[starts], np.add.reduceat(lanes, starts, axis=0).view(np.uint8))
+    return np.packbits(2 * sums > size[:, None], axis=1, bitorder="little").view("<u8").reshape(len(sets), WORDS)
+
+
+def segments(sketch: np.ndarray) -> np.ndarray:
+    """rows x 2 TABLES segments of BITS bits."""
+    bits = np.unpackbits(np.ascontiguousarray(sketch).view(np.uint8).reshape(len(sketch), -1), axis=1, bitorder="little")
+    used = bits[:, : 2 * TABLES * BITS].reshape(len(sketch), 2 * TABLES, BITS).astype(np.int64)
+    return used @ (1 << np.arange(BITS))
+
+
+def nearby(seg: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(row, index): the distinct codeword indices of each segment and of all words one bit from it."""
+    every = np.sort(codeword_index(seg[:, None] ^ _FLIPS), axis=1)
+    new = np.concatenate([np.ones((len(every), 1), bool), np.diff(every, axis=1) != 0], axis=1)
+    rows, cols = np.nonzero(new)
+    return rows, every[rows, cols]
 
 
 def alike(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
@@ -60,48 +91,82 @@ def alike(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
     return 100 * n >= percent * (len(a) + len(b) - n)
 
 
-def apart(key: np.ndarray, node: np.ndarray, root: np.ndarray) -> np.ndarray:
-    """All pairs of nodes that share a key but not the root."""
-    order = np.lexsort((node, key))
-    key, node, root = key[order], node[order], root[order]
+def stars(key: np.ndarray, node: np.ndarray, f: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(node, centre): in each key the smallest node is a centre for all nodes whose sketches are near to its own; the
+    smallest of those left over is the next one. Entries are sorted by key and node."""
+    left, out = np.arange(len(key)), [np.zeros((2, 0), np.int64)]
+    while len(left):
+        first = np.concatenate([[True], key[left[1:]] != key[left[:-1]]])
+        centre = left[first][np.cumsum(first) - 1]
+        near = ~first & (np.bitwise_count(f[left] ^ f[centre]).sum(axis=1) <= FAR)
+        out.append(np.stack([node[left[near]], node[centre[near]]]))
+        left = left[~first & ~near]
+        if len(left):  # keys with one entry left are done with
+            new = np.concatenate([[True], key[left[1:]] != key[left[:-1]]])
+            left = left[~(new & np.append(new[1:], True))]
+    return np.concatenate(out, axis=1)
+
+
+def apart(key: np.ndarray, node: np.ndarray, root: np.ndarray, f: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """All pairs of nodes with near sketches that share a key but not the root. Entries are sorted by key."""
     first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
     size = np.diff(np.append(first, len(key)))
     mixed = np.minimum.reduceat(root, first) != np.maximum.reduceat(root, first)
-    out = [np.zeros((0, 2), np.int64)]
+    out = [np.zeros((2, 0), np.int64)]
     for a, n in zip(first[mixed].tolist(), size[mixed].tolist(), strict=True):
-        v, r = node[a : a + n], root[a : a + n]
-        for k in range(n - 1):
-            other = v[k + 1 :][r[k + 1 :] != r[k]]
-            out.append(np.stack([other, np.full(len(other), v[k])], axis=1))
-    return np.unique(np.concatenate(out), axis=0)
+        for k in range(a, a + n - 1):
+            other = slice(k + 1, a + n)
+            pick = np.flatnonzero((root[other] != root[k]) & (np.bitwise_count(f[other] ^ f[k]).sum(axis=1) <= FAR)) + k + 1
+            out.append(np.stack([node[pick], np.full(len(pick), node[k])]))
+    return np.concatenate(out, axis=1)
 
 
-def _shared(nodes: DataFrame, n: int) -> DataFrame:
-    """(key, fp, least) for every band key that several nodes (fp, bands) have; least is its smallest node. Keys travel
-    as packed blobs, one per bucket and batch."""
+def _meet(nodes: DataFrame, meet: str, count: int, bucket_rows: int = 200_000) -> DataFrame:
+    """(a, b), distinct: the candidates among nodes (fp, root, sketch), by stars() or apart(). A node goes once to every
+    index of the first segment of each table; the second one is decoded there. Rows travel as packed blobs, one per
+    bucket and batch, and there are as many buckets as hold bucket_rows rows each."""
+    n = max(1, min(TABLES << 12, count * TABLES * 6 // bucket_rows))
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            blobs = batch.column(1).to_pylist()
-            key = np.frombuffer(b"".join(blobs), "<i8")
-            if not len(key):
-                continue
-            node = np.repeat(batch.column(0).to_numpy(zero_copy_only=False).astype("<i8"), [len(x) // 8 for x in blobs])
-            bucket = (key.view("<u8") >> np.uint64(20)) % np.uint64(n)
-            order = np.argsort(bucket, kind="stable")
-            parts = np.split(order, np.flatnonzero(np.diff(bucket[order])) + 1)
-            yield pa.RecordBatch.from_arrays([pa.array([int(bucket[p[0]]) for p in parts], pa.int32()), pa.array([key[p].tobytes() + node[p].tobytes() for p in parts], pa.binary())], names=["bucket", "blob"])
+            for a in range(0, batch.num_rows, 20_000):
+                part = batch.slice(a, 20_000)
+                fp, root = (part.column(c).to_numpy(zero_copy_only=False).astype("<i8") for c in (0, 1))
+                sketch = np.frombuffer(b"".join(part.column(2).to_pylist()), "<u8").reshape(-1, WORDS)
+                seg = segments(sketch)
+                for t in range(TABLES):
+                    rows, index = nearby(seg[:, 2 * t])
+                    made = np.empty(len(rows), _ROW)
+                    made["key"], made["seg"], made["node"], made["root"], made["f"] = t << 12 | index, seg[rows, 2 * t + 1], fp[rows], root[rows], sketch[rows, -2:]
+                    bucket = (made["key"].astype(np.int64) * 0x9E3779B1 >> 7) % n
+                    order = np.argsort(bucket, kind="stable")
+                    parts = np.split(order, np.flatnonzero(np.diff(bucket[order])) + 1)
+                    yield pa.RecordBatch.from_arrays([pa.array([int(bucket[p[0]]) for p in parts], pa.int32()), pa.array([made[p].tobytes() for p in parts], pa.binary())], names=["bucket", "blob"])
 
     def match(t: pa.Table) -> pa.Table:
-        key, node = np.concatenate([np.frombuffer(x, "<i8").reshape(2, -1) for x in t.column("blob").to_pylist()], axis=1)
-        order = np.lexsort((node, key))
-        key, node = key[order], node[order]
-        first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
-        size = np.diff(np.append(first, len(key)))
-        several = np.repeat(size > 1, size)
-        return pa.table({"key": key[several], "fp": node[several], "least": np.repeat(node[first], size)[several]})
-
-    return nodes.select("fp", "bands").mapInArrow(send, "bucket int, blob binary").groupBy("bucket").applyInArrow(match, "key long, fp long, least long")
+        got = np.frombuffer(b"".join(t.column("blob").to_pylist()), _ROW)
+        out = [np.zeros((2, 0), np.int64)]
+        got = got[np.argsort(got["key"], kind="stable")]
+        cuts = np.append(np.flatnonzero(np.concatenate([[True], got["key"][1:] != got["key"][:-1]])), len(got))
+        at = 0
+        while at < len(cuts) - 1:  # some keys at a time
+            end = max(at + 1, int(np.searchsorted(cuts, cuts[at] + 50_000, side="right")) - 1)
+            own = got[cuts[at] : cuts[end]]
+            rows, index = nearby(own["seg"].astype(np.int64))
+            key = own["key"][rows].astype(np.int64) << 12 | index
+            order = np.lexsort((own["node"][rows], key))
+            key, rows = key[order], rows[order]
+            new = np.concatenate([[True], key[1:] != key[:-1]])
+            several = ~(new & np.append(new[1:], True))
+            key, rows = key[several], rows[several]
+            if len(key):
+                f, node = np.ascontiguousarray(own["f"][rows]), own["node"][rows]
+                out.append(np.unique(stars(key, node, f) if meet == "stars" else apart(key, node, own["root"][rows], f), axis=1))
+            at = end
+        a, b = np.concatenate(out, axis=1)
+        return pa.table({"a": np.maximum(a, b), "b": np.minimum(a, b)})
+
+    return nodes.select("fp", "root", "sketch").mapInArrow(send, "bucket int, blob binary").groupBy("bucket").applyInArrow(match, "a long, b long").distinct()
 
 
 def _marks(asked: DataFrame, most: int = 27) -> np.ndarray:
@@ -120,9 +185,15 @@ def _marks(asked: DataFrame, most: int = 27) -> np.ndarray:
     return out.ravel()
 
 
-def _verified(pairs: DataFrame, own: DataFrame, percent: int, tag: str) -> DataFrame:
+def _text_print(words: list[bytes]) -> int:
+    """A 64-bit hash of a text's words, signed."""
+    x = xxhash.xxh3_64_intdigest(b" ".join(words), SEED)
+    return x - (1 << 64) if x >> 63 else x
+
+
+def _verified(pairs: DataFrame, texts: DataFrame, percent: int, width: int, tag: str) -> DataFrame:
     """The pairs whose whole shingle sets are alike. Only sets that the marks let through travel, once per task."""
-    spark = own.sparkSession
+    spark = texts.sparkSession
     pairs = materialize(pairs, f"{tag}-pairs")
     asked = materialize(pairs.select(F.col("a").alias("fp")).union(pairs.select("b")).distinct(), f"{tag}-asked")
     shared = spark.sparkContext.broadcast(_marks(asked))
@@ -130,16 +201,18 @@ def _verified(pairs: DataFrame, own: DataFrame, percent: int, tag: str) -> DataF
     def take(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         marks, sent = shared.value, set()
         for batch in batches:
-            fps = batch.column(0).to_numpy(zero_copy_only=False)
-            at = fps & (8 * len(marks) - 1)
-            good = (marks[at >> 3] >> (7 - (at & 7)).astype(np.uint8) & 1).astype(bool)
-            for k in np.flatnonzero(good).tolist():
-                if (f := int(fps[k])) in sent:
-                    good[k] = False
-                sent.add(f)
-            yield batch.filter(pa.array(good))
-
-    sets = own.select("fp", "grams").mapInArrow(take, "fp long, grams binary").join(asked, "fp", "left_semi").groupBy("fp").agg(F.first("grams").alias("grams"))
+            fps, grams = [], []
+            for raw in as_bytes(batch.column(1)):
+                words = raw.lower().split()
+                fp = _text_print(words)
+                at = fp & (8 * len(marks) - 1)
+                if fp not in sent and marks[at >> 3] >> (7 - (at & 7)) & 1:
+                    sent.add(fp)
+                    fps.append(fp)
+                    grams.append(shingle_set(words, width).astype("<u8").tobytes())
+            yield pa.RecordBatch.from_arrays([pa.array(fps, pa.int64()), pa.array(grams, pa.binary())], names=["fp", "grams"])
+
+    sets = texts.mapInArrow(take, "fp long, grams binary").join(asked, "fp", "left_semi").groupBy("fp").agg(F.first("grams").alias("grams"))
     sets = materialize(sets, f"{tag}-sets")
     both = pairs.join(sets.select(F.col("fp").alias("a"), F.col("grams").alias("x")), "a").join(sets.select(F.col("fp").alias("b"), F.col("grams").alias("y")), "b")
 
@@ -153,38 +226,32 @@ def _verified(pairs: DataFrame, own: DataFrame, percent: int, tag: str) -> DataF
 
 
 def similar_groups(docs: DataFrame, percent: int = 80, width: int = WIDTH, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row for each document: doc_id, fp (a 64-bit hash of its shingle set) and component_id, the smallest doc_id
-    that links of texts with a Jaccard similarity of at least `percent` / 100 reach.
+    """One row for each document: doc_id, fp (a 64-bit hash of its words) and component_id, the smallest doc_id that
+    links of texts with a Jaccard similarity of at least `percent` / 100 (80 or more) reach.
 
-    Candidates share a band; first every node meets the smallest of each of its bands, then all pairs of a band that
-    these links leave apart meet too, so a group's size costs no pairs within it. Texts without words are one group;
-    null ids are as in simhash.near_groups()."""
+    First every node meets the centre of its star in each key; then pairs of a key with near sketches that these links
+    leave apart meet too, so a group's size costs no pairs within it. Texts without words are one group; null ids are
+    as in simhash.near_groups(); equal texts are one node; other columns are ignored; whole texts count."""
+    if percent < 80:
+        raise ValueError("the sketches find similarities of 80 percent or more")
+    texts = texts_of(docs, id_col, text_col)
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids, raws = batch.column(0), as_bytes(batch.column(1))
             for a in range(0, len(raws), 500):
-                sets = [shingle_set(x, width) for x in raws[a : a + 500]]
-                prints = np.array([xxhash.xxh64_intdigest(s.astype("<u8").tobytes(), SEED) for s in sets], np.uint64).view(np.int64)
-                bands = [band_keys(s).astype("<u8").tobytes() for s in sets]
-                yield pa.RecordBatch.from_arrays([ids.slice(a, 500), pa.array(prints), pa.array(bands, pa.binary()), pa.array([s.astype("<u8").tobytes() for s in sets], pa.binary())], names=["doc_id", "fp", "bands", "grams"])
-
-    own = materialize(texts_of(docs, id_col, text_col).mapInArrow(scan, "doc_id long, fp long, bands binary, grams binary"), "similar-prints")
-    n = 4 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    nodes = own.groupBy("fp").agg(F.min("doc_id").alias("first"), F.first("bands").alias("bands"))
-    shared = materialize(_shared(nodes, n), "similar-shared")
-    links = _verified(shared.where("fp <> least").select(F.col("fp").alias("a"), F.col("least").alias("b")).distinct(), own, percent, "similar-near")
+                words = [x.lower().split() for x in raws[a : a + 500]]
+                made = sketches([shingle_set(w, width) for w in words])
+                yield pa.RecordBatch.from_arrays([ids.slice(a, 500), pa.array(list(map(_text_print, words)), pa.int64()), pa.array([x.tobytes() for x in made], pa.binary())], names=["doc_id", "fp", "sketch"])
+
+    own = materialize(texts.mapInArrow(scan, "doc_id long, fp long, sketch binary"), "similar-prints")
+    nodes = materialize(own.groupBy("fp").agg(F.min("doc_id").alias("first"), F.first("sketch").alias("sketch")), "similar-nodes")
+    count = nodes.count()
+    links = _verified(_meet(nodes.withColumn("root", F.col("fp")), "stars", count), texts, percent, width, "similar-near")
     found = components(links, "similar-stars").withColumnRenamed("node", "fp")
-
-    def cross(t: pa.Table) -> pa.Table:
-        made = apart(*(t.column(c).to_numpy() for c in ("key", "fp", "root")))
-        return pa.table({"a": made[:, 0], "b": made[:, 1]})
-
-    rooted = shared.join(found, "fp", "left").select("key", "fp", F.coalesce("root", "fp").alias("root"))
-    left = rooted.groupBy(F.pmod("key", F.lit(n)).alias("bucket")).applyInArrow(cross, "a long, b long").distinct()
-    more = _verified(left.join(links, ["a", "b"], "left_anti"), own, percent, "similar-apart")
+    left = _meet(nodes.join(found, "fp", "left").select("fp", F.coalesce("root", "fp").alias("root"), "sketch"), "apart", count)
+    more = _verified(left.join(links, ["a", "b"], "left_anti"), texts, percent, width, "similar-apart")
     found = components(links.union(more), "similar-all").withColumnRenamed("node", "fp")
-    nodes = own.groupBy("fp").agg(F.min("doc_id").alias("first"))
     rooted = materialize(nodes.join(found, "fp", "left").select("fp", "first", F.coalesce("root", "fp").alias("root")), "similar-roots")
     least = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
     return own.select("doc_id", "fp").join(rooted.join(least, "root").select("fp", "component_id"), "fp").select("doc_id", "fp", "component_id")

@@ -4,7 +4,8 @@ import pyarrow.parquet as pq
 
 import corpus_pipeline
 from gridloom.llm import decontam, secrets
-from tests.llm.test_corpus import base, components_of, print_of
+from tests.llm.test_corpus import base
+from tests.llm.test_similar import kept
 
 SF = "/root/testdata/sf0.001"
 
@@ -13,8 +14,8 @@ def test_run(spark):
     table = pq.read_table(f"{SF}/documents.parquet").to_pylist()
     bench = [(r["item_id"], r["text"]) for r in pq.read_table(f"{SF}/benchmark.parquet").to_pylist()]
     docs = [r for r in table if any(c.isalpha() for c in r["text"] or "")]
-    of = components_of([print_of(r["text"]) for r in docs], [r["doc_id"] for r in docs])
-    docs = [r for r, c in zip(docs, of, strict=True) if r["doc_id"] == c]
+    stays = {i for _, i in kept([(r["doc_id"], r["text"], None) for r in docs])}
+    docs = [r for r in docs if r["doc_id"] in stays]
     a = decontam.automaton(decontam.windows_of(bench, 10))
     docs = [r for r in docs if not decontam.hits_of(r["text"].encode(), a)[1]]
     assert 0 < len(docs) < len(table)
