@@ -100,11 +100,31 @@ def bins_of(words: list[bytes]) -> np.ndarray:
     return np.unique(np.array([zlib.crc32(g) % BINS for g in grams_of(words)], dtype=np.int64))
 
 
+def pairs_of(words: list[bytes]) -> set:
+    return set(zip(words, words[1:], strict=False))
+
+
+def blocks_of(raw: bytes) -> Iterator[list[tuple[int, int]]]:
+    """The paragraphs of a text: runs of lines that aren't blank, as (start, end) byte ranges of their lines."""
+    block, at = [], 0
+    for line in raw.split(b"\n"):
+        if line.strip():
+            block.append((at, at + len(line)))
+        elif block:
+            yield block
+            block = []
+        at += len(line) + 1
+    if block:
+        yield block
+
+
 @dataclass(frozen=True)
 class LicenseModel:
-    """weights: bins x classes (the last is unknown), mostly zero; heat divides the scores before the softmax; a
-    paragraph is a licence if its class's probability is at least `least` and at least `share` of its word pairs are
-    in that family's templates, or of some template's pairs in it."""
+    """weights: bins x classes (the last is unknown), mostly zero; heat divides the scores before the softmax.
+
+    A run of lines is a licence if its class's probability is at least `least` and its word pairs agree with that
+    family's templates: at least `share` of them are in these, or, for a single line, `share` of some template's pairs
+    are in the line."""
 
     names: list[str]
     weights: np.ndarray
@@ -121,36 +141,72 @@ class LicenseModel:
         e = np.exp(z - z.max())
         return e / e.sum()
 
-    def confirm(self, name: str, words: list[bytes]) -> float:
-        own = set(zip(words, words[1:], strict=False))
+    def confirm(self, name: str, words: list[bytes], inside: bool) -> float:
+        """Share of the word pairs that are in the family's templates; with `inside`, or of a template's pairs that
+        are in the words, if that is more."""
+        own, of = pairs_of(words), self.pairs[name]
         if not own:
             return 0.0
-        of = self.pairs[name]
-        every = set().union(*of)
-        return max(len(own & every) / len(own), *(len(own & p) / len(p) for p in of))
-
-    def scan(self, raw: bytes) -> tuple[int, list[tuple[str, int, int, float]]]:
-        """Number of paragraphs (lines with a word), and (family, start, end, probability) in code points; adjacent
-        paragraphs of a family are one span with the smallest probability."""
-        lines = raw.split(b"\n")
-        n, at, out, open_ = 0, 0, [], False
-        for line in lines:
-            end = at + len(line.decode(errors="replace"))
-            if line.strip():
-                n += 1
-                words = words_of(line)
-                name = None
-                if not self.triggers.isdisjoint(zip(words, words[1:], strict=False)):
-                    p = self.probabilities(words)
-                    k = int(p.argmax())
-                    if k < len(self.names) - 1 and p[k] >= self.least and self.confirm(self.names[k], words) >= self.share:
-                        name = self.names[k]
-                        if open_ and out[-1][0] == name:
-                            out[-1] = (name, out[-1][1], end, min(out[-1][3], float(p[k])))
-                        else:
-                            out.append((name, at, end, float(p[k])))
-                open_ = name is not None
-            at = end + 1
+        whole = len(own & set().union(*of)) / len(own)
+        return max(whole, *(len(own & p) / len(p) for p in of)) if inside else whole
+
+    def judge(self, words: list[bytes], inside: bool) -> tuple[str, float] | None:
+        p = self.probabilities(words)
+        k = int(p.argmax())
+        if k == len(self.names) - 1 or p[k] < self.least or self.confirm(self.names[k], words, inside) < self.share:
+            return None
+        return self.names[k], float(p[k])
+
+    def may(self, words: list[bytes], inside: bool) -> bool:
+        """Whether confirm() can reach `share` for any family, counted over all templates' pairs together."""
+        own = pairs_of(words)
+        hits = len(own & self.triggers)
+        return hits > 0 and (hits >= self.share * len(own) or inside and hits >= self.share * min(len(p) for of in self.pairs.values() for p in of))
+
+    def runs(self, words: list[list[bytes]], gate: bool) -> list[tuple[int, int, str, float]]:
+        """(first line, end, family, probability) within a block: the whole block if it is a licence; or else the
+        longest runs of lines of which half the pairs are templates', where they are; or else single lines."""
+
+        def found(i: int, j: int, inside: bool) -> tuple[str, float] | None:
+            every = [w for line in words[i:j] for w in line]
+            return self.judge(every, inside) if not gate or self.may(every, inside) else None
+
+        if (whole := found(0, len(words), len(words) == 1)) or len(words) == 1:
+            return [(0, len(words), *whole)] if whole else []
+        out, i = [], 0
+        around = zip([[], *words], words, [*words[1:], []], strict=False)  # a line with the words before and after it
+        like = [2 * len(own & self.triggers) >= len(own) > 0 for own in (pairs_of([*a[-1:], *w, *b[:1]]) for a, w, b in around)]
+        while i < len(words):
+            j = i + 1
+            while like[i] and j < len(words) and like[j]:
+                j += 1
+            if j > i + 1 and (run := found(i, j, False)):
+                out.append((i, j, *run))
+            else:
+                out += [(k, k + 1, *one) for k in range(i, j) if (one := found(k, k + 1, True))]
+            i = j
+        return out
+
+    def scan(self, raw: bytes, gate: bool = True) -> tuple[int, list[tuple[str, int, int, float]]]:
+        """Number of paragraphs (runs of lines that aren't blank), and (family, start, end, probability) in code points;
+        adjacent finds of a family in a paragraph are one span with the smallest probability. Without the gate
+        every paragraph and line is scored; the result is the same."""
+        n, out, at, chars = 0, [], 0, 0
+        for block in blocks_of(raw):
+            n += 1
+            words = words_of(raw[block[0][0] : block[-1][1]])
+            if gate and self.triggers.isdisjoint(zip(words, words[1:], strict=False)):
+                continue
+            last = -1
+            for i, j, name, p in self.runs([words_of(raw[s:e]) for s, e in block], gate):
+                (start, _), (_, end) = block[i], block[j - 1]
+                chars += len(raw[at:start].decode(errors="replace"))
+                size = len(raw[start:end].decode(errors="replace"))
+                if last == i and out[-1][0] == name:
+                    out[-1] = (name, out[-1][1], chars + size, min(out[-1][3], p))
+                else:
+                    out.append((name, chars, chars + size, p))
+                last, at, chars = j, end, chars + size
         return n, out
 
 
@@ -203,41 +259,44 @@ def fit(unknown: list[str], seed: int = 3, each: int = 60) -> LicenseModel:
         return float((np.log(np.exp(s).sum(1)) - s[np.arange(len(s)), y[held]]).mean())
 
     heat = min((0.1, 0.15, 0.2, 0.3, 0.4, 0.5, 0.7, 1.0, 1.5, 2.0), key=loss) if held.any() else 1.0
-    pairs = {f: [set(zip(ws, ws[1:], strict=False)) for ws in (words_of(t.encode()) for t in texts)] for f, texts in TEMPLATES.items()}
+    pairs = {f: [pairs_of(words_of(t.encode())) for t in texts] for f, texts in TEMPLATES.items()}
     triggers = frozenset().union(*(p for of in pairs.values() for p in of))
     return LicenseModel(names, w, b, heat, triggers, pairs)
 
 
-def train(docs: DataFrame, max_train_docs: int = 800, lines_per_doc: int = 3, id_col: str = "doc_id", text_col: str = "text") -> LicenseModel:
-    """Unknowns come from at most max_train_docs documents, at most lines_per_doc lines of each, chosen by their
-    hash; lines in which half the word pairs are a template's are not unknown."""
-    pairs = {p for texts in TEMPLATES.values() for t in texts for w in [words_of(t.encode())] for p in zip(w, w[1:], strict=False)}
+def train(docs: DataFrame, max_train_docs: int = 800, parts_per_doc: int = 3, id_col: str = "doc_id", text_col: str = "text") -> LicenseModel:
+    """Unknowns come from at most max_train_docs documents, at most parts_per_doc whole lines and as many whole
+    paragraphs of each, chosen by their hash; those in which half the word pairs of some line are a template's are not
+    unknown."""
+    pairs = {p for texts in TEMPLATES.values() for t in texts for p in pairs_of(words_of(t.encode()))}
 
-    def lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def like(line: bytes) -> bool:
+        own = pairs_of(words_of(line))
+        return bool(own) and 2 * len(own & pairs) >= len(own)
+
+    def parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
             for raw in as_bytes(batch.column(1)):
-                plain = [x for x in {x.strip() for x in raw.split(b"\n")} if x and not _like(x, pairs)]
-                out += [x[:2000].decode(errors="ignore") for x in sorted(plain, key=zlib.crc32)[:lines_per_doc]]
-            yield pa.RecordBatch.from_arrays([pa.array(out, pa.string())], names=["line"])
-
-    got = bounded_sample(texts_of(docs, id_col, text_col), max_train_docs, salt=9).mapInArrow(lines, "line string").collect()
-    return fit(sorted({r.line for r in got}))
+                blocks = [raw[b[0][0] : b[-1][1]] for b in blocks_of(raw) if not any(like(raw[s:e]) for s, e in b)]
+                lines = {x for x in raw.split(b"\n") if x.strip() and not like(x)}
+                for some in (set(blocks), lines):
+                    out += [x.decode() for x in sorted(some, key=zlib.crc32)[:parts_per_doc]]
+            yield pa.RecordBatch.from_arrays([pa.array(out, pa.string())], names=["part"])
 
-
-def _like(line: bytes, pairs: set) -> bool:
-    w = words_of(line)
-    own = set(zip(w, w[1:], strict=False))
-    return bool(own) and len(own & pairs) / len(own) >= 0.5
+    got = bounded_sample(texts_of(docs, id_col, text_col), max_train_docs, salt=9).mapInArrow(parts, "part string").collect()
+    return fit(sorted({r.part for r in got}))
 
 
 def scan_licenses(docs: DataFrame, model: LicenseModel | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row for each document: doc_id, n_paragraphs (lines with a character that isn't white space) and licenses,
-    an array of (family, start, end, probability), offsets in code points.
-
-    A paragraph is a line. Null or empty texts have none; repeated rows give repeated results; null ids stay null;
-    other columns are ignored; whole texts are read. A line without any word pair of a template cannot be
-    confirmed and is unknown without scoring. Without a model one is trained, see train()."""
+    """One row for each document: doc_id, n_paragraphs and licenses, an array of (family, start, end,
+    probability), offsets in code points.
+
+    A paragraph is a run of lines that aren't blank, so a wrapped notice is one; where it isn't a licence as a whole,
+    the lines in it that read like notices are judged by themselves. Null or empty texts have none; repeated rows give
+    repeated results; null ids stay null; other columns are ignored; whole texts are read. What has too few word pairs
+    of the templates to be confirmed, whatever the classifier says, isn't scored; this takes nothing away. Without a
+    model one is trained, see train()."""
     model = model or train(docs, id_col=id_col, text_col=text_col)
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
