@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 from collections import defaultdict
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import ahocorasick
 import pyarrow as pa
@@ -16,47 +17,61 @@ from gridloom.llm.common import as_bytes
 #: Bytes that belong to a word stay (A-Z lower-cased); all others become a space.
 _FOLD = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
 _WORD = re.compile("[^\x00-\x2f\x3a-\x60\x7b-\x7f]+")
-_cache: dict = {}
 
 
 def words_of(raw: bytes) -> list[bytes]:
     return raw.translate(_FOLD).split()
 
 
-def windows_of(items: list[tuple], window: int) -> dict[str, list[int]]:
-    """Window text -> indices of the items that hold it."""
+def windows_of(items: list[tuple], window: int) -> dict[tuple, list[int]]:
+    """Words of each window -> indices of the items that hold it."""
     out = defaultdict(set)
     for i, (_, text) in enumerate(items):
         words = words_of((text or "").encode())
         for s in range(max(1, len(words) - window + 1) if words else 0):
-            out[" " + b" ".join(words[s : s + window]).decode("latin-1") + " "].add(i)
+            out[tuple(words[s : s + window])].add(i)
     return {k: sorted(v) for k, v in out.items()}
 
 
-def automaton(windows: dict[str, list[int]]) -> ahocorasick.Automaton | None:
-    """Values: (characters, words, item indices)."""
+@dataclass(frozen=True)
+class Matcher:
+    """An Aho-Corasick automaton whose alphabet writes every benchmark word with `digits` characters: digit k is one of
+    the 64 characters from 64 k + 1 on, so that no match begins inside a word. All other words are written NONE."""
+
+    codes: dict
+    digits: int
+    machine: ahocorasick.Automaton
+
+
+NONE = "\0"
+
+
+def automaton(windows: dict[tuple, list[int]], most_bytes: int = 1 << 30) -> Matcher | None:
+    """Values: (words, item indices). ValueError where the automaton could take more than most_bytes (56 for each
+    character of each window)."""
     if not windows:
         return None
+    codes = {w: n for n, w in enumerate(sorted({w for k in windows for w in k}))}
+    digits = max(1, -(-(len(codes) - 1).bit_length() // 6))
+    size = 56 * digits * sum(map(len, windows))
+    if size > most_bytes:
+        raise ValueError(f"{len(windows)} benchmark windows may take {size} bytes, more than most_bytes ({most_bytes})")
+    codes = {w: "".join(chr(1 + 64 * k + (n >> 6 * k & 63)) for k in range(digits)) for w, n in codes.items()}
     a = ahocorasick.Automaton()
-    for text, items in windows.items():
-        a.add_word(text, (len(text), text.count(" ") - 1, tuple(items)))
+    for words, items in windows.items():
+        a.add_word("".join(codes[w] for w in words), (len(words), tuple(items)))
     a.make_automaton()
-    return a
+    return Matcher(codes, digits, a)
 
 
-def hits_of(raw: bytes, a: ahocorasick.Automaton | None) -> tuple[int, list[tuple[int, int, tuple]]]:
+def hits_of(raw: bytes, a: Matcher | None) -> tuple[int, list[tuple[int, int, tuple]]]:
     """Number of words, and (first word, words, items) of each occurrence, from one pass over the text."""
     words = words_of(raw)
     if a is None or not words:
         return len(words), []
-    line = " " + b" ".join(words).decode("latin-1") + " "
-    found, at, k = [], 0, 0
-    for end, (chars, n, items) in a.iter(line):
-        first = end - chars + 1
-        # occurrences come by their end: words before `first` are counted on from the last one where it moved on
-        k, at = (k + line.count(" ", at, first), first) if first >= at else (line.count(" ", 0, first), first)
-        found.append((k, n, items))
-    return len(words), found
+    none, get = NONE * a.digits, a.codes.get
+    line = "".join([get(w, none) for w in words])
+    return len(words), [((end + 1) // a.digits - n, n, items) for end, (n, items) in a.machine.iter(line)]
 
 
 def runs(found: list[tuple[int, int, tuple]]) -> list[tuple[int, int]]:
@@ -70,65 +85,47 @@ def runs(found: list[tuple[int, int, tuple]]) -> list[tuple[int, int]]:
     return [(s, e) for s, e in out]
 
 
-def _own(key: str, items: list[tuple], window: int) -> ahocorasick.Automaton | None:
-    if _cache.get("key") != key:
-        _cache.update(key=key, a=automaton(windows_of(items, window)))
-    return _cache["a"]
-
-
-def _blocks(benchmark: DataFrame, id_col: str, text_col: str, block_chars: int) -> list[list[tuple]]:
-    """The benchmark (a stated query set) in blocks of at most block_chars characters or one item."""
-    blocks, size = [[]], 0
+def _shared(benchmark: DataFrame, id_col: str, text_col: str, window: int, most_bytes: int):
+    """Broadcast of (item ids as strings, automaton): a stated query set of a checked size, built once and unpickled
+    once by each Python worker."""
+    items, chars = [], 0
     for row in benchmark.select(F.col(id_col).cast("string").alias("i"), F.col(text_col).cast("string").alias("t")).toLocalIterator():
-        if blocks[-1] and size + len(row.t or "") > block_chars:
-            blocks.append([])
-            size = 0
-        blocks[-1].append((row.i, row.t))
-        size += len(row.t or "")
-    return blocks
+        chars += len(row.t or "")
+        if chars > most_bytes:
+            raise ValueError(f"the benchmark has more characters than most_bytes ({most_bytes})")
+        items.append((row.i, row.t))
+    return benchmark.sparkSession.sparkContext.broadcast(([i for i, _ in items], automaton(windows_of(items, window), most_bytes)))
 
 
-def find_contamination(docs: DataFrame, benchmark: DataFrame, window: int = 10, block_chars: int = 4_000_000, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
+def find_contamination(docs: DataFrame, benchmark: DataFrame, window: int = 10, most_bytes: int = 1 << 30, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
     """One row for each document: doc_id, n_words, n_hit, items (sorted as strings, distinct) and spans, the
     maximal hit ranges as (start, end) code points of the original text.
 
-    The benchmark is a query set: its blocks of at most block_chars characters each make one automaton that every
-    document passes once. Null or empty texts have no words; an item of fewer than `window` words is one window; null item ids
-    are left out of items; other columns are ignored."""
-    blocks = _blocks(benchmark, item_col, item_text_col, block_chars)
-    own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return own.mapInArrow(_finder(blocks, window), "doc_id long, n_words long, n_hit long, items array<string>, spans array<struct<start:long,end:long>>")
-
-
-def _finder(blocks: list[list[tuple]], window: int):
-    key = str(hash(tuple(map(tuple, blocks)))) + f"/{window}"
+    The benchmark is a query set: its windows make one automaton, broadcast, that every document passes once;
+    ValueError where that could take more than most_bytes. Null or empty texts have no words; an item of fewer than
+    `window` words is one window; null item ids are left out of items; other columns are ignored."""
+    shared = _shared(benchmark, item_col, item_text_col, window, most_bytes)
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
+        names, a = shared.value
         for batch in batches:
-            raws = as_bytes(batch.column(1))
-            rows = [[0, [], set()] for _ in raws]
-            for k, block in enumerate(blocks):  # one automaton in memory at a time
-                a = _own(f"{key}/{k}", block, window)
-                for row, raw in zip(rows, raws, strict=True):
-                    row[0], found = hits_of(raw, a)
-                    row[1] += found
-                    row[2].update(block[i][0] for x in found for i in x[2] if block[i][0] is not None)
-            spans, hit = [], []
-            for row, raw in zip(rows, raws, strict=True):
-                merged = runs(row[1])
+            counts, hit, items, spans = [], [], [], []
+            for raw in as_bytes(batch.column(1)):
+                n, found = hits_of(raw, a)
+                merged = runs(found)
+                counts.append(n)
                 hit.append(sum(e - s for s, e in merged))
-                if merged:
-                    at = [m.span() for m in _WORD.finditer(raw.lower().decode())]  # bytes.lower() touches A-Z only
-                    spans.append([{"start": at[s][0], "end": at[e - 1][1]} for s, e in merged])
-                else:
-                    spans.append([])
+                items.append(sorted({names[i] for x in found for i in x[2] if names[i] is not None}))
+                at = [m.span() for m in _WORD.finditer(raw.lower().decode())] if merged else []  # bytes.lower() touches A-Z only
+                spans.append([{"start": at[s][0], "end": at[e - 1][1]} for s, e in merged])
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array([r[0] for r in rows], pa.int64()), pa.array(hit, pa.int64()), pa.array([sorted(r[2]) for r in rows], pa.list_(pa.string())), pa.array(spans, kind)],
+                [batch.column(0), pa.array(counts, pa.int64()), pa.array(hit, pa.int64()), pa.array(items, pa.list_(pa.string())), pa.array(spans, kind)],
                 names=["doc_id", "n_words", "n_hit", "items", "spans"],
             )
 
-    return find
+    own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    return own.mapInArrow(find, "doc_id long, n_words long, n_hit long, items array<string>, spans array<struct<start:long,end:long>>")
 
 
 def digest(found: DataFrame) -> DataFrame:
@@ -142,19 +139,14 @@ def digest(found: DataFrame) -> DataFrame:
     )
 
 
-def drop_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = 10, text_col: str = "text") -> DataFrame:
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = 10, text_col: str = "text", most_bytes: int = 1 << 30) -> DataFrame:
     """The rows of docs whose text holds no window of the benchmark, columns unchanged; null texts stay."""
-    blocks = _blocks(benchmark, "item_id", "text", 4_000_000)
+    shared = _shared(benchmark, "item_id", "text", window, most_bytes)
     at = docs.columns.index(text_col)
-    key = str(hash(tuple(map(tuple, blocks)))) + f"/{window}"
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        _, a = shared.value
         for batch in batches:
-            raws = as_bytes(batch.column(at))
-            clean = [True] * len(raws)
-            for k, block in enumerate(blocks):
-                a = _own(f"{key}/{k}", block, window)
-                clean = [ok and not hits_of(raw, a)[1] for ok, raw in zip(clean, raws, strict=True)]
-            yield batch.filter(pa.array(clean, pa.bool_()))
+            yield batch.filter(pa.array([not hits_of(raw, a)[1] for raw in as_bytes(batch.column(at))], pa.bool_()))
 
     return docs.mapInArrow(keep, docs.schema)
