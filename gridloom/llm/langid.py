@@ -28,11 +28,16 @@ FAMILIES = {
     "semitic": ("ar", "he", "mt", "am"),
 }
 _FAMILY = {lang: name for name, langs in FAMILIES.items() for lang in langs}
-_LETTER = re.compile(r"[^\W\d_]")
+_LATIN = re.compile("[A-Za-z]")
 BINS = 4096
 _FOLD = np.array([b if 97 <= b <= 122 or b >= 128 else 32 for b in range(256)], dtype=np.uint32)
 
 
+def has_letter(text: str) -> bool:
+    """Whether a character is of Unicode category L (number signs such as ² or Ⅷ are not)."""
+    return bool(_LATIN.search(text)) or any(map(str.isalpha, text))
+
+
 def family(lang: str) -> str:
     return _FAMILY.get(lang, lang)
 
@@ -97,7 +102,7 @@ class LanguageModel:
 
     def predict(self, raws: list[bytes | None]) -> tuple[list[str], list[float]]:
         langs, scores = ["und"] * len(raws), [0.0] * len(raws)
-        at = [i for i, r in enumerate(raws) if r and _LETTER.search(r.decode())] if self.families else []
+        at = [i for i, r in enumerate(raws) if r and has_letter(r.decode())] if self.families else []
         for a, b in slices([len(raws[i]) for i in at], 2_000_000):
             for i, (lang, score) in zip(at[a:b], self._choose([raws[i] for i in at[a:b]]), strict=True):
                 langs[i], scores[i] = lang, score
@@ -165,7 +170,7 @@ def train(docs: DataFrame, held_mod: int = 4, held_rest: int = 2, max_train_docs
             langs, bins, shares = [], [], []
             for raw, lang in zip(as_bytes(batch.column(1)), batch.column(2).to_pylist(), strict=True):
                 b, n = bins_of([raw])
-                if n[0] and _LETTER.search(raw.decode()):
+                if n[0] and has_letter(raw.decode()):
                     count = np.bincount(b, minlength=BINS)
                     at = np.flatnonzero(count)
                     langs.append(lang)
