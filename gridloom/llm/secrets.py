@@ -6,6 +6,7 @@ import hashlib
 import math
 import random
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -107,16 +108,29 @@ def base_spans(text: str, raw: bytes | None = None, runs: list[tuple[int, int]]
     if any(k in low for k in _KEYWORDS):
         found += [(m.start(), 0, m.end()) for m in _ASSIGN.finditer(text) if len(m[2]) >= 6]
     raw = text.encode() if raw is None else raw
+    place = _Places(raw)
     for a, b in _long_runs(raw) if runs is None else runs:
         run = raw[a:b].decode()
         hits = [(m.start(), 1, m.end()) for m in _ACCESS.finditer(run) if m.end() - m.start() >= 20]
         hits += [(m.start(), 2, m.end()) for m in _HEX.finditer(run)]
         if hits:
-            at = len(raw[:a].decode())
+            at = place(a)
             found += [(at + x, k, at + y) for x, k, y in hits]
     return found
 
 
+class _Places:
+    """Code points before ascending byte offsets; each stretch of the text is counted once."""
+
+    def __init__(self, raw: bytes) -> None:
+        self.raw, self.at, self.chars = raw, 0, 0
+
+    def __call__(self, at: int) -> int:
+        self.chars += len(self.raw[self.at : at].decode())
+        self.at = at
+        return self.chars
+
+
 def _long_runs(raw: bytes) -> list[tuple[int, int]]:
     """Byte ranges of 16 or more characters that a key can hold; every rule match but assignments lies in one."""
     if len(raw) < 16:
@@ -135,25 +149,38 @@ def spans_of(raw: bytes, model: RandomStringModel | None) -> list[tuple[int, int
     text, runs = raw.decode(), _long_runs(raw)
     found = base_spans(text, raw, runs)
     if model is not None and runs:
-        extra = []
+        extra, place = [], _Places(raw)
         for a, b in runs:
             run = raw[a:b].decode()
             for m in _TOKEN.finditer(run):
                 if model.score(m.group()) > model.threshold:
-                    at = len(raw[:a].decode())
+                    at = place(a)
                     extra.append((at + m.start(), 3, at + m.end()))
-        found += [x for x in extra if not any(x[0] < e and s < x[2] for s, _, e in found)]
+        taken = _merged(found)
+        begins = [s for s, _ in taken]
+        found += [x for x in extra if not ((k := bisect_left(begins, x[2])) and taken[k - 1][1] > x[0])]
     return sorted(found)
 
 
+def _merged(found: list[tuple[int, int, int]]) -> list[tuple[int, int]]:
+    """Disjoint (start, end) ranges that the spans cover, ascending."""
+    out: list[tuple[int, int]] = []
+    for s, _, e in sorted(found):
+        if out and s < out[-1][1]:
+            out[-1] = (out[-1][0], max(e, out[-1][1]))
+        else:
+            out.append((s, e))
+    return out
+
+
 def told(spans: list[tuple[int, int, int]]) -> str:
     return ",".join(f"{KINDS[k]}:{s}:{e}" for s, k, e in spans)
 
 
 def train(docs: DataFrame, max_train_docs: int = 2000, words_per_doc: int = 40, id_col: str = "doc_id", text_col: str = "text") -> RandomStringModel:
-    """Fits the two chains on labelled strings of at most max_train_docs documents: values that the rules
-    matched (secret) and at most words_per_doc distinct other words (ordinary, see ordinary()), with random_strings()
-    besides."""
+    """Fits the two chains on labelled strings of at most max_train_docs documents: access keys and hexadecimal values
+    that the rules matched (secret; assigned values are left out, for they are as often words as keys) and at most
+    words_per_doc distinct other words (ordinary, see ordinary()), with random_strings() besides."""
 
     def labelled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
