@@ -2,207 +2,276 @@
 
 from __future__ import annotations
 
-import io
 import math
 from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridloom.llm.common import as_bytes, crc_of, materialize, texts_of
-
-CLASSES = 64  # symbols of the trie: the 62 most frequent bytes, one class for the rest, one end
-REST, END = 62, 63
-_cache: dict = {}
-
-
-@dataclass(frozen=True)
-class ByteClasses:
-    """Class of each byte and log10 of its share within the class (0 where it is alone)."""
-
-    of: np.ndarray
-    share: np.ndarray
-
-
-def byte_classes(counts: np.ndarray) -> ByteClasses:
-    """The most frequent bytes stand alone (ties: the smaller byte); the rest share a class, add-one smoothed."""
-    order = np.lexsort((np.arange(256), -counts))
-    of = np.full(256, REST, dtype=np.uint8)
-    of[order[:REST]] = np.arange(REST)
-    share = np.zeros(256)
-    rest = order[REST:]
-    share[rest] = np.log10((counts[rest] + 1) / (counts[rest].sum() + len(rest)))
-    return ByteClasses(of, share)
-
-
-def codes_of(texts: list[bytes], classes: ByteClasses) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """For every byte and one end of each text: the four last classes as one number (ends before the first byte);
-    then symbols in each text, and its classes' log10 shares summed."""
-    lengths = np.array([len(t) + 1 for t in texts], dtype=np.int64)
-    raw = np.frombuffer(b"".join(t + b"\0" for t in texts), dtype=np.uint8)
-    c = classes.of[raw].astype(np.uint32)
-    share = classes.share[raw]
-    last = np.cumsum(lengths) - 1
-    c[last] = END
-    share[last] = 0
-    code = c.copy()
-    for back in (1, 2, 3):
-        before = np.full(len(c), END, dtype=np.uint32)
-        before[back:] = c[:-back]
-        first = np.concatenate([[0], last[:-1] + 1])
-        for k in range(back):  # a text shorter than the context reaches only ends
-            at = first + k
-            before[at[at <= last]] = END
-        code |= before << np.uint32(6 * back)
-    return code, lengths, share
-
-
-def ppm_table(codes: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """log10 probabilities under method C with symbol exclusion, as (row of each order-3 context, rows x symbols).
-
-    codes, counts: the trie's leaves (order-3 context and symbol) and how often each was seen. A context not seen
-    shares the row of the longest of its suffixes that was."""
-    n = CLASSES
-    ctx, sym = codes >> 6, codes & 63
-    order = [np.zeros((n**k, n)) for k in range(3)]
-    for k in range(3):
-        np.add.at(order[k], (ctx % n**k, sym), counts)
-    below = np.full((1, n), 1.0)
-
-    def step(seen: np.ndarray, lower_counts: list[np.ndarray], parents: np.ndarray) -> np.ndarray:
-        """Probabilities for rows `seen`; lower_counts: the counts of every shorter suffix's row, longest first."""
-        out = np.zeros(seen.shape)
-        left = np.ones((len(seen), 1))
-        open_ = np.ones(seen.shape, dtype=bool)
-        for c in [seen, *lower_counts]:
-            c = np.where(open_, c, 0)
-            total, kinds = c.sum(1, keepdims=True), (c > 0).sum(1, keepdims=True)
-            every = kinds == open_.sum(1, keepdims=True)  # nothing to escape to
-            denom = np.where(every, total, total + kinds)
-            hit = (c > 0) & open_
-            out += np.where(hit, left * c / np.maximum(denom, 1), 0)
-            left = np.where(total > 0, np.where(every, 0, left * kinds / np.maximum(denom, 1)), left)
-            open_ &= ~hit
-        rest = open_.sum(1, keepdims=True)
-        return out + np.where(open_, left / np.maximum(rest, 1), 0)
-
-    del below
-    keys, inverse = np.unique(ctx, return_inverse=True)
-    table = [np.empty((0, n), dtype=np.float32)]
-    two = np.arange(n * n)
-    for a in range(0, n * n, 512):
-        ids = two[a : a + 512]
-        table.append(np.log10(step(order[2][ids], [order[1][ids % n], order[0][np.zeros(len(ids), int)]], ids)).astype(np.float32))
-    rows = np.tile(np.arange(n * n, dtype=np.int32), n)
-    leaves = np.argsort(inverse, kind="stable")
-    starts = np.searchsorted(inverse[leaves], np.arange(len(keys) + 1))
-    for a in range(0, len(keys), 512):
-        ids = keys[a : a + 512].astype(np.int64)
-        own = leaves[starts[a] : starts[a + len(ids)]]
-        seen = np.zeros((len(ids), n))
-        seen[inverse[own] - a, sym[own]] = counts[own]
-        table.append(np.log10(step(seen, [order[2][ids % n**2], order[1][ids % n], order[0][np.zeros(len(ids), int)]], ids)).astype(np.float32))
-    rows[keys.astype(np.int64)] = n * n + np.arange(len(keys), dtype=np.int32)
-    return rows, np.concatenate(table)
-
-
-def _score_bytes(texts: list[bytes], model: dict) -> np.ndarray:
-    """log10 probability of each text and its end."""
-    if _cache.get("key") != model["key"]:
-        codes, counts = (np.load(io.BytesIO(x)) for x in (model["codes"], model["counts"]))
-        _cache.update(key=model["key"], table=ppm_table(codes, counts))
-    rows, table = _cache["table"]
-    code, lengths, share = codes_of(texts, model["classes"])
-    logs = table.ravel()[rows[code >> 6].astype(np.int64) * CLASSES + (code & 63)].astype(np.float64) + share
-    total = np.concatenate([[0], np.cumsum(logs)])
-    ends = np.cumsum(lengths)
-    return total[ends] - total[ends - lengths]
-
-
-def _flat(n: int, most: int):
-    for a in range(0, n, most):
-        yield a, min(n, a + most)
-
-
-def corpus_counts(docs: DataFrame, held_mod: int, held_rest: int, classes: ByteClasses, flush: int = 200_000) -> DataFrame:
-    """(word, code, n): how often each word (code null; the empty word is a text's end) and each trie leaf (word
-    null) occurs in training documents, gathered in each task before the shuffle."""
+from gridloom.llm import rounds as R
+from gridloom.llm.common import as_bytes, crc_of, materialize, segment_sums, slices, texts_of
+
+END = 256  # the symbol after a text's last byte, and before its first one
+SYMBOLS = 257
+BASE = 3  # contexts of this order and longer are dealt out, by their last BASE bytes
+STEP = 9  # bits of a symbol
+
+
+def grams_of(texts: list[bytes], order: int) -> tuple[np.ndarray, np.ndarray]:
+    """For every byte and one end of each text: its context, last byte first, and itself as one number; and how many
+    symbols each text has."""
+    n = np.array([len(t) + 1 for t in texts], dtype=np.int64)
+    pad = b"\0" * order
+    x = np.frombuffer(b"".join([pad + t + b"\0" for t in texts]), np.uint8).astype(np.int64)
+    starts = np.cumsum(n + order) - n - order
+    before = (starts[:, None] + np.arange(order)).ravel()
+    x[before] = END
+    x[starts + n + order - 1] = END
+    out = x.copy()
+    for back in range(1, order + 1):
+        out[back:] |= x[:-back] << STEP * (order - back + 1)
+    keep = np.ones(len(x), dtype=bool)
+    keep[before] = False
+    return out[keep], n
+
+
+def _index(keys: np.ndarray, counts: np.ndarray) -> dict:
+    """A trie level: keys (context and symbol, sorted), counts, and the contexts' totals and numbers of symbols."""
+    ctx, first = np.unique(keys >> STEP, return_index=True)
+    total = np.add.reduceat(counts, first) if len(keys) else counts
+    return {"keys": keys, "counts": counts, "ctx": ctx, "total": total, "kinds": np.diff(np.append(first, len(keys)))}
+
+
+def _level(keys: np.ndarray, counts: np.ndarray) -> dict:
+    distinct, inverse = np.unique(keys, return_inverse=True)
+    return _index(distinct, np.bincount(inverse, counts, len(distinct)).astype(np.int64))
+
+
+def _find(sorted_: np.ndarray, values: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    """values at the keys' places; 0 for keys that aren't there."""
+    if not len(sorted_):
+        return np.zeros(len(keys), values.dtype)
+    at = np.minimum(np.searchsorted(sorted_, keys), len(sorted_) - 1)
+    return np.where(sorted_[at] == keys, values[at], 0)
+
+
+def short_levels(keys: np.ndarray, counts: np.ndarray, order: int) -> list[dict]:
+    """Levels 0 to order from the counts of (context of `order` bytes, symbol)."""
+    levels = []
+    for k in range(order + 1):
+        levels.append(_level((keys >> STEP * (order - k + 1)) << STEP | keys & 511, counts))
+    return levels
+
+
+def log_probabilities(grams: np.ndarray, counts: np.ndarray, order: int, short: list[dict]) -> np.ndarray:
+    """log10 probability of each gram's symbol after its context: method C escapes with symbol exclusion.
+
+    grams: sorted and distinct, all grams (of training or not) with the same last bytes; counts: how often each occurs
+    in training; short: the levels below min(BASE, order). What a context has seen, each shorter one has seen too, so
+    that all exclusions of a level are the symbols of the next longer context."""
+    seen = counts > 0
+    own, many = grams[seen], counts[seen]
+    levels = [*short, *(_level((own >> STEP * (order - k + 1)) << STEP | own & 511, many) for k in range(len(short), order + 1))]
+    sym = grams & 511
+    left, p = np.ones(len(grams)), np.zeros(len(grams))
+    open_ = np.ones(len(grams), dtype=bool)
+    gone_n, gone_kinds = np.zeros(len(grams)), np.zeros(len(grams), np.int64)
+    for k in range(order, -1, -1):
+        level = levels[k]
+        ctx = grams >> STEP * (order - k + 1)
+        kinds = _find(level["ctx"], level["kinds"], ctx)
+        c = _find(level["keys"], level["counts"], ctx << STEP | sym)
+        total, new = _find(level["ctx"], level["total"], ctx) - gone_n, kinds - gone_kinds
+        denom = np.where(kinds == SYMBOLS, total, total + new)
+        some = open_ & (total > 0)
+        hit = some & (c > 0)
+        p[hit] = left[hit] * c[hit] / denom[hit]
+        open_ &= ~hit
+        some &= ~hit
+        left[some] *= new[some] / denom[some]
+        gone_kinds = kinds
+        if k:  # what this level's symbols count for one level below
+            entry = level["keys"] >> STEP
+            lower = levels[k - 1]
+            below = _find(lower["keys"], lower["counts"], (entry >> STEP) << STEP | level["keys"] & 511 if k > 1 else level["keys"] & 511)
+            sums = np.add.reduceat(below, np.searchsorted(entry, level["ctx"])) if len(entry) else below
+            gone_n = _find(level["ctx"], sums, ctx)
+    p[open_] = left[open_] / (SYMBOLS - gone_kinds[open_])
+    return np.log10(p)
+
+
+def _bucket(grams: np.ndarray, order: int, n: int) -> np.ndarray:
+    """Bucket of each gram by its last bytes."""
+    last = (grams >> STEP * (order - min(BASE, order) + 1)).astype(np.uint64)
+    return (R.mix(last + np.uint64(1)) % np.uint64(n)).astype(np.int64)
+
+
+def _packed(grams: np.ndarray) -> bytes:
+    return R.planes(np.diff(grams, prepend=0))
+
+
+def _unpacked(blob: bytes) -> np.ndarray:
+    return np.cumsum(R.unplanes(blob, np.int64, len(blob) // 8))
+
+
+def _distinct(texts: list[bytes], order: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct grams sorted, the index of each symbol's one, the texts' lengths in symbols, and each symbol's text."""
+    grams, n = grams_of(texts, order)
+    codes, keys = pd.factorize(grams)
+    rank = np.argsort(keys)
+    at = np.empty(len(keys), np.int64)
+    at[rank] = np.arange(len(keys))
+    return keys[rank], at[codes], n, np.repeat(np.arange(len(texts)), n)
+
+
+def gram_logs(chunks: DataFrame, order: int, learns, count: int) -> DataFrame:
+    """(chunk, replies): for each chunk of documents the log10 probabilities of its distinct grams, as an array of
+    (bucket, logs), each in the order of the bucket's grams.
+
+    Every chunk sends each distinct gram once, with the number of times that it has it in training documents, to the
+    bucket of its last bytes, which holds the whole trie below these. Buckets first add up their grams over 500 chunks
+    at a time, then over all, and answer in the same groups; there are as many as the chunks need."""
+    buckets, parts = max(64, count // 8), -(-count // 500)
+
+    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for chunk, docs in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                ids, raws = R.thaw(docs)
+                keys, code, _, text = _distinct([t.lower() for t in raws], order)
+                n = np.bincount(code[np.array(learns(ids))[text]], minlength=len(keys)).astype("<i4")
+                own = _bucket(keys, order, buckets)
+                by = np.argsort(own, kind="stable")
+                groups = np.split(by, np.flatnonzero(np.diff(own[by])) + 1)
+                for a in range(0, len(groups), 200):
+                    some = groups[a : a + 200]
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array([int(own[g[0]]) for g in some], pa.int32()), pa.array([chunk % parts] * len(some), pa.int32()), pa.array([chunk] * len(some), pa.int64()), pa.array([_packed(keys[g]) for g in some], pa.binary()), pa.array([R.planes(n[g]) for g in some], pa.binary())],
+                        names=["bucket", "part", "chunk", "grams", "counts"],
+                    )
+
+    sent = materialize(chunks.select("chunk", "docs").mapInArrow(send, "bucket int, part int, chunk long, grams binary, counts binary"), "lm-grams")
+
+    def add(t: pa.Table) -> pa.Table:
+        grams = [_unpacked(x) for x in t.column("grams").to_pylist()]
+        kind = "<i4" if "chunk" in t.column_names else "<i8"
+        n = [R.unplanes(x, kind, len(g)) for x, g in zip(t.column("counts").to_pylist(), grams, strict=True)]
+        level = _level(np.concatenate(grams), np.concatenate(n))
+        keys = {c: t.column(c).slice(0, 1) for c in ("bucket", "part") if c in t.column_names}
+        return pa.table({**keys, "grams": pa.array([_packed(level["keys"])], pa.binary()), "counts": pa.array([R.planes(level["counts"])], pa.binary())})
+
+    some = sent.groupBy("bucket", "part").applyInArrow(add, "bucket int, part int, grams binary, counts binary")
+    every = materialize(some.select("bucket", "grams", "counts").groupBy("bucket").applyInArrow(add, "bucket int, grams binary, counts binary"), "lm-trie")
+    base = min(BASE, order)
+
+    def heads(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for x, y in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
+                grams = _unpacked(x)
+                n = R.unplanes(y, np.int64, len(grams))
+                level = _level((grams[n > 0] >> STEP * (order - base + 2)) << STEP | grams[n > 0] & 511, n[n > 0])
+                yield pa.RecordBatch.from_arrays([pa.array(level["keys"]), pa.array(level["counts"])], names=["key", "n"])
+
+    short = []
+    if base:  # at most 257^3 rows, whatever the corpus
+        got = every.mapInArrow(heads, "key long, n long").groupBy("key").agg(F.sum("n").alias("n")).toArrow()
+        short = short_levels(got.column("key").to_numpy(), got.column("n").to_numpy(), base - 1)
+    shared = chunks.sparkSession.sparkContext.broadcast(short)
+
+    def model(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for b, x, y in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                grams = _unpacked(x)
+                logs = log_probabilities(grams, R.unplanes(y, np.int64, len(grams)), order, shared.value)
+                yield pa.RecordBatch.from_arrays([pa.array([b], pa.int32()), pa.array([x], pa.binary()), pa.array([logs.astype("<f4").tobytes()], pa.binary())], names=["bucket", "grams", "logs"])
+
+    table = materialize(every.mapInArrow(model, "bucket int, grams binary, logs binary"), "lm-logs")
+
+    def answer(asked: pa.Table, known: pa.Table) -> pa.Table:
+        if not asked.num_rows:
+            return pa.table({"chunk": pa.array([], pa.int64()), "bucket": pa.array([], pa.int32()), "logs": pa.array([], pa.binary())})
+        grams, logs = _unpacked(known.column("grams")[0].as_py()), np.frombuffer(known.column("logs")[0].as_py(), "<f4")
+        out = [R.planes(logs[np.searchsorted(grams, _unpacked(x))]) for x in asked.column("grams").to_pylist()]
+        return pa.table({"chunk": asked.column("chunk"), "bucket": asked.column("bucket"), "logs": pa.array(out, pa.binary())})
+
+    told = table.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
+    replies = sent.select("bucket", "part", "chunk", "grams").groupBy("bucket", "part").cogroup(told.groupBy("bucket", "part")).applyInArrow(answer, "chunk long, bucket int, logs binary")
+    return replies.groupBy("chunk").agg(F.collect_list(F.struct("bucket", "logs")).alias("replies"))
+
+
+def read_logs(keys: np.ndarray, replies: list, order: int, count: int) -> np.ndarray:
+    """The replies of gram_logs() in the order of the sorted distinct grams."""
+    own = _bucket(keys, order, max(64, count // 8))
+    by = np.argsort(own, kind="stable")
+    blobs = {r["bucket"]: r["logs"] for r in replies}
+    out = np.empty(len(keys))
+    at = 0
+    while at < len(by):
+        logs = R.unplanes(x := blobs[int(own[by[at]])], "<f4", len(x) // 4)
+        out[by[at : at + len(logs)]] = logs
+        at += len(logs)
+    return out
+
+
+def word_counts(docs: DataFrame, held_mod: int, held_rest: int, flush: int = 200_000) -> DataFrame:
+    """(word, n): how often each word occurs in training documents (the empty word is a text's end), gathered in each
+    task before the shuffle."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words: Counter = Counter()
-        leaves = None
 
-        def rows(w: Counter, codes: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays(
-                [pa.array([*w, *[None] * len(codes)], pa.binary()), pa.array(np.concatenate([np.zeros(len(w), np.int64), codes.astype(np.int64)]), pa.int64()), pa.array(np.concatenate([np.fromiter(w.values(), np.int64, len(w)), n]), pa.int64())],
-                names=["word", "code", "n"],
-            )
+        def rows() -> pa.RecordBatch:
+            made = pa.RecordBatch.from_arrays([pa.array(list(words), pa.binary()), pa.array(list(words.values()), pa.int64())], names=["word", "n"])
+            words.clear()
+            return made
 
-        none = np.empty(0, np.int64)
-        for batch in batches:
-            ids, raws = batch.column(0).to_pylist(), as_bytes(batch.column(1))
-            learn = [t.lower() for t, c in zip(raws, crc_of(ids), strict=True) if c % held_mod != held_rest]
-            words[b""] += len(learn)
-            for k, t in enumerate(learn):
-                words.update(t.split())
-                if len(words) > flush:
-                    yield rows(words, none, none)
-                    words.clear()
-            size = np.cumsum([len(t) + 1 for t in learn]) // 1_000_000 if learn else []
-            for part in np.unique(size):
-                code, _, _ = codes_of([t for t, s in zip(learn, size, strict=True) if s == part], classes)
-                if leaves is None:
-                    leaves = np.zeros(CLASSES**4, dtype=np.int64)
-                np.add.at(leaves, code, 1)
-        codes = np.flatnonzero(leaves) if leaves is not None else none
-        n = leaves[codes] if leaves is not None else none
-        del leaves
-        yield rows(Counter({k: v for k, v in words.items() if v}), none, none)
-        for a, b in _flat(len(codes), 1_000_000):
-            yield rows(Counter(), codes[a:b], n[a:b])
-
-    own = texts_of(docs)
-    return own.mapInArrow(count, "word binary, code long, n long").groupBy("word", "code").agg(F.sum("n").alias("n"))
-
-
-def _byte_counts(docs: DataFrame, held_mod: int, held_rest: int) -> np.ndarray:
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(256, dtype=np.int64)
         for batch in batches:
             for t, c in zip(as_bytes(batch.column(1)), crc_of(batch.column(0).to_pylist()), strict=True):
                 if c % held_mod != held_rest:
-                    total += np.bincount(np.frombuffer(t.lower(), dtype=np.uint8), minlength=256)
-        yield pa.RecordBatch.from_pydict({"b": list(range(256)), "n": total.tolist()})
+                    words[b""] += 1
+                    words.update(t.lower().split())
+                    if len(words) > flush:
+                        yield rows()
+        yield rows()
 
-    out = np.zeros(256, dtype=np.int64)
-    for r in texts_of(docs).mapInArrow(count, "b long, n long").groupBy("b").agg(F.sum("n").alias("n")).collect():
-        out[r.b] = r.n
-    return out
+    return texts_of(docs).mapInArrow(count, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
-def score_documents(docs: DataFrame, held_mod: int = 7, held_rest: int = 2, head_words: int = 200_000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def _numbered(texts: DataFrame, chunk_bytes: int) -> tuple[DataFrame, int]:
+    """(chunk, docs): documents in blobs of about chunk_bytes, numbered from 0 without gaps; and how many there are."""
+    packed = materialize(R.packed(texts, chunk_bytes), "lm-chunks")
+    sizes = {r.p: r.n for r in packed.groupBy(F.shiftright("chunk", 33).alias("p")).agg(F.count("*").alias("n")).collect()}
+    start, at = {}, 0
+    for p in sorted(sizes):
+        start[p], at = at, at + sizes[p]
+    first = texts.sparkSession.createDataFrame([(p, n) for p, n in start.items()] or [(0, 0)], "p long, first long")
+    own = packed.withColumn("p", F.shiftright("chunk", 33)).join(F.broadcast(first), "p")
+    return own.select((F.col("first") + F.col("chunk").bitwiseAND(F.lit((1 << 33) - 1))).alias("chunk"), "docs"), at
+
+
+def score_documents(docs: DataFrame, held_mod: int = 7, held_rest: int = 2, order: int = 5, head_words: int = 200_000, chunk_bytes: int = 6_000_000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row for each document: doc_id, held_out (crc32 of the id's text leaves held_rest), n_tokens, n_known,
     train_tokens, base_score and score.
 
     base_score sums log10((c+1)/(N+V+1)) over lower-cased words and one end token. score is the log10 probability
-    of the lower-cased UTF-8 bytes and one end under PPM (order 3, method C escapes, symbol exclusion), whose trie
-    counts every byte of every training document; symbols are 64 byte classes, so that the trie has at most 64^4
-    leaves (16.8 M) whatever the corpus, and is sent to the workers as its leaves seen.
+    of the lower-cased UTF-8 bytes and one end under PPM (contexts of up to `order` bytes, 0 to 6; method C escapes,
+    symbol exclusion), over all 256 bytes and the end. The trie counts every byte of every training document and grows
+    with the corpus; see gram_logs() for how it is dealt out.
 
     Words seen often (a frequency bound that at most head_words words reach) are looked up in the scan; the others
     go by word through a join, counts gathered beforehand by document and word. Null texts count as empty, null ids
     as the empty string; rows of the same doc_id and text get the same result; other columns are ignored; without
     training rows N = V = 0 and every context is new."""
+    if not 0 <= order <= 6:
+        raise ValueError("order must be 0 to 6")
     spark = docs.sparkSession
     own = texts_of(docs, id_col, text_col)
-    classes = byte_classes(_byte_counts(own, held_mod, held_rest))
-    counts = materialize(corpus_counts(own, held_mod, held_rest, classes), "lm-counts")
-    words = counts.where("word is not null")
-    by_size = {r.k: (r.v, r.t) for r in words.groupBy(F.floor(F.log2("n")).alias("k")).agg(F.count("*").alias("v"), F.sum("n").alias("t")).collect()}
+    chunks, count = _numbered(own, chunk_bytes)
+    words = materialize(word_counts(own, held_mod, held_rest), "lm-words")
+    by_size = {r.k: (r.v, r.t) for r in words.where("n > 0").groupBy(F.floor(F.log2("n")).alias("k")).agg(F.count("*").alias("v"), F.sum("n").alias("t")).collect()}
     types, tokens = sum(v for v, _ in by_size.values()), sum(t for _, t in by_size.values())
     least, kept = 1 << 62, 0
     for k in sorted(by_size, reverse=True):
@@ -212,64 +281,48 @@ def score_documents(docs: DataFrame, held_mod: int = 7, held_rest: int = 2, head
         least = 1 << int(k)
     floor = tokens + types + 1
     head = words.where(F.col("n") >= least).select("word", "n").toArrow()
-    leaf = counts.where("word is null").select("code", "n").toArrow()
-    order = np.argsort(leaf.column("code").to_numpy())
-
-    def npy(x: np.ndarray) -> bytes:
-        np.save(f := io.BytesIO(), x)
-        return f.getvalue()
-
-    model = {
-        "key": f"{id(counts)}-{tokens}-{types}-{least}",
-        "codes": npy(leaf.column("code").to_numpy()[order].astype(np.uint32)),
-        "counts": npy(leaf.column("n").to_numpy()[order]),
-        "classes": classes,
-        "words": {bytes(w): math.log10((n + 1) / floor) for w, n in zip(head.column("word").to_pylist(), head.column("n").to_pylist(), strict=True)},
-    }
-    shared = spark.sparkContext.broadcast(model)
+    shared = spark.sparkContext.broadcast({bytes(w): math.log10((n + 1) / floor) for w, n in zip(head.column("word").to_pylist(), head.column("n").to_pylist(), strict=True)})
+    replies = materialize(gram_logs(chunks, order, lambda ids: [c % held_mod != held_rest for c in crc_of(ids)], max(1, count)), "lm-replies")
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """A row with word null for each document (its row number in the task tells repeated ids apart), and one
-        for each word of it that the head doesn't hold."""
-        m = shared.value
-        logs = m["words"]
-        from pyspark import TaskContext
-
-        row = TaskContext.get().partitionId() << 33
+        """A row with word null for each document (numbered, which tells repeated ids apart), and one for each word of
+        it that the head doesn't hold."""
+        logs = shared.value
         for batch in batches:
-            ids, raws = batch.column(0).to_pylist(), [t.lower() for t in as_bytes(batch.column(1))]
-            held = [c % held_mod == held_rest for c in crc_of(ids)]
-            size = np.cumsum([len(t) + 1 for t in raws]) // 1_000_000
-            for part in np.unique(size):
-                at = np.flatnonzero(size == part)
-                texts = [raws[i] for i in at]
-                score = _score_bytes(texts, m)
-                out = {k: [] for k in ("row", "doc_id", "held_out", "word", "n", "in_head", "base", "score")}
-                for i, t, s in zip(at.tolist(), texts, score.tolist(), strict=True):
-                    each = Counter(t.split())
-                    each[b""] = 1
-                    rest = [w for w in each if w not in logs]
-                    n_rest = sum(each[w] for w in rest)
-                    n = sum(each.values())
-                    base = sum(logs[w] * each[w] for w in each if w in logs)
-                    for k, v in (("row", row), ("doc_id", ids[i]), ("held_out", held[i]), ("word", None), ("n", n), ("in_head", n - n_rest), ("base", base), ("score", s)):
-                        out[k].append(v)
-                    k = len(rest)
-                    out["row"] += [row] * k
-                    out["doc_id"] += [None] * k
-                    out["held_out"] += [None] * k
-                    out["word"] += rest
-                    out["n"] += [each[w] for w in rest]
-                    for name in ("in_head", "base", "score"):
-                        out[name] += [None] * k
-                    row += 1
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(out["row"], pa.int64()), pa.array(out["doc_id"], pa.int64()), pa.array(out["held_out"], pa.bool_()), pa.array(out["word"], pa.binary()), pa.array(out["n"], pa.int64()), pa.array(out["in_head"], pa.int64()), pa.array(out["base"], pa.float64()), pa.array(out["score"], pa.float64())],
-                    names=list(out),
-                )
+            for chunk, docs, told in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                ids, raws = R.thaw(docs)
+                raws = [t.lower() for t in raws]
+                keys, code, n_symbols, _ = _distinct(raws, order)
+                scores = segment_sums(read_logs(keys, told, order, max(1, count))[code], n_symbols).tolist()
+                held = [c % held_mod == held_rest for c in crc_of(ids)]
+                del keys, code
+                for a, b in slices([len(t) + 1 for t in raws], 1_000_000):
+                    out = {k: [] for k in ("row", "doc_id", "held_out", "word", "n", "in_head", "base", "score")}
+                    for i in range(a, b):
+                        each = Counter(raws[i].split())
+                        each[b""] = 1
+                        rest = [w for w in each if w not in logs]
+                        n_rest = sum(each[w] for w in rest)
+                        n = sum(each.values())
+                        base = sum(logs[w] * each[w] for w in each if w in logs)
+                        row = chunk << 20 | i
+                        for k, v in (("row", row), ("doc_id", ids[i]), ("held_out", held[i]), ("word", None), ("n", n), ("in_head", n - n_rest), ("base", base), ("score", scores[i])):
+                            out[k].append(v)
+                        k = len(rest)
+                        out["row"] += [row] * k
+                        out["doc_id"] += [None] * k
+                        out["held_out"] += [None] * k
+                        out["word"] += rest
+                        out["n"] += [each[w] for w in rest]
+                        for name in ("in_head", "base", "score"):
+                            out[name] += [None] * k
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(out["row"], pa.int64()), pa.array(out["doc_id"], pa.int64()), pa.array(out["held_out"], pa.bool_()), pa.array(out["word"], pa.binary()), pa.array(out["n"], pa.int64()), pa.array(out["in_head"], pa.int64()), pa.array(out["base"], pa.float64()), pa.array(out["score"], pa.float64())],
+                        names=list(out),
+                    )
 
     schema = "row long, doc_id long, held_out boolean, word binary, n long, in_head long, base double, score double"
-    scanned = materialize(own.mapInArrow(scan, schema), "lm-scan")
+    scanned = materialize(chunks.join(replies, "chunk").select("chunk", "docs", "replies").mapInArrow(scan, schema), "lm-scan")
     tail = scanned.where("word is not null").select("row", "word", "n")
     rare = words.where(F.col("n") < least).select("word", F.col("n").alias("c"))
     logs = F.col("n") * F.log10((F.coalesce("c", F.lit(0)) + 1) / F.lit(float(floor)))

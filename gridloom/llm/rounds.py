@@ -34,9 +34,9 @@ def thaw(blob: bytes) -> tuple[list, list[bytes]]:
     return t.column("i").to_pylist(), t.column("t").to_pylist()
 
 
-def chunks_of(texts: DataFrame, chunk_bytes: int = 4_000_000) -> DataFrame:
-    """(chunk, docs): rows of about chunk_bytes bytes of text (a longer document is a chunk of its own), sorted into
-    partitions by chunk and kept on the executors' disks; a lost part is made again from the table."""
+def packed(texts: DataFrame, chunk_bytes: int) -> DataFrame:
+    """(chunk, docs): rows of about chunk_bytes bytes of text (a longer document is a chunk of its own); a chunk's
+    number is the task's, shifted by 33 bits, and its own in the task."""
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -57,8 +57,14 @@ def chunks_of(texts: DataFrame, chunk_bytes: int = 4_000_000) -> DataFrame:
         if ids:
             yield row()
 
+    return texts.mapInArrow(pack, "chunk long, docs binary")
+
+
+def chunks_of(texts: DataFrame, chunk_bytes: int = 4_000_000) -> DataFrame:
+    """packed() rows, sorted into partitions by chunk and kept on the executors' disks; a lost part is made again from
+    the table."""
     n = 2 * int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return texts.mapInArrow(pack, "chunk long, docs binary").repartition(n, "chunk").persist(StorageLevel.DISK_ONLY)
+    return packed(texts, chunk_bytes).repartition(n, "chunk").persist(StorageLevel.DISK_ONLY)
 
 
 def with_replies(chunks: DataFrame, replies: list[DataFrame]) -> DataFrame:

@@ -109,43 +109,60 @@ def test_lm_base(docs):
         assert r.held_out == h and r.n_known == sum(count[x] > 0 for x in w)
 
 
-def test_ppm_against_recursion():
-    """The table against PPM-C with exclusion, written out over dictionaries."""
-    rng = random.Random(4)
-    texts = ["".join(rng.choices("abracd ", k=rng.randint(0, 60))).encode() for _ in range(30)]
-    classes = lm.byte_classes(np.bincount(np.frombuffer(b"".join(texts), np.uint8), minlength=256))
-    code, lengths, share = lm.codes_of(texts, classes)
-    keys, n = np.unique(code, return_counts=True)
-    rows, table = lm.ppm_table(keys, n)
-    tries = [defaultdict(Counter) for _ in range(4)]
-    syms = [[*classes.of[list(t)].tolist(), lm.END] for t in texts]
-    for s in syms:
-        h = [lm.END] * 3 + s
-        for j in range(3, len(h)):
-            for o in range(4):
+def recursion(train, order):
+    """PPM with method C escapes and exclusion, written out over dictionaries: log10 probability of a text."""
+    tries = [defaultdict(Counter) for _ in range(order + 1)]
+
+    def symbols(t):
+        return [256] * order + [*t, 256]
+
+    for t in train:
+        h = symbols(t)
+        for j in range(order, len(h)):
+            for o in range(order + 1):
                 tries[o][tuple(h[j - o : j])][h[j]] += 1
 
-    def p(ctx, x):
+    def p(h, j):
         left, out = 1.0, set()
-        for o in (3, 2, 1, 0):
-            c = {k: m for k, m in tries[o][tuple(ctx[len(ctx) - o :])].items() if k not in out}
+        for o in range(order, -1, -1):
+            c = {k: m for k, m in tries[o].get(tuple(h[j - o : j]), {}).items() if k not in out}
             if not c:
                 continue
-            full = len(c) + len(out) == lm.CLASSES
+            full = len(c) + len(out) == 257
             total = sum(c.values()) + (0 if full else len(c))
-            if x in c:
-                return left * c[x] / total
+            if h[j] in c:
+                return left * c[h[j]] / total
             left *= len(c) / total
             out |= set(c)
-        return left / (lm.CLASSES - len(out))
-
-    for s, part in zip([*syms, [1, 61, 5, 60]], [*range(len(syms)), None], strict=True):
-        h = [lm.END] * 3 + s
-        for j in range(3, len(h)):
-            ctx = h[j - 3 : j]
-            k = (ctx[0] * 64 + ctx[1]) * 64 + ctx[2]
-            assert table[rows[k], h[j]] == pytest.approx(log10(p(ctx, h[j])), abs=1e-4)
-    assert np.allclose((10.0 ** table.astype(float)).sum(1), 1, atol=1e-4)
+        return left / (257 - len(out))
+
+    return lambda t: sum(log10(p(symbols(t), j)) for j in range(order, len(t) + order + 1))
+
+
+@pytest.mark.parametrize("order", [0, 1, 2, 3, 5])
+def test_score_against_recursion(spark, order):
+    """The query's score column, over scripts of which every byte counts."""
+    rng = random.Random(4)
+    texts = ["".join(rng.choices("abracd ", k=rng.randint(0, 60))) for _ in range(60)]
+    texts += ["".join(rng.choices(s, k=40)) for s in ("абвгд еж", "中文字符測試", "Aé ñÇ") for _ in range(8)] + [None, "", "AbRa" * 9, texts[3], texts[3]]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    score = recursion([lower(t).encode() for i, t in enumerate(texts) if zlib.crc32(str(i).encode()) % 7 != 2], order)
+    for r in lm.score_documents(docs, order=order, chunk_bytes=400).collect():
+        assert r.score == pytest.approx(score(lower(texts[r.doc_id]).encode()), abs=1e-3)
+
+
+def test_ppm_sums_to_one():
+    rng = np.random.Generator(np.random.PCG64(2))
+    texts = [bytes(rng.integers(97, 101, 50).astype(np.uint8)) for _ in range(20)] + [bytes(range(256))]
+    keys, counts = np.unique(lm.grams_of(texts, 4)[0], return_counts=True)
+    short = lm.short_levels((keys >> 9 * 3) << 9 | keys & 511, counts, 2)
+    for ctx in np.unique(keys >> 9)[::25].tolist():
+        own = ctx << 9 | np.arange(257)
+        every = np.union1d(keys, own)
+        at = np.zeros(len(every), np.int64)
+        at[np.searchsorted(every, keys)] = counts
+        p = 10 ** lm.log_probabilities(every, at, 4, short)[np.searchsorted(every, own)]
+        assert p.sum() == pytest.approx(1, abs=1e-9)
 
 
 def test_media(docs):
