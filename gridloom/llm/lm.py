@@ -118,14 +118,14 @@ def _unpacked(blob: bytes) -> np.ndarray:
     return np.cumsum(R.unplanes(blob, np.int64, len(blob) // 8))
 
 
-def _distinct(texts: list[bytes], order: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct grams sorted, the index of each symbol's one, the texts' lengths in symbols, and each symbol's text."""
+def _distinct(texts: list[bytes], order: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct grams sorted, the index of each symbol's one, and the texts' lengths in symbols."""
     grams, n = grams_of(texts, order)
     codes, keys = pd.factorize(grams)
     rank = np.argsort(keys)
-    at = np.empty(len(keys), np.int64)
-    at[rank] = np.arange(len(keys))
-    return keys[rank], at[codes], n, np.repeat(np.arange(len(texts)), n)
+    at = np.empty(len(keys), np.int32)
+    at[rank] = np.arange(len(keys), dtype=np.int32)
+    return keys[rank], at[codes], n
 
 
 def gram_logs(chunks: DataFrame, order: int, learns, count: int) -> DataFrame:
@@ -141,8 +141,8 @@ def gram_logs(chunks: DataFrame, order: int, learns, count: int) -> DataFrame:
         for batch in batches:
             for chunk, docs in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 ids, raws = R.thaw(docs)
-                keys, code, _, text = _distinct([t.lower() for t in raws], order)
-                n = np.bincount(code[np.array(learns(ids))[text]], minlength=len(keys)).astype("<i4")
+                keys, code, n = _distinct([t.lower() for t in raws], order)
+                n = np.bincount(code[np.repeat(np.array(learns(ids), dtype=bool), n)], minlength=len(keys)).astype("<i4")
                 own = _bucket(keys, order, buckets)
                 by = np.argsort(own, kind="stable")
                 groups = np.split(by, np.flatnonzero(np.diff(own[by])) + 1)
@@ -252,7 +252,7 @@ def _numbered(texts: DataFrame, chunk_bytes: int) -> tuple[DataFrame, int]:
     return own.select((F.col("first") + F.col("chunk").bitwiseAND(F.lit((1 << 33) - 1))).alias("chunk"), "docs"), at
 
 
-def score_documents(docs: DataFrame, held_mod: int = 7, held_rest: int = 2, order: int = 5, head_words: int = 200_000, chunk_bytes: int = 6_000_000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def score_documents(docs: DataFrame, held_mod: int = 7, held_rest: int = 2, order: int = 5, head_words: int = 200_000, chunk_bytes: int = 4_000_000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row for each document: doc_id, held_out (crc32 of the id's text leaves held_rest), n_tokens, n_known,
     train_tokens, base_score and score.
 
@@ -292,7 +292,7 @@ def score_documents(docs: DataFrame, held_mod: int = 7, held_rest: int = 2, orde
             for chunk, docs, told in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 ids, raws = R.thaw(docs)
                 raws = [t.lower() for t in raws]
-                keys, code, n_symbols, _ = _distinct(raws, order)
+                keys, code, n_symbols = _distinct(raws, order)
                 scores = segment_sums(read_logs(keys, told, order, max(1, count))[code], n_symbols).tolist()
                 held = [c % held_mod == held_rest for c in crc_of(ids)]
                 del keys, code
