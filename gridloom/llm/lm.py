@@ -128,6 +128,36 @@ def _distinct(texts: list[bytes], order: int) -> tuple[np.ndarray, np.ndarray, n
     return keys[rank], at[codes], n
 
 
+def _counted(texts: list[bytes], learn: list[bool], order: int) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct grams of all texts, sorted, and how often each occurs in those to learn from."""
+    made = []
+    for kind in (True, False):
+        grams = np.sort(grams_of([t for t, x in zip(texts, learn, strict=True) if x == kind], order)[0])
+        first = np.flatnonzero(np.concatenate([grams[:1] == grams[:1], grams[1:] != grams[:-1]]))
+        made.append((grams[first], np.diff(np.append(first, len(grams)))))
+    (own, n), (other, _) = made
+    keys = np.union1d(own, other)
+    counts = np.zeros(len(keys), "<i4")
+    counts[np.searchsorted(keys, own)] = n
+    return keys, counts
+
+
+def _words(raws: list[bytes], logs: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, pa.Array, np.ndarray]:
+    """Of each text: tokens (words and one end), those that logs holds and the sum of their logs; and the index of the
+    text, word and number of occurrences of each word that logs doesn't hold."""
+    split = [[*t.split(), b""] for t in raws]
+    n = np.array([len(w) for w in split], dtype=np.int64)
+    coded = pa.array([w for words in split for w in words], pa.binary()).dictionary_encode()
+    size = max(1, len(coded.dictionary))
+    pairs, times = np.unique(np.repeat(np.arange(len(raws)), n) * size + coded.indices.to_numpy(), return_counts=True)
+    text, word = np.divmod(pairs, size)
+    of = np.array([logs.get(w, np.nan) for w in coded.dictionary.to_pylist()], dtype=np.float64)[word]
+    known = ~np.isnan(of)
+    here = np.bincount(text[known], times[known], len(raws)).astype(np.int64)
+    base = np.bincount(text[known], of[known] * times[known], len(raws))
+    return n, here, base, text[~known], coded.dictionary.take(pa.array(word[~known])), times[~known]
+
+
 def gram_logs(chunks: DataFrame, order: int, learns, count: int) -> DataFrame:
     """(chunk, replies): for each chunk of documents the log10 probabilities of its distinct grams, as an array of
     (bucket, logs), each in the order of the bucket's grams.
@@ -141,8 +171,7 @@ def gram_logs(chunks: DataFrame, order: int, learns, count: int) -> DataFrame:
         for batch in batches:
             for chunk, docs in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 ids, raws = R.thaw(docs)
-                keys, code, n = _distinct([t.lower() for t in raws], order)
-                n = np.bincount(code[np.repeat(np.array(learns(ids), dtype=bool), n)], minlength=len(keys)).astype("<i4")
+                keys, n = _counted([t.lower() for t in raws], learns(ids), order)
                 own = _bucket(keys, order, buckets)
                 by = np.argsort(own, kind="stable")
                 groups = np.split(by, np.flatnonzero(np.diff(own[by])) + 1)
@@ -297,29 +326,17 @@ def score_documents(docs: DataFrame, held_mod: int = 7, held_rest: int = 2, orde
                 held = [c % held_mod == held_rest for c in crc_of(ids)]
                 del keys, code
                 for a, b in slices([len(t) + 1 for t in raws], 1_000_000):
-                    out = {k: [] for k in ("row", "doc_id", "held_out", "word", "n", "in_head", "base", "score")}
-                    for i in range(a, b):
-                        each = Counter(raws[i].split())
-                        each[b""] = 1
-                        rest = [w for w in each if w not in logs]
-                        n_rest = sum(each[w] for w in rest)
-                        n = sum(each.values())
-                        base = sum(logs[w] * each[w] for w in each if w in logs)
-                        row = chunk << 20 | i
-                        for k, v in (("row", row), ("doc_id", ids[i]), ("held_out", held[i]), ("word", None), ("n", n), ("in_head", n - n_rest), ("base", base), ("score", scores[i])):
-                            out[k].append(v)
-                        k = len(rest)
-                        out["row"] += [row] * k
-                        out["doc_id"] += [None] * k
-                        out["held_out"] += [None] * k
-                        out["word"] += rest
-                        out["n"] += [each[w] for w in rest]
-                        for name in ("in_head", "base", "score"):
-                            out[name] += [None] * k
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(out["row"], pa.int64()), pa.array(out["doc_id"], pa.int64()), pa.array(out["held_out"], pa.bool_()), pa.array(out["word"], pa.binary()), pa.array(out["n"], pa.int64()), pa.array(out["in_head"], pa.int64()), pa.array(out["base"], pa.float64()), pa.array(out["score"], pa.float64())],
-                        names=list(out),
-                    )
+                    n, here, base, text, rest, times = _words(raws[a:b], logs)
+                    row = chunk << 20 | np.arange(a, b)
+                    for k in (0, 1):
+                        size = (b - a, len(text))[k]
+                        none = lambda kind: pa.nulls(size, kind)  # noqa: B023, E731
+                        yield pa.RecordBatch.from_arrays(
+                            [pa.array(row), pa.array(ids[a:b], pa.int64()), pa.array(held[a:b], pa.bool_()), none(pa.binary()), pa.array(n), pa.array(here), pa.array(base), pa.array(scores[a:b], pa.float64())]
+                            if k == 0
+                            else [pa.array(row[text]), none(pa.int64()), none(pa.bool_()), rest, pa.array(times), none(pa.int64()), none(pa.float64()), none(pa.float64())],
+                            names=["row", "doc_id", "held_out", "word", "n", "in_head", "base", "score"],
+                        )
 
     schema = "row long, doc_id long, held_out boolean, word binary, n long, in_head long, base double, score double"
     scanned = materialize(chunks.join(replies, "chunk").select("chunk", "docs", "replies").mapInArrow(scan, schema), "lm-scan")
