@@ -18,18 +18,21 @@ from pyspark.sql import functions as F
 
 from gridloom.llm.common import as_bytes, materialize, texts_of
 from gridloom.llm.components import components
+from gridloom.llm.rounds import NO_ID
 from gridloom.llm.simhash import codeword_index
 
 SEED = 42
 WIDTH = 5  # words of a shingle
 TABLES, BITS = 16, 23  # pairs of segments, and the width of a segment: a word of the Golay code
 WORDS = 12  # 64-bit words of a sketch; the last two also serve to compare candidates
-FAR = 46  # differing bits of 128 at most: six deviations above the mean of two sets at 0.8
+FAR = 46  # differing bits of these 128 at most: six deviations above the mean of two sets at 0.8
+FAR_WHOLE = 200  # of all 768, likewise
 _rng = np.random.Generator(np.random.PCG64(SEED))
 _PLACE = _rng.integers(0, 1 << 64, 64, dtype=np.uint64) | np.uint64(1)
 _XOR = _rng.integers(0, 1 << 64, WORDS, dtype=np.uint64)
 _FLIPS = np.concatenate([[0], 1 << np.arange(BITS)])
-_ROW = np.dtype([("key", "<u2"), ("seg", "<u4"), ("node", "<i8"), ("root", "<i8"), ("f", "<u8", 2)])
+_ROW = np.dtype([("key", "<u2"), ("seg", "<u4"), ("node", "<i8"), ("f", "<u8", 2)])
+_ROOTED = np.dtype([*_ROW.descr, ("root", "<i8")])
 
 
 def _mixed(x: np.ndarray) -> np.ndarray:
@@ -91,23 +94,29 @@ def alike(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
     return 100 * n >= percent * (len(a) + len(b) - n)
 
 
-def stars(key: np.ndarray, node: np.ndarray, f: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(node, centre): in each key the smallest node is a centre for all nodes whose sketches are near to its own; the
-    smallest of those left over is the next one. Entries are sorted by key and node."""
-    left, out = np.arange(len(key)), [np.zeros((2, 0), np.int64)]
+def stars(key: np.ndarray, node: np.ndarray, f: np.ndarray) -> np.ndarray:
+    """2 x pairs. In each key the smallest node is a centre and takes all nodes whose sketches are near to its own; the
+    smallest of those left over is the next centre, which also meets the nodes near to it that earlier ones took.
+    So every node that is near to another one of its key is in some pair. Entries are sorted by key and node."""
+    start = np.searchsorted(key, key, side="left")
+    taken, left, out = np.zeros(len(key), bool), np.arange(len(key)), [np.zeros((2, 0), np.int64)]
     while len(left):
         first = np.concatenate([[True], key[left[1:]] != key[left[:-1]]])
-        centre = left[first][np.cumsum(first) - 1]
+        own = left[first]
+        before = np.cumsum(np.concatenate([[0], taken]))
+        n = np.where(before[own] > before[start[own]], own - start[own], 0)
+        centre, earlier = np.repeat(own, n), np.repeat(start[own] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
+        near = taken[earlier] & (np.bitwise_count(f[earlier] ^ f[centre]).sum(axis=1) <= FAR)
+        out.append(np.stack([node[earlier[near]], node[centre[near]]]))
+        centre = own[np.cumsum(first) - 1]
         near = ~first & (np.bitwise_count(f[left] ^ f[centre]).sum(axis=1) <= FAR)
         out.append(np.stack([node[left[near]], node[centre[near]]]))
+        taken[left[near]] = True
         left = left[~first & ~near]
-        if len(left):  # keys with one entry left are done with
-            new = np.concatenate([[True], key[left[1:]] != key[left[:-1]]])
-            left = left[~(new & np.append(new[1:], True))]
     return np.concatenate(out, axis=1)
 
 
-def apart(key: np.ndarray, node: np.ndarray, root: np.ndarray, f: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def apart(key: np.ndarray, node: np.ndarray, root: np.ndarray, f: np.ndarray) -> np.ndarray:
     """All pairs of nodes with near sketches that share a key but not the root. Entries are sorted by key."""
     first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
     size = np.diff(np.append(first, len(key)))
@@ -126,6 +135,7 @@ def _meet(nodes: DataFrame, meet: str, count: int, bucket_rows: int = 200_000) -
     index of the first segment of each table; the second one is decoded there. Rows travel as packed blobs, one per
     bucket and batch, and there are as many buckets as hold bucket_rows rows each."""
     n = max(1, min(TABLES << 12, count * TABLES * 6 // bucket_rows))
+    kind = _ROW if meet == "stars" else _ROOTED
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -136,15 +146,17 @@ def _meet(nodes: DataFrame, meet: str, count: int, bucket_rows: int = 200_000) -
                 seg = segments(sketch)
                 for t in range(TABLES):
                     rows, index = nearby(seg[:, 2 * t])
-                    made = np.empty(len(rows), _ROW)
-                    made["key"], made["seg"], made["node"], made["root"], made["f"] = t << 12 | index, seg[rows, 2 * t + 1], fp[rows], root[rows], sketch[rows, -2:]
+                    made = np.empty(len(rows), kind)
+                    made["key"], made["seg"], made["node"], made["f"] = t << 12 | index, seg[rows, 2 * t + 1], fp[rows], sketch[rows, -2:]
+                    if kind is _ROOTED:
+                        made["root"] = root[rows]
                     bucket = (made["key"].astype(np.int64) * 0x9E3779B1 >> 7) % n
                     order = np.argsort(bucket, kind="stable")
                     parts = np.split(order, np.flatnonzero(np.diff(bucket[order])) + 1)
                     yield pa.RecordBatch.from_arrays([pa.array([int(bucket[p[0]]) for p in parts], pa.int32()), pa.array([made[p].tobytes() for p in parts], pa.binary())], names=["bucket", "blob"])
 
     def match(t: pa.Table) -> pa.Table:
-        got = np.frombuffer(b"".join(t.column("blob").to_pylist()), _ROW)
+        got = np.frombuffer(b"".join(t.column("blob").to_pylist()), kind)
         out = [np.zeros((2, 0), np.int64)]
         got = got[np.argsort(got["key"], kind="stable")]
         cuts = np.append(np.flatnonzero(np.concatenate([[True], got["key"][1:] != got["key"][:-1]])), len(got))
@@ -169,52 +181,71 @@ def _meet(nodes: DataFrame, meet: str, count: int, bucket_rows: int = 200_000) -
     return nodes.select("fp", "root", "sketch").mapInArrow(send, "bucket int, blob binary").groupBy("bucket").applyInArrow(match, "a long, b long").distinct()
 
 
+def _text_print(words: list[bytes]) -> int:
+    """A 64-bit hash of a text's words, signed."""
+    x = xxhash.xxh3_64_intdigest(b" ".join(words), SEED)
+    return x - (1 << 64) if x >> 63 else x
+
+
+def _ticket(fp: int, doc_id: int | None) -> int:
+    """A number of 32 bits for a node and the document that stands for it."""
+    return xxhash.xxh32_intdigest(b"%d %d" % (fp, NO_ID if doc_id is None else doc_id), SEED)
+
+
 def _marks(asked: DataFrame, most: int = 27) -> np.ndarray:
-    """A bit for the lowest digits of every fp asked for, of at most 2^27 bits."""
+    """A bit for the lowest digits of the ticket of every (fp, first) asked for, of at most 2^27 bits."""
     bits = min(most, max(16, (64 * asked.count()).bit_length()))
 
+    def tickets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([_ticket(f, i) & (1 << bits) - 1 for f, i in zip(*(c.to_pylist() for c in batch.columns), strict=True)], pa.int64())], names=["x"])
+
     def pack(t: pa.Table) -> pa.Table:
         on = np.zeros(1 << 16, np.uint8)
-        on[t.column("fp").to_numpy() & 0xFFFF] = 1
+        on[t.column("x").to_numpy() & 0xFFFF] = 1
         return pa.table({"part": t.column("part").slice(0, 1), "blob": pa.array([np.packbits(on).tobytes()], pa.binary())})
 
     out = np.zeros((1 << bits - 16, 1 << 13), np.uint8)
-    parts = asked.select("fp", F.shiftright("fp", 16).bitwiseAND(F.lit((1 << bits - 16) - 1)).alias("part"))
+    parts = asked.select("fp", "first").mapInArrow(tickets, "x long").select("x", F.shiftright("x", 16).alias("part"))
     for r in parts.groupBy("part").applyInArrow(pack, "part long, blob binary").toLocalIterator():
         out[r.part] = np.frombuffer(bytes(r.blob), np.uint8)
     return out.ravel()
 
 
-def _text_print(words: list[bytes]) -> int:
-    """A 64-bit hash of a text's words, signed."""
-    x = xxhash.xxh3_64_intdigest(b" ".join(words), SEED)
-    return x - (1 << 64) if x >> 63 else x
+def _verified(pairs: DataFrame, nodes: DataFrame, texts: DataFrame, percent: int, width: int, tag: str) -> DataFrame:
+    """The pairs (a, b) whose whole shingle sets are alike. Pairs whose whole sketches are far apart go first; then the
+    sets of one document for each node left travel, found by a scan that lets the marked ones through."""
+    spark = texts.sparkSession
+    sides = [nodes.select(F.col("fp").alias(c), F.col("sketch").alias(f"s{c}"), F.col("first").alias(f"f{c}")) for c in "ab"]
 
+    def close(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), "<u8").reshape(-1, WORDS) for c in (4, 5))
+            yield batch.select(["a", "b", "fa", "fb"]).filter(pa.array(np.bitwise_count(x ^ y).sum(axis=1) <= FAR_WHOLE))
 
-def _verified(pairs: DataFrame, texts: DataFrame, percent: int, width: int, tag: str) -> DataFrame:
-    """The pairs whose whole shingle sets are alike. Only sets that the marks let through travel, once per task."""
-    spark = texts.sparkSession
-    pairs = materialize(pairs, f"{tag}-pairs")
-    asked = materialize(pairs.select(F.col("a").alias("fp")).union(pairs.select("b")).distinct(), f"{tag}-asked")
+    near = pairs.join(sides[0], "a").join(sides[1], "b").select("a", "b", "fa", "fb", "sa", "sb").mapInArrow(close, "a long, b long, fa long, fb long")
+    near = materialize(near, f"{tag}-pairs")
+    asked = materialize(near.select(F.col("a").alias("fp"), F.col("fa").alias("first")).union(near.select("b", "fb")).distinct(), f"{tag}-asked")
     shared = spark.sparkContext.broadcast(_marks(asked))
 
     def take(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         marks, sent = shared.value, set()
         for batch in batches:
             fps, grams = [], []
-            for raw in as_bytes(batch.column(1)):
+            for i, raw in zip(batch.column(0).to_pylist(), as_bytes(batch.column(1)), strict=True):
                 words = raw.lower().split()
                 fp = _text_print(words)
-                at = fp & (8 * len(marks) - 1)
-                if fp not in sent and marks[at >> 3] >> (7 - (at & 7)) & 1:
-                    sent.add(fp)
+                at = _ticket(fp, i) & (8 * len(marks) - 1)
+                if marks[at >> 3] >> (7 - (at & 7)) & 1 and (i is not None or fp not in sent):
+                    if i is None:
+                        sent.add(fp)
                     fps.append(fp)
                     grams.append(shingle_set(words, width).astype("<u8").tobytes())
             yield pa.RecordBatch.from_arrays([pa.array(fps, pa.int64()), pa.array(grams, pa.binary())], names=["fp", "grams"])
 
-    sets = texts.mapInArrow(take, "fp long, grams binary").join(asked, "fp", "left_semi").groupBy("fp").agg(F.first("grams").alias("grams"))
+    sets = texts.mapInArrow(take, "fp long, grams binary").join(asked.select("fp"), "fp", "left_semi").groupBy("fp").agg(F.first("grams").alias("grams"))
     sets = materialize(sets, f"{tag}-sets")
-    both = pairs.join(sets.select(F.col("fp").alias("a"), F.col("grams").alias("x")), "a").join(sets.select(F.col("fp").alias("b"), F.col("grams").alias("y")), "b")
+    both = near.join(sets.select(F.col("fp").alias("a"), F.col("grams").alias("x")), "a").join(sets.select(F.col("fp").alias("b"), F.col("grams").alias("y")), "b")
 
     def decide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -229,8 +260,9 @@ def similar_groups(docs: DataFrame, percent: int = 80, width: int = WIDTH, id_co
     """One row for each document: doc_id, fp (a 64-bit hash of its words) and component_id, the smallest doc_id that
     links of texts with a Jaccard similarity of at least `percent` / 100 (80 or more) reach.
 
-    First every node meets the centre of its star in each key; then pairs of a key with near sketches that these links
-    leave apart meet too, so a group's size costs no pairs within it. Texts without words are one group; null ids are
+    First every node meets the smallest centre that it is near to in any key; then its other centres, where the links
+    so far leave both apart; then all pairs of a key with near sketches that are still apart. So a group's size costs
+    no pairs within it. Texts without words are one group; null ids are
     as in simhash.near_groups(); equal texts are one node; other columns are ignored; whole texts count."""
     if percent < 80:
         raise ValueError("the sketches find similarities of 80 percent or more")
@@ -247,10 +279,23 @@ def similar_groups(docs: DataFrame, percent: int = 80, width: int = WIDTH, id_co
     own = materialize(texts.mapInArrow(scan, "doc_id long, fp long, sketch binary"), "similar-prints")
     nodes = materialize(own.groupBy("fp").agg(F.min("doc_id").alias("first"), F.first("sketch").alias("sketch")), "similar-nodes")
     count = nodes.count()
-    links = _verified(_meet(nodes.withColumn("root", F.col("fp")), "stars", count), texts, percent, width, "similar-near")
-    found = components(links, "similar-stars").withColumnRenamed("node", "fp")
-    left = _meet(nodes.join(found, "fp", "left").select("fp", F.coalesce("root", "fp").alias("root"), "sketch"), "apart", count)
-    more = _verified(left.join(links, ["a", "b"], "left_anti"), texts, percent, width, "similar-apart")
+    pairs = materialize(_meet(nodes.withColumn("root", F.col("fp")), "stars", count), "similar-stars")
+    tried = materialize(pairs.groupBy("a").agg(F.min("b").alias("b")), "similar-first")
+    links = _verified(tried, nodes, texts, percent, width, "similar-near")
+
+    def roots(links: DataFrame, tag: str) -> DataFrame:
+        return components(links, tag).select(F.col("node").alias("fp"), "root")
+
+    of = roots(links, "similar-roots-1")
+    sides = [of.select(F.col("fp").alias(c), F.col("root").alias(f"r{c}")) for c in "ab"]
+    other = pairs.join(tried, ["a", "b"], "left_anti").join(sides[0], "a", "left").join(sides[1], "b", "left")
+    other = other.where(F.coalesce("ra", "a") != F.coalesce("rb", "b")).select("a", "b")
+    links = materialize(links.union(_verified(other, nodes, texts, percent, width, "similar-other")), "similar-links")
+    of = roots(links, "similar-roots-2")
+    busy = pairs.select(F.col("a").alias("fp")).union(pairs.select("b")).distinct()
+    left = nodes.join(busy, "fp", "left_semi").join(of, "fp", "left").select("fp", F.coalesce("root", "fp").alias("root"), "sketch")
+    left = _meet(left, "apart", count).join(pairs, ["a", "b"], "left_anti")
+    more = _verified(left, nodes, texts, percent, width, "similar-apart")
     found = components(links.union(more), "similar-all").withColumnRenamed("node", "fp")
     rooted = materialize(nodes.join(found, "fp", "left").select("fp", "first", F.coalesce("root", "fp").alias("root")), "similar-roots")
     least = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
