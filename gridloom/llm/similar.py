@@ -32,7 +32,6 @@ _PLACE = _rng.integers(0, 1 << 64, 64, dtype=np.uint64) | np.uint64(1)
 _XOR = _rng.integers(0, 1 << 64, WORDS, dtype=np.uint64)
 _FLIPS = np.concatenate([[0], 1 << np.arange(BITS)])
 _ROW = np.dtype([("key", "<u2"), ("seg", "<u4"), ("node", "<i8"), ("f", "<u8", 2)])
-_ROOTED = np.dtype([*_ROW.descr, ("root", "<i8")])
 
 
 def _mixed(x: np.ndarray) -> np.ndarray:
@@ -96,8 +95,9 @@ def alike(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
 
 def stars(key: np.ndarray, node: np.ndarray, f: np.ndarray) -> np.ndarray:
     """2 x pairs. In each key the smallest node is a centre and takes all nodes whose sketches are near to its own; the
-    smallest of those left over is the next centre, which also meets the nodes near to it that earlier ones took.
-    So every node that is near to another one of its key is in some pair. Entries are sorted by key and node."""
+    smallest of those left over is the next centre, which also meets the nearest one of all that earlier centres took, if
+    it is near. So every node that is near to another one of its key is in some pair, and there are at most two pairs
+    for each entry. Entries are sorted by key and node."""
     start = np.searchsorted(key, key, side="left")
     taken, left, out = np.zeros(len(key), bool), np.arange(len(key)), [np.zeros((2, 0), np.int64)]
     while len(left):
@@ -106,8 +106,14 @@ def stars(key: np.ndarray, node: np.ndarray, f: np.ndarray) -> np.ndarray:
         before = np.cumsum(np.concatenate([[0], taken]))
         n = np.where(before[own] > before[start[own]], own - start[own], 0)
         centre, earlier = np.repeat(own, n), np.repeat(start[own] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
-        near = taken[earlier] & (np.bitwise_count(f[earlier] ^ f[centre]).sum(axis=1) <= FAR)
-        out.append(np.stack([node[earlier[near]], node[centre[near]]]))
+        if len(centre):
+            d = np.where(taken[earlier], np.bitwise_count(f[earlier] ^ f[centre]).sum(axis=1), 999)
+            busy = np.flatnonzero(n)
+            begin = np.cumsum(n[busy]) - n[busy]
+            least = np.minimum.reduceat(d, begin)
+            at = np.flatnonzero((d == np.repeat(least, n[busy])) & (d <= FAR))
+            at = at[np.unique(centre[at], return_index=True)[1]]  # one for each centre
+            out.append(np.stack([node[earlier[at]], node[centre[at]]]))
         centre = own[np.cumsum(first) - 1]
         near = ~first & (np.bitwise_count(f[left] ^ f[centre]).sum(axis=1) <= FAR)
         out.append(np.stack([node[left[near]], node[centre[near]]]))
@@ -116,47 +122,30 @@ def stars(key: np.ndarray, node: np.ndarray, f: np.ndarray) -> np.ndarray:
     return np.concatenate(out, axis=1)
 
 
-def apart(key: np.ndarray, node: np.ndarray, root: np.ndarray, f: np.ndarray) -> np.ndarray:
-    """All pairs of nodes with near sketches that share a key but not the root. Entries are sorted by key."""
-    first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
-    size = np.diff(np.append(first, len(key)))
-    mixed = np.minimum.reduceat(root, first) != np.maximum.reduceat(root, first)
-    out = [np.zeros((2, 0), np.int64)]
-    for a, n in zip(first[mixed].tolist(), size[mixed].tolist(), strict=True):
-        for k in range(a, a + n - 1):
-            other = slice(k + 1, a + n)
-            pick = np.flatnonzero((root[other] != root[k]) & (np.bitwise_count(f[other] ^ f[k]).sum(axis=1) <= FAR)) + k + 1
-            out.append(np.stack([node[pick], np.full(len(pick), node[k])]))
-    return np.concatenate(out, axis=1)
-
-
-def _meet(nodes: DataFrame, meet: str, count: int, bucket_rows: int = 200_000) -> DataFrame:
-    """(a, b), distinct: the candidates among nodes (fp, root, sketch), by stars() or apart(). A node goes once to every
-    index of the first segment of each table; the second one is decoded there. Rows travel as packed blobs, one per
-    bucket and batch, and there are as many buckets as hold bucket_rows rows each."""
+def _meet(nodes: DataFrame, count: int, bucket_rows: int = 200_000) -> DataFrame:
+    """(a, b), distinct: the stars() of all keys over nodes (fp, sketch), a > b. A node goes once to every
+    index of the first segment of each table; the second one is decoded there. Rows travel as packed blobs, one per bucket and batch,
+    and there are as many buckets as hold bucket_rows rows each."""
     n = max(1, min(TABLES << 12, count * TABLES * 6 // bucket_rows))
-    kind = _ROW if meet == "stars" else _ROOTED
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for a in range(0, batch.num_rows, 20_000):
                 part = batch.slice(a, 20_000)
-                fp, root = (part.column(c).to_numpy(zero_copy_only=False).astype("<i8") for c in (0, 1))
-                sketch = np.frombuffer(b"".join(part.column(2).to_pylist()), "<u8").reshape(-1, WORDS)
+                fp = part.column(0).to_numpy(zero_copy_only=False).astype("<i8")
+                sketch = np.frombuffer(b"".join(part.column(1).to_pylist()), "<u8").reshape(-1, WORDS)
                 seg = segments(sketch)
                 for t in range(TABLES):
                     rows, index = nearby(seg[:, 2 * t])
-                    made = np.empty(len(rows), kind)
+                    made = np.empty(len(rows), _ROW)
                     made["key"], made["seg"], made["node"], made["f"] = t << 12 | index, seg[rows, 2 * t + 1], fp[rows], sketch[rows, -2:]
-                    if kind is _ROOTED:
-                        made["root"] = root[rows]
                     bucket = (made["key"].astype(np.int64) * 0x9E3779B1 >> 7) % n
                     order = np.argsort(bucket, kind="stable")
                     parts = np.split(order, np.flatnonzero(np.diff(bucket[order])) + 1)
                     yield pa.RecordBatch.from_arrays([pa.array([int(bucket[p[0]]) for p in parts], pa.int32()), pa.array([made[p].tobytes() for p in parts], pa.binary())], names=["bucket", "blob"])
 
     def match(t: pa.Table) -> pa.Table:
-        got = np.frombuffer(b"".join(t.column("blob").to_pylist()), kind)
+        got = np.frombuffer(b"".join(t.column("blob").to_pylist()), _ROW)
         out = [np.zeros((2, 0), np.int64)]
         got = got[np.argsort(got["key"], kind="stable")]
         cuts = np.append(np.flatnonzero(np.concatenate([[True], got["key"][1:] != got["key"][:-1]])), len(got))
@@ -173,12 +162,12 @@ def _meet(nodes: DataFrame, meet: str, count: int, bucket_rows: int = 200_000) -
             key, rows = key[several], rows[several]
             if len(key):
                 f, node = np.ascontiguousarray(own["f"][rows]), own["node"][rows]
-                out.append(np.unique(stars(key, node, f) if meet == "stars" else apart(key, node, own["root"][rows], f), axis=1))
+                out.append(np.unique(stars(key, node, f), axis=1))
             at = end
         a, b = np.concatenate(out, axis=1)
         return pa.table({"a": np.maximum(a, b), "b": np.minimum(a, b)})
 
-    return nodes.select("fp", "root", "sketch").mapInArrow(send, "bucket int, blob binary").groupBy("bucket").applyInArrow(match, "a long, b long").distinct()
+    return nodes.select("fp", "sketch").mapInArrow(send, "bucket int, blob binary").groupBy("bucket").applyInArrow(match, "a long, b long").distinct()
 
 
 def _text_print(words: list[bytes]) -> int:
@@ -212,21 +201,23 @@ def _marks(asked: DataFrame, most: int = 27) -> np.ndarray:
     return out.ravel()
 
 
-def _verified(pairs: DataFrame, nodes: DataFrame, texts: DataFrame, percent: int, width: int, tag: str) -> DataFrame:
-    """The pairs (a, b) whose whole shingle sets are alike. Pairs whose whole sketches are far apart go first; then the
-    sets of one document for each node left travel, found by a scan that lets the marked ones through."""
-    spark = texts.sparkSession
-    sides = [nodes.select(F.col("fp").alias(c), F.col("sketch").alias(f"s{c}"), F.col("first").alias(f"f{c}")) for c in "ab"]
+def _close(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """The pairs (a, b) whose whole sketches aren't far apart."""
+    sides = [nodes.select(F.col("fp").alias(c), F.col("sketch").alias(f"s{c}")) for c in "ab"]
 
     def close(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), "<u8").reshape(-1, WORDS) for c in (4, 5))
-            yield batch.select(["a", "b", "fa", "fb"]).filter(pa.array(np.bitwise_count(x ^ y).sum(axis=1) <= FAR_WHOLE))
+            x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), "<u8").reshape(-1, WORDS) for c in (2, 3))
+            yield batch.select(["a", "b"]).filter(pa.array(np.bitwise_count(x ^ y).sum(axis=1) <= FAR_WHOLE))
 
-    near = pairs.join(sides[0], "a").join(sides[1], "b").select("a", "b", "fa", "fb", "sa", "sb").mapInArrow(close, "a long, b long, fa long, fb long")
-    near = materialize(near, f"{tag}-pairs")
-    asked = materialize(near.select(F.col("a").alias("fp"), F.col("fa").alias("first")).union(near.select("b", "fb")).distinct(), f"{tag}-asked")
-    shared = spark.sparkContext.broadcast(_marks(asked))
+    return pairs.join(sides[0], "a").join(sides[1], "b").select("a", "b", "sa", "sb").mapInArrow(close, "a long, b long")
+
+
+def _sets(asked: DataFrame, nodes: DataFrame, texts: DataFrame, width: int, tag: str) -> DataFrame:
+    """(fp, grams): the shingle sets of the nodes asked for (fp, distinct). A scan lets one document for each of them
+    through by its mark, so that a set travels once however many copies there are."""
+    asked = materialize(nodes.join(asked, "fp", "left_semi").select("fp", "first"), f"{tag}-asked")
+    shared = texts.sparkSession.sparkContext.broadcast(_marks(asked))
 
     def take(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         marks, sent = shared.value, set()
@@ -243,9 +234,15 @@ def _verified(pairs: DataFrame, nodes: DataFrame, texts: DataFrame, percent: int
                     grams.append(shingle_set(words, width).astype("<u8").tobytes())
             yield pa.RecordBatch.from_arrays([pa.array(fps, pa.int64()), pa.array(grams, pa.binary())], names=["fp", "grams"])
 
-    sets = texts.mapInArrow(take, "fp long, grams binary").join(asked.select("fp"), "fp", "left_semi").groupBy("fp").agg(F.first("grams").alias("grams"))
-    sets = materialize(sets, f"{tag}-sets")
-    both = near.join(sets.select(F.col("fp").alias("a"), F.col("grams").alias("x")), "a").join(sets.select(F.col("fp").alias("b"), F.col("grams").alias("y")), "b")
+    sets = texts.mapInArrow(take, "fp long, grams binary").join(asked.select("fp"), "fp", "left_semi")
+    return materialize(sets.groupBy("fp").agg(F.first("grams").alias("grams")), f"{tag}-sets")
+
+
+def _verified(pairs: DataFrame, nodes: DataFrame, texts: DataFrame, percent: int, width: int, tag: str) -> DataFrame:
+    """The pairs (a, b) whose whole shingle sets are alike."""
+    pairs = materialize(pairs, f"{tag}-pairs")
+    sets = _sets(pairs.select(F.col("a").alias("fp")).union(pairs.select("b")).distinct(), nodes, texts, width, tag)
+    both = pairs.join(sets.select(F.col("fp").alias("a"), F.col("grams").alias("x")), "a").join(sets.select(F.col("fp").alias("b"), F.col("grams").alias("y")), "b")
 
     def decide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -256,13 +253,61 @@ def _verified(pairs: DataFrame, nodes: DataFrame, texts: DataFrame, percent: int
     return materialize(both.select("a", "b", "x", "y").mapInArrow(decide, "a long, b long"), f"{tag}-links")
 
 
+def joined(fp: np.ndarray, root: np.ndarray, sketch: np.ndarray, left: np.ndarray, right: np.ndarray, sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
+    """A forest (a, b) of links that join roots: nodes left x right with near sketches, different roots and like sets."""
+    label, out = {r: r for r in root.tolist()}, []
+
+    def top(r: int) -> int:
+        while label[r] != r:
+            label[r] = label[label[r]]
+            r = label[r]
+        return r
+
+    for i in left.tolist():
+        near = right[np.bitwise_count(sketch[right] ^ sketch[i]).sum(axis=1) <= FAR_WHOLE]
+        for j in near.tolist():
+            x, y = top(int(root[i])), top(int(root[j]))
+            if x != y and alike(sets[i], sets[j], percent):
+                label[max(x, y)] = min(x, y)
+                out.append((int(fp[i]), int(fp[j])))
+    return out
+
+
+def _joined(nodes: DataFrame, texts: DataFrame, percent: int, width: int, block: int = 200) -> DataFrame:
+    """(a, b): links among nodes (fp, first, sketch, root, area) that join the roots of an area (nodes that chains of
+    near sketches connect). An area is cut into blocks, pairs of blocks are compared where they meet, and only links that
+    join roots leave: an area of many unlike members costs comparisons, but neither rows for all its pairs nor one
+    task."""
+    sizes = nodes.groupBy("area").agg(F.count("*").alias("n"), F.countDistinct("root").alias("roots")).where("roots > 1")
+    open_ = materialize(nodes.join(sizes, "area"), "similar-open")
+    sets = _sets(open_.select("fp"), nodes.select("fp", "first"), texts, width, "similar-joined")
+    cut = F.ceil(F.col("n") / block).cast("int")
+    own = open_.withColumn("own", F.pmod(F.xxhash64("fp"), cut).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), cut - 1)))
+    buckets = max(1, open_.count() // 2000)
+    cells = own.join(sets, "fp").select(
+        F.when(F.col("n") > block, F.col("area")).otherwise(F.pmod(F.xxhash64("area"), F.lit(buckets))).alias("cell"), F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "area", "fp", "root", "sketch", "grams"
+    )
+
+    def compare(t: pa.Table) -> pa.Table:
+        own, area, fp, root = (t.column(c).to_numpy() for c in ("own", "area", "fp", "root"))
+        sketch = np.frombuffer(b"".join(t.column("sketch").to_pylist()), "<u8").reshape(-1, WORDS)
+        sets = [np.frombuffer(x, "<u8") for x in t.column("grams").to_pylist()]
+        i, j, out = t.column("i")[0].as_py(), t.column("j")[0].as_py(), []
+        for k in np.unique(area):
+            mine = np.flatnonzero(area == k)
+            out += joined(fp, root, sketch, mine[own[mine] == i], mine[own[mine] == j], sets, percent)
+        return pa.table({"a": pa.array([max(x) for x in out], pa.int64()), "b": pa.array([min(x) for x in out], pa.int64())})
+
+    return materialize(cells.groupBy("cell", "i", "j").applyInArrow(compare, "a long, b long"), "similar-joined")
+
+
 def similar_groups(docs: DataFrame, percent: int = 80, width: int = WIDTH, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row for each document: doc_id, fp (a 64-bit hash of its words) and component_id, the smallest doc_id that
     links of texts with a Jaccard similarity of at least `percent` / 100 (80 or more) reach.
 
-    First every node meets the smallest centre that it is near to in any key; then its other centres, where the links
-    so far leave both apart; then all pairs of a key with near sketches that are still apart. So a group's size costs
-    no pairs within it. Texts without words are one group; null ids are
+    First every node meets the smallest of the nodes that a star of some key joins it to; the areas of near nodes that
+    these links leave apart are compared block by block, see _joined(). So a group's size costs no pairs within it, but
+    an area of nodes none of which are alike costs as many comparisons as it has pairs. Texts without words are one group; null ids are
     as in simhash.near_groups(); equal texts are one node; other columns are ignored; whole texts count."""
     if percent < 80:
         raise ValueError("the sketches find similarities of 80 percent or more")
@@ -279,23 +324,16 @@ def similar_groups(docs: DataFrame, percent: int = 80, width: int = WIDTH, id_co
     own = materialize(texts.mapInArrow(scan, "doc_id long, fp long, sketch binary"), "similar-prints")
     nodes = materialize(own.groupBy("fp").agg(F.min("doc_id").alias("first"), F.first("sketch").alias("sketch")), "similar-nodes")
     count = nodes.count()
-    pairs = materialize(_meet(nodes.withColumn("root", F.col("fp")), "stars", count), "similar-stars")
-    tried = materialize(pairs.groupBy("a").agg(F.min("b").alias("b")), "similar-first")
-    links = _verified(tried, nodes, texts, percent, width, "similar-near")
-
-    def roots(links: DataFrame, tag: str) -> DataFrame:
-        return components(links, tag).select(F.col("node").alias("fp"), "root")
-
-    of = roots(links, "similar-roots-1")
-    sides = [of.select(F.col("fp").alias(c), F.col("root").alias(f"r{c}")) for c in "ab"]
-    other = pairs.join(tried, ["a", "b"], "left_anti").join(sides[0], "a", "left").join(sides[1], "b", "left")
-    other = other.where(F.coalesce("ra", "a") != F.coalesce("rb", "b")).select("a", "b")
-    links = materialize(links.union(_verified(other, nodes, texts, percent, width, "similar-other")), "similar-links")
-    of = roots(links, "similar-roots-2")
-    busy = pairs.select(F.col("a").alias("fp")).union(pairs.select("b")).distinct()
-    left = nodes.join(busy, "fp", "left_semi").join(of, "fp", "left").select("fp", F.coalesce("root", "fp").alias("root"), "sketch")
-    left = _meet(left, "apart", count).join(pairs, ["a", "b"], "left_anti")
-    more = _verified(left, nodes, texts, percent, width, "similar-apart")
+    pairs = materialize(_close(_meet(nodes, count), nodes), "similar-near")
+    tried = pairs.groupBy("a").agg(F.min("b").alias("b"))
+    links = _verified(tried, nodes, texts, percent, width, "similar-first")
+
+    def rooted_by(links: DataFrame, name: str) -> DataFrame:
+        of = components(links, f"similar-{name}").select(F.col("node").alias("fp"), F.col("root").alias("_to"))
+        return nodes.join(of, "fp", "left").select("fp", F.coalesce("_to", "fp").alias(name))
+
+    areas = rooted_by(pairs, "area").join(rooted_by(links, "root"), "fp")
+    more = _joined(nodes.join(areas, "fp"), texts, percent, width)
     found = components(links.union(more), "similar-all").withColumnRenamed("node", "fp")
     rooted = materialize(nodes.join(found, "fp", "left").select("fp", "first", F.coalesce("root", "fp").alias("root")), "similar-roots")
     least = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
