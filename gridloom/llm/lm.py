@@ -118,28 +118,36 @@ def _unpacked(blob: bytes) -> np.ndarray:
     return np.cumsum(R.unplanes(blob, np.int64, len(blob) // 8))
 
 
-def _distinct(texts: list[bytes], order: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct grams sorted, the index of each symbol's one, and the texts' lengths in symbols."""
-    grams, n = grams_of(texts, order)
-    codes, keys = pd.factorize(grams)
-    rank = np.argsort(keys)
-    at = np.empty(len(keys), np.int32)
-    at[rank] = np.arange(len(keys), dtype=np.int32)
-    return keys[rank], at[codes], n
+def _runs(x: np.ndarray) -> np.ndarray:
+    """Where each run of equal values begins."""
+    return np.flatnonzero(np.concatenate([x[:1] == x[:1], x[1:] != x[:-1]]))
 
 
-def _counted(texts: list[bytes], learn: list[bool], order: int) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct grams of all texts, sorted, and how often each occurs in those to learn from."""
+def _distinct(texts: list[bytes], order: int, piece: int = 1_000_000) -> tuple[np.ndarray, list[tuple[np.ndarray, np.ndarray, np.ndarray]]]:
+    """Distinct grams sorted; and for texts of about `piece` bytes at a time their symbols' codes, the index of each
+    code's gram, and the texts' lengths in symbols."""
     made = []
+    for a, b in slices([len(t) + 1 for t in texts], piece):
+        grams, n = grams_of(texts[a:b], order)
+        codes, keys = pd.factorize(grams)
+        made.append((codes.astype(np.int32), keys, n))
+    every = np.sort(np.concatenate([np.zeros(0, np.int64), *(k for _, k, _ in made)]))
+    every = every[_runs(every)]
+    return every, [(codes, np.searchsorted(every, keys), n) for codes, keys, n in made]
+
+
+def _counted(texts: list[bytes], learn: list[bool], order: int, piece: int = 1_000_000) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct grams of all texts, sorted, and how often each occurs in those to learn from."""
+    keys, counts = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
     for kind in (True, False):
-        grams = np.sort(grams_of([t for t, x in zip(texts, learn, strict=True) if x == kind], order)[0])
-        first = np.flatnonzero(np.concatenate([grams[:1] == grams[:1], grams[1:] != grams[:-1]]))
-        made.append((grams[first], np.diff(np.append(first, len(grams)))))
-    (own, n), (other, _) = made
-    keys = np.union1d(own, other)
-    counts = np.zeros(len(keys), "<i4")
-    counts[np.searchsorted(keys, own)] = n
-    return keys, counts
+        own = [t for t, x in zip(texts, learn, strict=True) if x == kind]
+        for a, b in slices([len(t) + 1 for t in own], piece):
+            grams = np.sort(grams_of(own[a:b], order)[0])
+            first = _runs(grams)
+            keys.append(grams[first])
+            counts.append(np.diff(np.append(first, len(grams))) * kind)
+    level = _level(np.concatenate(keys), np.concatenate(counts))
+    return level["keys"], level["counts"].astype("<i4")
 
 
 def _words(raws: list[bytes], logs: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, pa.Array, np.ndarray]:
@@ -281,7 +289,7 @@ def _numbered(texts: DataFrame, chunk_bytes: int) -> tuple[DataFrame, int]:
     return own.select((F.col("first") + F.col("chunk").bitwiseAND(F.lit((1 << 33) - 1))).alias("chunk"), "docs"), at
 
 
-def score_documents(docs: DataFrame, held_mod: int = 7, held_rest: int = 2, order: int = 5, head_words: int = 200_000, chunk_bytes: int = 4_000_000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def score_documents(docs: DataFrame, held_mod: int = 7, held_rest: int = 2, order: int = 5, head_words: int = 200_000, chunk_bytes: int = 12_000_000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row for each document: doc_id, held_out (crc32 of the id's text leaves held_rest), n_tokens, n_known,
     train_tokens, base_score and score.
 
@@ -321,10 +329,11 @@ def score_documents(docs: DataFrame, held_mod: int = 7, held_rest: int = 2, orde
             for chunk, docs, told in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 ids, raws = R.thaw(docs)
                 raws = [t.lower() for t in raws]
-                keys, code, n_symbols = _distinct(raws, order)
-                scores = segment_sums(read_logs(keys, told, order, max(1, count))[code], n_symbols).tolist()
+                keys, made = _distinct(raws, order)
+                of = read_logs(keys, told, order, max(1, count))
+                scores = np.concatenate([segment_sums(of[at][codes], n) for codes, at, n in made]).tolist()
                 held = [c % held_mod == held_rest for c in crc_of(ids)]
-                del keys, code
+                del keys, made, of
                 for a, b in slices([len(t) + 1 for t in raws], 1_000_000):
                     n, here, base, text, rest, times = _words(raws[a:b], logs)
                     row = chunk << 20 | np.arange(a, b)

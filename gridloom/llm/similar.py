@@ -325,14 +325,19 @@ def similar_groups(docs: DataFrame, percent: int = 80, width: int = WIDTH, id_co
     nodes = materialize(own.groupBy("fp").agg(F.min("doc_id").alias("first"), F.first("sketch").alias("sketch")), "similar-nodes")
     count = nodes.count()
     pairs = materialize(_close(_meet(nodes, count), nodes), "similar-near")
-    tried = pairs.groupBy("a").agg(F.min("b").alias("b"))
+    tried = materialize(pairs.groupBy("a").agg(F.min("b").alias("b")), "similar-tried")
     links = _verified(tried, nodes, texts, percent, width, "similar-first")
 
-    def rooted_by(links: DataFrame, name: str) -> DataFrame:
+    def rooted_by(links: DataFrame, name: str, nodes: DataFrame = nodes) -> DataFrame:
         of = components(links, f"similar-{name}").select(F.col("node").alias("fp"), F.col("root").alias("_to"))
         return nodes.join(of, "fp", "left").select("fp", F.coalesce("_to", "fp").alias(name))
 
-    areas = rooted_by(pairs, "area").join(rooted_by(links, "root"), "fp")
+    # areas: one pair of each node first, then the other pairs between the roots that these lead to
+    some = materialize(rooted_by(tried, "some"), "similar-some")
+    sides = [some.select(F.col("fp").alias(c), F.col("some").alias(f"r{c}")) for c in "ab"]
+    rest = pairs.join(sides[0], "a").join(sides[1], "b").where("ra <> rb").select(F.greatest("ra", "rb").alias("a"), F.least("ra", "rb").alias("b")).distinct()
+    tops = rooted_by(rest, "area", some.select(F.col("some").alias("fp")).distinct())
+    areas = some.join(tops.withColumnRenamed("fp", "some"), "some").select("fp", "area").join(rooted_by(links, "root"), "fp")
     more = _joined(nodes.join(areas, "fp"), texts, percent, width)
     found = components(links.union(more), "similar-all").withColumnRenamed("node", "fp")
     rooted = materialize(nodes.join(found, "fp", "left").select("fp", "first", F.coalesce("root", "fp").alias("root")), "similar-roots")
