@@ -19,19 +19,19 @@ from pyspark.sql import functions as F
 from gridloom.llm.common import as_bytes, materialize, texts_of
 from gridloom.llm.components import components
 from gridloom.llm.rounds import NO_ID
-from gridloom.llm.simhash import codeword_index
+from gridloom.llm.simhash import _roots, codeword_index
 
 SEED = 42
 WIDTH = 5  # words of a shingle
 TABLES, BITS = 16, 23  # pairs of segments, and the width of a segment: a word of the Golay code
-WORDS = 12  # 64-bit words of a sketch; the last two also serve to compare candidates
-FAR = 46  # differing bits of these 128 at most: six deviations above the mean of two sets at 0.8
+WORDS, SEEN = 12, 4  # 64-bit words of a sketch, and those that travel to compare candidates
+FAR = 73  # differing bits of these 256 at most: six deviations above the mean of two sets at 0.8
 FAR_WHOLE = 200  # of all 768, likewise
 _rng = np.random.Generator(np.random.PCG64(SEED))
 _PLACE = _rng.integers(0, 1 << 64, 64, dtype=np.uint64) | np.uint64(1)
 _XOR = _rng.integers(0, 1 << 64, WORDS, dtype=np.uint64)
 _FLIPS = np.concatenate([[0], 1 << np.arange(BITS)])
-_ROW = np.dtype([("key", "<u2"), ("seg", "<u4"), ("node", "<i8"), ("f", "<u8", 2)])
+_ROW = np.dtype([("key", "<u2"), ("seg", "<u4"), ("node", "<i8"), ("f", "<u8", SEEN)])
 
 
 def _mixed(x: np.ndarray) -> np.ndarray:
@@ -123,7 +123,8 @@ def stars(key: np.ndarray, node: np.ndarray, f: np.ndarray) -> np.ndarray:
 
 
 def _meet(nodes: DataFrame, count: int, bucket_rows: int = 200_000) -> DataFrame:
-    """(a, b), distinct: the stars() of all keys over nodes (fp, sketch), a > b. A node goes once to every
+    """(a, b, root): from the stars() of all keys over nodes (fp, sketch), for each bucket and node a the smallest node b
+    that it is paired with (null if there is none) and the smallest node of its tree. A node goes once to every
     index of the first segment of each table; the second one is decoded there. Rows travel as packed blobs, one per bucket and batch,
     and there are as many buckets as hold bucket_rows rows each."""
     n = max(1, min(TABLES << 12, count * TABLES * 6 // bucket_rows))
@@ -138,7 +139,7 @@ def _meet(nodes: DataFrame, count: int, bucket_rows: int = 200_000) -> DataFrame
                 for t in range(TABLES):
                     rows, index = nearby(seg[:, 2 * t])
                     made = np.empty(len(rows), _ROW)
-                    made["key"], made["seg"], made["node"], made["f"] = t << 12 | index, seg[rows, 2 * t + 1], fp[rows], sketch[rows, -2:]
+                    made["key"], made["seg"], made["node"], made["f"] = t << 12 | index, seg[rows, 2 * t + 1], fp[rows], sketch[rows, -SEEN:]
                     bucket = (made["key"].astype(np.int64) * 0x9E3779B1 >> 7) % n
                     order = np.argsort(bucket, kind="stable")
                     parts = np.split(order, np.flatnonzero(np.diff(bucket[order])) + 1)
@@ -165,9 +166,15 @@ def _meet(nodes: DataFrame, count: int, bucket_rows: int = 200_000) -> DataFrame
                 out.append(np.unique(stars(key, node, f), axis=1))
             at = end
         a, b = np.concatenate(out, axis=1)
-        return pa.table({"a": np.maximum(a, b), "b": np.minimum(a, b)})
+        every = np.unique(np.concatenate([a, b]))
+        a, b = np.searchsorted(every, np.maximum(a, b)), np.searchsorted(every, np.minimum(a, b))
+        root = _roots(len(every), a, b, np.arange(len(every)))
+        least = np.full(len(every), len(every))
+        np.minimum.at(least, a, b)
+        one = least < len(every)
+        return pa.table({"a": every, "b": pa.array(every[np.where(one, least, 0)] if len(every) else every, pa.int64(), mask=~one), "root": every[root]})
 
-    return nodes.select("fp", "sketch").mapInArrow(send, "bucket int, blob binary").groupBy("bucket").applyInArrow(match, "a long, b long").distinct()
+    return nodes.select("fp", "sketch").mapInArrow(send, "bucket int, blob binary").groupBy("bucket").applyInArrow(match, "a long, b long, root long")
 
 
 def _text_print(words: list[bytes]) -> int:
@@ -201,18 +208,6 @@ def _marks(asked: DataFrame, most: int = 27) -> np.ndarray:
     return out.ravel()
 
 
-def _close(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
-    """The pairs (a, b) whose whole sketches aren't far apart."""
-    sides = [nodes.select(F.col("fp").alias(c), F.col("sketch").alias(f"s{c}")) for c in "ab"]
-
-    def close(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), "<u8").reshape(-1, WORDS) for c in (2, 3))
-            yield batch.select(["a", "b"]).filter(pa.array(np.bitwise_count(x ^ y).sum(axis=1) <= FAR_WHOLE))
-
-    return pairs.join(sides[0], "a").join(sides[1], "b").select("a", "b", "sa", "sb").mapInArrow(close, "a long, b long")
-
-
 def _sets(asked: DataFrame, nodes: DataFrame, texts: DataFrame, width: int, tag: str) -> DataFrame:
     """(fp, grams): the shingle sets of the nodes asked for (fp, distinct). A scan lets one document for each of them
     through by its mark, so that a set travels once however many copies there are."""
@@ -324,20 +319,15 @@ def similar_groups(docs: DataFrame, percent: int = 80, width: int = WIDTH, id_co
     own = materialize(texts.mapInArrow(scan, "doc_id long, fp long, sketch binary"), "similar-prints")
     nodes = materialize(own.groupBy("fp").agg(F.min("doc_id").alias("first"), F.first("sketch").alias("sketch")), "similar-nodes")
     count = nodes.count()
-    pairs = materialize(_close(_meet(nodes, count), nodes), "similar-near")
-    tried = materialize(pairs.groupBy("a").agg(F.min("b").alias("b")), "similar-tried")
+    met = materialize(_meet(nodes, count), "similar-met")
+    tried = met.where("b is not null").groupBy("a").agg(F.min("b").alias("b"))
     links = _verified(tried, nodes, texts, percent, width, "similar-first")
 
-    def rooted_by(links: DataFrame, name: str, nodes: DataFrame = nodes) -> DataFrame:
+    def rooted_by(links: DataFrame, name: str) -> DataFrame:
         of = components(links, f"similar-{name}").select(F.col("node").alias("fp"), F.col("root").alias("_to"))
         return nodes.join(of, "fp", "left").select("fp", F.coalesce("_to", "fp").alias(name))
 
-    # areas: one pair of each node first, then the other pairs between the roots that these lead to
-    some = materialize(rooted_by(tried, "some"), "similar-some")
-    sides = [some.select(F.col("fp").alias(c), F.col("some").alias(f"r{c}")) for c in "ab"]
-    rest = pairs.join(sides[0], "a").join(sides[1], "b").where("ra <> rb").select(F.greatest("ra", "rb").alias("a"), F.least("ra", "rb").alias("b")).distinct()
-    tops = rooted_by(rest, "area", some.select(F.col("some").alias("fp")).distinct())
-    areas = some.join(tops.withColumnRenamed("fp", "some"), "some").select("fp", "area").join(rooted_by(links, "root"), "fp")
+    areas = rooted_by(met.select("a", F.col("root").alias("b")).distinct(), "area").join(rooted_by(links, "root"), "fp")
     more = _joined(nodes.join(areas, "fp"), texts, percent, width)
     found = components(links.union(more), "similar-all").withColumnRenamed("node", "fp")
     rooted = materialize(nodes.join(found, "fp", "left").select("fp", "first", F.coalesce("root", "fp").alias("root")), "similar-roots")
