@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import os
 import tempfile
 import uuid
@@ -71,6 +72,14 @@ def bounded_sample(docs: DataFrame, bound: int, id_col: str = "doc_id", salt: in
     return docs.where(F.pmod(F.xxhash64(F.col(id_col), F.lit(salt)), F.lit(1 << 40)) < F.lit(share))
 
 
+def trim() -> None:
+    """Gives memory that a Python worker has freed back to the system, where the C library can: workers are kept, and
+    what they keep counts against the executor."""
+    pa.default_memory_pool().release_unused()
+    if give := getattr(ctypes.CDLL(None), "malloc_trim", None):
+        give(0)
+
+
 def slices(sizes: list[int], most: int):
     """(start, end) ranges of consecutive items whose sizes add up to about most."""
     start = total = 0

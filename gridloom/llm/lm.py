@@ -7,13 +7,12 @@ from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gridloom.llm import rounds as R
-from gridloom.llm.common import as_bytes, crc_of, materialize, segment_sums, slices, texts_of
+from gridloom.llm.common import as_bytes, crc_of, materialize, segment_sums, slices, texts_of, trim
 
 END = 256  # the symbol after a text's last byte, and before its first one
 SYMBOLS = 257
@@ -129,8 +128,8 @@ def _distinct(texts: list[bytes], order: int, piece: int = 1_000_000) -> tuple[n
     made = []
     for a, b in slices([len(t) + 1 for t in texts], piece):
         grams, n = grams_of(texts[a:b], order)
-        codes, keys = pd.factorize(grams)
-        made.append((codes.astype(np.int32), keys, n))
+        coded = pa.array(grams).dictionary_encode()
+        made.append((coded.indices.to_numpy(), coded.dictionary.to_numpy(), n))
     every = np.sort(np.concatenate([np.zeros(0, np.int64), *(k for _, k, _ in made)]))
     every = every[_runs(every)]
     return every, [(codes, np.searchsorted(every, keys), n) for codes, keys, n in made]
@@ -138,16 +137,20 @@ def _distinct(texts: list[bytes], order: int, piece: int = 1_000_000) -> tuple[n
 
 def _counted(texts: list[bytes], learn: list[bool], order: int, piece: int = 1_000_000) -> tuple[np.ndarray, np.ndarray]:
     """Distinct grams of all texts, sorted, and how often each occurs in those to learn from."""
-    keys, counts = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    keys, counts = np.zeros(0, np.int64), np.zeros(0, np.int32)
     for kind in (True, False):
         own = [t for t, x in zip(texts, learn, strict=True) if x == kind]
         for a, b in slices([len(t) + 1 for t in own], piece):
             grams = np.sort(grams_of(own[a:b], order)[0])
             first = _runs(grams)
-            keys.append(grams[first])
-            counts.append(np.diff(np.append(first, len(grams))) * kind)
-    level = _level(np.concatenate(keys), np.concatenate(counts))
-    return level["keys"], level["counts"].astype("<i4")
+            new, n = grams[first], np.diff(np.append(first, len(grams))).astype(np.int32) * kind
+            del grams
+            every = np.union1d(keys, new)
+            total = np.zeros(len(every), np.int32)
+            total[np.searchsorted(every, keys)] = counts
+            total[np.searchsorted(every, new)] += n
+            keys, counts = every, total
+    return keys, counts
 
 
 def _words(raws: list[bytes], logs: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, pa.Array, np.ndarray]:
@@ -189,6 +192,8 @@ def gram_logs(chunks: DataFrame, order: int, learns, count: int) -> DataFrame:
                         [pa.array([int(own[g[0]]) for g in some], pa.int32()), pa.array([chunk % parts] * len(some), pa.int32()), pa.array([chunk] * len(some), pa.int64()), pa.array([_packed(keys[g]) for g in some], pa.binary()), pa.array([R.planes(n[g]) for g in some], pa.binary())],
                         names=["bucket", "part", "chunk", "grams", "counts"],
                     )
+                del ids, raws, keys, n, own, by, groups
+                trim()
 
     sent = materialize(chunks.select("chunk", "docs").mapInArrow(send, "bucket int, part int, chunk long, grams binary, counts binary"), "lm-grams")
 
@@ -346,6 +351,7 @@ def score_documents(docs: DataFrame, held_mod: int = 7, held_rest: int = 2, orde
                             else [pa.array(row[text]), none(pa.int64()), none(pa.bool_()), rest, pa.array(times), none(pa.int64()), none(pa.float64()), none(pa.float64())],
                             names=["row", "doc_id", "held_out", "word", "n", "in_head", "base", "score"],
                         )
+                trim()
 
     schema = "row long, doc_id long, held_out boolean, word binary, n long, in_head long, base double, score double"
     scanned = materialize(chunks.join(replies, "chunk").select("chunk", "docs", "replies").mapInArrow(scan, schema), "lm-scan")
