@@ -129,28 +129,34 @@ def _distinct(texts: list[bytes], order: int, piece: int = 1_000_000) -> tuple[n
     for a, b in slices([len(t) + 1 for t in texts], piece):
         grams, n = grams_of(texts[a:b], order)
         coded = pa.array(grams).dictionary_encode()
-        made.append((coded.indices.to_numpy(), coded.dictionary.to_numpy(), n))
-    every = np.sort(np.concatenate([np.zeros(0, np.int64), *(k for _, k, _ in made)]))
+        keys = coded.dictionary.to_numpy()
+        by = np.argsort(keys)
+        made.append((coded.indices.to_numpy(), by, keys[by], n))
+    every = np.sort(np.concatenate([np.zeros(0, np.int64), *(x[2] for x in made)]))
     every = every[_runs(every)]
-    return every, [(codes, np.searchsorted(every, keys), n) for codes, keys, n in made]
+    out = []
+    for codes, by, keys, n in made:
+        at = np.empty(len(by), np.int64)
+        at[by] = np.searchsorted(every, keys)
+        out.append((codes, at, n))
+    return every, out
 
 
-def _counted(texts: list[bytes], learn: list[bool], order: int, piece: int = 1_000_000) -> tuple[np.ndarray, np.ndarray]:
+def _counted(texts: list[bytes], learn: list[bool], order: int, piece: int = 2_000_000) -> tuple[np.ndarray, np.ndarray]:
     """Distinct grams of all texts, sorted, and how often each occurs in those to learn from."""
-    keys, counts = np.zeros(0, np.int64), np.zeros(0, np.int32)
+    keys, counts = [np.zeros(0, np.int64)], [np.zeros(0, np.int32)]
     for kind in (True, False):
         own = [t for t, x in zip(texts, learn, strict=True) if x == kind]
         for a, b in slices([len(t) + 1 for t in own], piece):
             grams = np.sort(grams_of(own[a:b], order)[0])
             first = _runs(grams)
-            new, n = grams[first], np.diff(np.append(first, len(grams))).astype(np.int32) * kind
-            del grams
-            every = np.union1d(keys, new)
-            total = np.zeros(len(every), np.int32)
-            total[np.searchsorted(every, keys)] = counts
-            total[np.searchsorted(every, new)] += n
-            keys, counts = every, total
-    return keys, counts
+            keys.append(grams[first])
+            counts.append(np.diff(np.append(first, len(grams))).astype(np.int32) * kind)
+    every = np.concatenate(keys)
+    by = np.argsort(every)
+    every = every[by]
+    first = _runs(every)
+    return every[first], np.add.reduceat(np.concatenate(counts)[by], first) if len(first) else counts[0]
 
 
 def _words(raws: list[bytes], logs: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, pa.Array, np.ndarray]:
