@@ -156,7 +156,7 @@ def _counted(texts: list[bytes], learn: list[bool], order: int, piece: int = 2_0
     by = np.argsort(every)
     every = every[by]
     first = _runs(every)
-    return every[first], np.add.reduceat(np.concatenate(counts)[by], first) if len(first) else counts[0]
+    return every[first], np.add.reduceat(np.concatenate(counts)[by], first).astype("<i4") if len(first) else counts[0]
 
 
 def _words(raws: list[bytes], logs: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, pa.Array, np.ndarray]:
