@@ -142,9 +142,18 @@ def _distinct(texts: list[bytes], order: int, piece: int = 1_000_000) -> tuple[n
     return every, out
 
 
-def _counted(texts: list[bytes], learn: list[bool], order: int, piece: int = 2_000_000) -> tuple[np.ndarray, np.ndarray]:
+def _counted(texts: list[bytes], learn: list[bool], order: int, piece: int = 1_000_000) -> tuple[np.ndarray, np.ndarray]:
     """Distinct grams of all texts, sorted, and how often each occurs in those to learn from."""
     keys, counts = [np.zeros(0, np.int64)], [np.zeros(0, np.int32)]
+
+    def merge() -> None:
+        every = np.concatenate(keys)
+        by = np.argsort(every)
+        every = every[by]
+        first = _runs(every)
+        counts[:] = [np.add.reduceat(np.concatenate(counts)[by], first).astype("<i4") if len(first) else counts[0]]
+        keys[:] = [every[first]]
+
     for kind in (True, False):
         own = [t for t, x in zip(texts, learn, strict=True) if x == kind]
         for a, b in slices([len(t) + 1 for t in own], piece):
@@ -152,11 +161,11 @@ def _counted(texts: list[bytes], learn: list[bool], order: int, piece: int = 2_0
             first = _runs(grams)
             keys.append(grams[first])
             counts.append(np.diff(np.append(first, len(grams))).astype(np.int32) * kind)
-    every = np.concatenate(keys)
-    by = np.argsort(every)
-    every = every[by]
-    first = _runs(every)
-    return every[first], np.add.reduceat(np.concatenate(counts)[by], first).astype("<i4") if len(first) else counts[0]
+            del grams, first
+            if sum(map(len, keys)) > 2 * len(keys[0]) + piece // 2:
+                merge()
+    merge()
+    return keys[0], counts[0]
 
 
 def _words(raws: list[bytes], logs: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, pa.Array, np.ndarray]:
@@ -209,6 +218,8 @@ def gram_logs(chunks: DataFrame, order: int, learns, count: int) -> DataFrame:
         n = [R.unplanes(x, kind, len(g)) for x, g in zip(t.column("counts").to_pylist(), grams, strict=True)]
         level = _level(np.concatenate(grams), np.concatenate(n))
         keys = {c: t.column(c).slice(0, 1) for c in ("bucket", "part") if c in t.column_names}
+        del grams, n
+        trim()
         return pa.table({**keys, "grams": pa.array([_packed(level["keys"])], pa.binary()), "counts": pa.array([R.planes(level["counts"])], pa.binary())})
 
     some = sent.groupBy("bucket", "part").applyInArrow(add, "bucket int, part int, grams binary, counts binary")
@@ -242,7 +253,8 @@ def gram_logs(chunks: DataFrame, order: int, learns, count: int) -> DataFrame:
         if not asked.num_rows:
             return pa.table({"chunk": pa.array([], pa.int64()), "bucket": pa.array([], pa.int32()), "logs": pa.array([], pa.binary())})
         grams, logs = _unpacked(known.column("grams")[0].as_py()), np.frombuffer(known.column("logs")[0].as_py(), "<f4")
-        out = [R.planes(logs[np.searchsorted(grams, _unpacked(x))]) for x in asked.column("grams").to_pylist()]
+        out = [R.planes(logs[np.searchsorted(grams, _unpacked(x.as_py()))]) for x in asked.column("grams")]
+        trim()
         return pa.table({"chunk": asked.column("chunk"), "bucket": asked.column("bucket"), "logs": pa.array(out, pa.binary())})
 
     told = table.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
@@ -300,7 +312,7 @@ def _numbered(texts: DataFrame, chunk_bytes: int) -> tuple[DataFrame, int]:
     return own.select((F.col("first") + F.col("chunk").bitwiseAND(F.lit((1 << 33) - 1))).alias("chunk"), "docs"), at
 
 
-def score_documents(docs: DataFrame, held_mod: int = 7, held_rest: int = 2, order: int = 5, head_words: int = 200_000, chunk_bytes: int = 6_000_000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def score_documents(docs: DataFrame, held_mod: int = 7, held_rest: int = 2, order: int = 5, head_words: int = 200_000, chunk_bytes: int = 5_000_000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row for each document: doc_id, held_out (crc32 of the id's text leaves held_rest), n_tokens, n_known,
     train_tokens, base_score and score.
 
