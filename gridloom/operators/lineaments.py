@@ -80,24 +80,30 @@ def ridge_cells(cells: DataFrame, value: str, height: int, width: int, sigma: fl
     return m.select("r", "c", (crest & (F.col("lam") < -1e-7) & (F.col("s") > 0)).alias("ridge"))
 
 
-def strike_response(cells: DataFrame, grid: GridSpec, value: str, half: int = 6, flank: int = 3, azimuths: int = 6, tile: int = 128) -> DataFrame:
-    """Mean along a line of 2 half + 1 cells minus the mean of the two parallel lines `flank` cells off, the largest
-    over the azimuths and at least 0. Beyond the edge its values repeat."""
+def strike_response(cells: DataFrame, grid: GridSpec, value: str, half: int = 7, flank: int = 3, azimuths: int = 6, tile: int = 128, box: int = 31) -> DataFrame:
+    """(r, c, value) of the cells that have a value: the local z-score (box x box; 0: the value itself) averaged along a line of 2 half + 1
+    cells, less that of the two parallel lines `flank` off, the largest over the azimuths and at least 0. Cells without
+    a value count as 0 before the z-score; beyond the edge z-scores repeat."""
+    own = cells.where(F.col(value).isNotNull() & ~F.isnan(F.col(value).cast("double"))).select("r", "c", F.col(value).cast("double").alias(value))
+    dense = grid.spine(cells.sparkSession).join(own, ["r", "c"], "left").select("r", "c", F.coalesce(value, F.lit(0.0)).alias(value))
+    reach = half + 1
+    weights: list[dict] = []
+    for k in range(azimuths):
+        u, v = math.sin(math.pi * k / azimuths), math.cos(math.pi * k / azimuths)
+        at: dict = {}
+        for t in range(-half, half + 1):
+            for side, w in ((0, 1.0), (1, -0.5), (-1, -0.5)):
+                # rounded from the kernel's corner, so that halves fall as they do on its cells
+                r, c = round(reach + t * u - side * flank * v) - reach, round(reach + t * v + side * flank * u) - reach
+                if max(abs(r), abs(c)) <= reach:
+                    at[r, c] = at.get((r, c), 0.0) + w / (2 * half + 1)
+        weights.append(at)
 
     def kernel(x: np.ndarray) -> np.ndarray:
-        best = np.zeros_like(x)
-        for k in range(azimuths):
-            a = math.pi * k / azimuths
-            u, v = math.sin(a), math.cos(a)
+        return np.maximum(0, np.max([sum(w * np.roll(x, at, (0, 1)) for at, w in one.items()) for one in weights], axis=0))
 
-            def line(dr: int, dc: int, u: float = u, v: float = v) -> np.ndarray:
-                return sum(np.roll(x, (-(dr + round(t * u)), -(dc + round(t * v))), (0, 1)) for t in range(-half, half + 1)) / (2 * half + 1)
-
-            dr, dc = round(flank * v), round(-flank * u)
-            best = np.maximum(best, line(0, 0) - 0.5 * (line(dr, dc) + line(-dr, -dc)))
-        return best
-
-    return tiles.tile_apply(cells, grid, value, half + flank + 1, kernel, tile)
+    z = focal.local_z(dense, value, grid.height, grid.width, box) if box else dense
+    return tiles.tile_apply(z, grid, value, reach, kernel, tile).join(own.select("r", "c"), ["r", "c"])
 
 
 def fill_nearest(cells: DataFrame, grid: GridSpec, value: str, guard: float = 32) -> DataFrame:
@@ -202,53 +208,92 @@ def openness(cells: DataFrame, grid: GridSpec, value: str, radii: tuple[int, ...
 
 def standardise(cells: DataFrame, grid: GridSpec, value: str, sigma: float = 0.8) -> DataFrame:
     """(r, c, value) on the rectangle: gaps filled from the nearest cell, clipped to the 1 % and 99 % quantiles, centred
-    and scaled by the population deviation (zeros where that is 0), blurred."""
+    and scaled by the population deviation (zeros where that is under 1e-6), blurred with the border repeated. Quantiles,
+    mean and deviation are those of the cells that have a value."""
+    has = F.col(value).isNotNull() & ~F.isnan(F.col(value).cast("double"))
     x = settle(fill_nearest(cells, grid, value, 0).select("r", "c", F.col(value).alias("v")), "standardise")
-    q = x.agg(F.percentile("v", F.array(F.lit(0.01), F.lit(0.99))).alias("q"))
-    clipped = x.crossJoin(F.broadcast(q)).select("r", "c", F.least(F.greatest("v", F.col("q")[0]), F.col("q")[1]).alias("v"))
-    m = clipped.agg(F.avg("v").alias("m"), F.stddev_pop("v").alias("s"))
-    z = clipped.crossJoin(F.broadcast(m)).select("r", "c", F.when(F.col("s") > 0, (F.col("v") - F.col("m")) / F.when(F.col("s") > 0, F.col("s"))).otherwise(0.0).alias(value))
-    return tiles.strip_gaussian(z, value, sigma)
+    own = cells.where(has).select(F.col(value).cast("double").alias("v"))
+    q = own.agg(F.percentile("v", F.array(F.lit(0.01), F.lit(0.99))).alias("q"))
+    cut = F.least(F.greatest("v", F.col("q")[0]), F.col("q")[1])
+    m = own.crossJoin(F.broadcast(q)).agg(F.avg(cut).alias("m"), F.stddev_pop(cut).alias("s"), F.first("q").alias("q"))
+    z = F.when(F.col("s") >= 1e-6, (cut - F.col("m")) / F.when(F.col("s") >= 1e-6, F.col("s"))).otherwise(0.0)
+    return tiles.strip_gaussian(x.crossJoin(F.broadcast(m)).select("r", "c", z.alias(value)), value, sigma, border="nearest")
 
 
-def marker_displacement(cells: DataFrame, grid: GridSpec, first: str, second: str, lags: tuple[int, ...] = (2, 4, 6, 8), offsets: tuple[int, ...] = (2, 4, 6), half: int = 5, floor: float = 0.01, tile: int = 128) -> DataFrame:
-    """(r, c, first): how much better two standardised markers match across a line once one side is shifted along it.
+#: Directions of a line as (row, column) steps, lags along it, and cells off it of the two profiles compared: one on
+#: either side, and twice both on one side. Fixed values.
+LINES = ((1, 0), (1, 1), (0, 1), (-1, 1))
+LAGS = (-3, -2, 2, 3)
+PROFILES = ((2, -2), (6, 2), (-2, -6))
 
-    In four directions, profiles of 2 half + 1 cells on either side of the line (at the given offsets) are correlated
-    as they are and with one side shifted by each lag, both ways. A gain is half of what a shifted correlation over 0.5
-    has above the unshifted one and above that of the opposite shift between two profiles, as far apart, of one side
-    (which an oblique pattern without a break matches as well); it is zero where a profile's variance is under `floor`.
-    A cell takes the largest geometric mean of both markers' gains. Beyond the edge its values repeat."""
-    halo = max(lags) + 3 * max(offsets) + half + 1
 
-    def gains(x: np.ndarray) -> list[np.ndarray]:
-        out = []
-        for dr, dc in STEPS:
+def _guarded(cells: DataFrame, grid: GridSpec, guard: int, columns: list[str]) -> DataFrame:
+    """(r, c) more than `guard` cells from cells without all columns' values and from what is beyond the rectangle."""
+    have = cells
+    for c in columns:
+        have = have.where(F.col(c).isNotNull() & ~F.isnan(F.col(c).cast("double")))
+    hole = grid.spine(cells.sparkSession).join(have.select("r", "c"), ["r", "c"], "left_anti")
+    edge = F.least(F.col("r") + 1, F.lit(grid.height) - F.col("r"), F.col("c") + 1, F.lit(grid.width) - F.col("c"))
+    return distance(hole, grid).where(F.coalesce(F.col("d") > guard, F.lit(True)) & (edge > guard)).select("r", "c")
+
+
+def _profiles(x: np.ndarray, step: tuple[int, int], pair: tuple[int, int], half: int) -> tuple:
+    """match(lag): correlation of the profiles at the pair's distances from the line, the second one moved along by
+    `lag`; and where both vary."""
+    (dr, dc), span = step, range(-half, half + 1)
+
+    def moved(y: np.ndarray, r: int, c: int) -> np.ndarray:
+        return np.roll(y, (r, c), (0, 1))
+
+    def mean(y: np.ndarray) -> np.ndarray:
+        return sum(moved(y, t * dr, t * dc) for t in span) / len(span)
+
+    one, two = (moved(x, -o * dc, o * dr) for o in pair)
+    m1, m2 = mean(one), mean(two)
+    v1, v2 = np.maximum(mean(one * one) - m1 * m1, 0), np.maximum(mean(two * two) - m2 * m2, 0)
 
-            def move(y: np.ndarray, along: int, across: int, dr: int = dr, dc: int = dc) -> np.ndarray:
-                return np.roll(y, (-(along * dr - across * dc), -(along * dc + across * dr)), (0, 1))
+    def match(lag: int) -> tuple[np.ndarray, np.ndarray]:
+        y, m, v = (moved(a, lag * dr, lag * dc) for a in (two, m2, v2))
+        return np.clip((mean(one * y) - m1 * m) / np.sqrt(np.maximum(v1 * v, 1e-12)), -1, 1), np.minimum(v1, v)
 
-            def mean(y: np.ndarray, move=move) -> np.ndarray:
-                return sum(move(y, t, 0) for t in range(-half, half + 1)) / (2 * half + 1)
+    return match
 
-            def match(a: np.ndarray, b: np.ndarray, mean=mean) -> np.ndarray:
-                ma, mb = mean(a), mean(b)
-                va, vb = mean(a * a) - ma * ma, mean(b * b) - mb * mb
-                ok = (va > floor) & (vb > floor)
-                return np.where(ok, (mean(a * b) - ma * mb) / np.sqrt(np.where(ok, va * vb, 1)), 0)
 
-            for o in offsets:
-                left, right, beyond = move(x, 0, o), move(x, 0, -o), move(x, 0, 3 * o)
-                still = match(left, right)
-                for lag in [k * s for k in lags for s in (1, -1)]:
-                    c, same = match(left, move(right, lag, 0)), match(left, move(beyond, -lag, 0))
-                    out.append(np.where(c > 0.5, np.maximum(0, (c - np.maximum(still, same)) / 2), 0))
-        return out
+def marker_displacement(cells: DataFrame, grid: GridSpec, first: str, second: str, lags: tuple[int, ...] = LAGS, half: int = 5, floor: float = 0.01, least: float = 0.5, guard: int = 25, tile: int = 128) -> DataFrame:
+    """(r, c, first) of the guarded cells: how much better two standardised markers match across a line once one side is
+    moved along it.
+
+    In four directions, profiles of 2 half + 1 cells on either side are correlated as they are and moved by each lag;
+    half of what a moved correlation over `least` has above the unmoved one is the gain (zero where a variance isn't over
+    `floor`). The larger gain of two pairs of profiles of one side, at the same lag, is taken off, for an oblique pattern
+    without a break gains as well. A cell takes the largest geometric mean of both markers' gains at one lag."""
+    halo = max(map(abs, lags)) + max(abs(o) for p in PROFILES for o in p) + 2 * half + 1
+
+    def gains(x: np.ndarray, step: tuple[int, int]) -> list[np.ndarray]:
+        out = []
+        for pair in PROFILES:
+            match = _profiles(x, step, pair, half)
+            still, _ = match(0)
+            told = [match(lag) for lag in lags]
+            out.append([np.where((v > floor) & (c > least), np.maximum(c - still, 0) / 2, 0) for c, v in told])
+        return [np.maximum(a - np.maximum(b, c), 0) for a, b, c in zip(*out, strict=True)]
 
     def kernel(a: np.ndarray, b: np.ndarray) -> np.ndarray:
         best = np.zeros_like(a)
-        for x, y in zip(gains(a), gains(b), strict=True):
-            best = np.maximum(best, np.sqrt(x * y))
+        for step in LINES:
+            for x, y in zip(gains(a, step), gains(b, step), strict=True):
+                best = np.maximum(best, np.sqrt(x * y))
         return best
 
-    return tiles.tile_apply(cells, grid, [first, second], halo, kernel, tile)
+    return tiles.tile_apply(cells, grid, [first, second], halo, kernel, tile).join(_guarded(cells, grid, guard, [first, second]), ["r", "c"])
+
+
+def unmoved_match(cells: DataFrame, grid: GridSpec, first: str, second: str, half: int = 5, guard: int = 25, tile: int = 128) -> DataFrame:
+    """(r, c, first) of the guarded cells: the control at lag 0, the largest geometric mean over the directions of both
+    markers' unmoved correlations across the line, at least 0."""
+
+    def kernel(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        every = [np.sqrt(np.maximum(_profiles(a, s, PROFILES[0], half)(0)[0], 0) * np.maximum(_profiles(b, s, PROFILES[0], half)(0)[0], 0)) for s in LINES]
+        return np.max(every, axis=0)
+
+    return tiles.tile_apply(cells, grid, [first, second], 2 * half + 3, kernel, tile).join(_guarded(cells, grid, guard, [first, second]), ["r", "c"])

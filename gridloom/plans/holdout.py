@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -20,22 +22,27 @@ def mean_score(folds: DataFrame) -> DataFrame:
 
 
 def gate(candidate: dict, baseline: dict, max_fold_loss: float = 0.01, tolerance: float = 5e-5) -> dict:
-    """Promotion rules on reports of mean_dense_dti, mean_sparse_dti, fold_dense, fold_sparse. Raises ValueError where
-    a mean isn't that of its vector."""
+    """Promotion rules on reports of mean_dense_dti, mean_sparse_dti, fold_dense, fold_sparse; losses are compared after
+    rounding to five digits. Raises ValueError where the bound isn't finite and at least 0, where a vector isn't four
+    finite scores of 0 to 1, and where a mean isn't that of its vector."""
+    if not (math.isfinite(max_fold_loss) and max_fold_loss >= 0):
+        raise ValueError("max_fold_loss must be finite and at least 0")
     for report in (candidate, baseline):
         for kind in ("dense", "sparse"):
-            v = report[f"fold_{kind}"]
-            if not v or abs(sum(v) / len(v) - report[f"mean_{kind}_dti"]) > tolerance:
+            v, mean = list(report[f"fold_{kind}"]), report[f"mean_{kind}_dti"]
+            if len(v) != 4 or not all(math.isfinite(x) and 0 <= x <= 1 for x in v):
+                raise ValueError(f"fold_{kind} is not four finite scores of 0 to 1")
+            if not math.isfinite(mean) or abs(sum(v) / 4 - mean) > tolerance:
                 raise ValueError(f"mean_{kind}_dti is not the mean of fold_{kind}")
-    pairs = list(zip(candidate["fold_sparse"], baseline["fold_sparse"], strict=True))
-    dense = list(zip(candidate["fold_dense"], baseline["fold_dense"], strict=True))
+    change = {k: [a - b for a, b in zip(candidate[f"fold_{k}"], baseline[f"fold_{k}"], strict=True)] for k in ("dense", "sparse")}
+    worst = {k: round(min(v), 5) for k, v in change.items()}
     rules = {
         "dense_mean_improves": candidate["mean_dense_dti"] > baseline["mean_dense_dti"],
         "sparse_mean_improves": candidate["mean_sparse_dti"] > baseline["mean_sparse_dti"],
-        "sparse_wins": sum(a > b for a, b in pairs) >= 3,
-        "no_large_fold_loss": min(a - b for a, b in pairs + dense) >= -max_fold_loss,
+        "sparse_wins": sum(x > 0 for x in change["sparse"]) >= 3,
+        "no_large_fold_loss": min(worst.values()) >= -max_fold_loss,
     }
-    return {"rules": rules, "promoted": all(rules.values())}
+    return {"rules": rules, "promoted": all(rules.values()), "worst_change": worst, "wins": {k: sum(x > 0 for x in v) for k, v in change.items()}}
 
 
 def build(footprint: DataFrame, labels: DataFrame, grid, share: float = 0.2, seed: int = 4242) -> DataFrame:

@@ -688,7 +688,22 @@ def e15_marker_displacement(s, d):
     from gridloom.operators.lineaments import marker_displacement
 
     x = full_q(s, d).withColumn("b", F.col("q") / 10).withColumn("q", F.col("q") / 12)
-    return rounded(marker_displacement(x, GRID, "q", "b", lags=(2, 4), offsets=(2,), tile=48), "q")
+    return rounded(marker_displacement(x, GRID, "q", "b", tile=48), "q")
+
+
+@query()
+def e16_unmoved_match(s, d):
+    from gridloom.operators.lineaments import unmoved_match
+
+    x = full_q(s, d).withColumn("b", F.col("q") / 10).withColumn("q", F.col("q") / 12)
+    return rounded(unmoved_match(x, GRID, "q", "b", tile=48), "q")
+
+
+@query()
+def e14_standardise(s, d):
+    from gridloom.operators.lineaments import standardise
+
+    return rounded(standardise(full_q(s, d).where("(r + c) % 7 > 0"), GRID, "q"), "q")
 
 
 @query()

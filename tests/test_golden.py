@@ -163,6 +163,15 @@ def test_gate():
     assert not gate(report([0.3, 0.3, 0.3, 0.18], [0.11] * 4), base)["rules"]["no_large_fold_loss"]
     with pytest.raises(ValueError):
         gate(report([0.2] * 4, [0.1] * 4) | {"mean_dense_dti": 0.3}, base)
+    old = report([0.31, 0.2, 0.2, 0.2], [0.1] * 4)
+    assert gate(report([0.30, 0.3, 0.3, 0.3], [0.11] * 4), old)["promoted"]  # a loss of 0.01 as rounded
+    assert not gate(report([0.2999, 0.3, 0.3, 0.3], [0.11] * 4), old)["promoted"]
+    for bad in ([0.2] * 3, [0.2] * 5, [0.2, 0.2, 0.2, float("nan")], [1.2, 0.2, 0.2, 0.2], [-0.1, 0.3, 0.3, 0.3]):
+        with pytest.raises(ValueError):
+            gate(report(bad, [0.1] * 4) | {"mean_dense_dti": sum(bad) / len(bad)}, base)
+    for loss in (-0.01, float("inf"), float("nan")):
+        with pytest.raises(ValueError):
+            gate(base, base, max_fold_loss=loss)
 
 
 def test_signflip_and_holm(spark):

@@ -70,36 +70,95 @@ def test_openness(spark):
     assert whole[15, 14] == pytest.approx(90 - math.degrees(math.atan(10)) / 8)
 
 
+def frame_of(spark, **bands):
+    h, w = next(iter(bands.values())).shape
+    names = list(bands)
+    rows = [(r, c, *(float(bands[n][r, c]) for n in names)) for r in range(h) for c in range(w)]
+    return spark.createDataFrame(rows, "r int, c int, " + ", ".join(f"{n} double" for n in names))
+
+
 def test_marker_displacement(spark):
-    """Two textures offset by four cells across a row: the line stands out against the rest and against no offset."""
-    grid = GridSpec(48, 60)
-
-    def texture(shift, rng):
-        t = np.repeat(np.convolve(rng.normal(size=80), np.ones(3) / 3, "same")[None, :], 48, axis=0)
-        out = t[:, 10:70].copy()
-        out[24:] = t[24:, 10 + shift : 70 + shift]
-        return out / out.std()
-
-    def score(shift, tile):
-        rng = np.random.default_rng(3)
-        a, b = texture(shift, rng), texture(shift, rng)
-        df = spark.createDataFrame([(r, c, float(a[r, c]), float(b[r, c])) for r in range(48) for c in range(60)], "r int, c int, a double, b double")
-        out = np.zeros((48, 60))
-        for row in lineaments.marker_displacement(df, grid, "a", "b", tile=tile).collect():
-            out[row.r, row.c] = row.a
-        return out
-
-    # profiles of 11 cells match by chance somewhere among the shifts, so only the contrast tells
-    moved, cut = score(4, 64), score(4, 24)
-    assert np.allclose(moved, cut) and (moved >= 0).all()
-    assert moved[23:25, 20:40].mean() > moved[10, 20:40].mean() + 0.1
-    assert moved[23:25, 20:40].mean() > score(0, 64)[23:25, 20:40].mean() + 0.1
+    """Against the definition, cell by cell with np.corrcoef, far from the borders."""
+    grid, rng = GridSpec(64, 68), np.random.default_rng(3)
+    t = np.repeat(np.convolve(rng.normal(size=90), np.ones(3) / 3, "same")[None, :], 64, axis=0)
+    bands = {}
+    for n in "ab":
+        x = t[:, 10:78] + rng.normal(size=(64, 68)) * 0.05
+        x[32:] = t[32:, 13:81]
+        bands[n] = x / x.std()
+    df = frame_of(spark, **bands)
+
+    def profile(x, r, c, step, off, lag):
+        (dr, dc) = step
+        return np.array([x[r - lag * dr + off * dc + k * dr, c - lag * dc - off * dr + k * dc] for k in range(-5, 6)])
+
+    def corr(x, r, c, step, pair, lag):
+        p, q = profile(x, r, c, step, pair[0], 0), profile(x, r, c, step, pair[1], lag)
+        vp, vq = p.var(), q.var()
+        return np.clip(((p * q).mean() - p.mean() * q.mean()) / np.sqrt(max(vp * vq, 1e-12)), -1, 1), min(vp, vq)
+
+    def want(r, c):
+        best = 0.0
+        for step in ((1, 0), (1, 1), (0, 1), (-1, 1)):
+            for lag in (-3, -2, 2, 3):
+                both = []
+                for n in "ab":
+                    g = []
+                    for pair in ((2, -2), (6, 2), (-2, -6)):
+                        now, v = corr(bands[n], r, c, step, pair, lag)
+                        g.append(max(now - corr(bands[n], r, c, step, pair, 0)[0], 0) / 2 if v > 0.01 and now > 0.5 else 0.0)
+                    both.append(max(g[0] - max(g[1], g[2]), 0))
+                best = max(best, np.sqrt(both[0] * both[1]))
+        return best
+
+    got = {t: {(r.r, r.c): r.a for r in lineaments.marker_displacement(df, grid, "a", "b", tile=t).collect()} for t in (64, 24)}
+    inside = {(r, c) for r in range(25, 39) for c in range(25, 43)}
+    assert got[64].keys() == got[24].keys() == inside
+    for at in inside:
+        assert np.isclose(got[64][at], want(*at), atol=1e-9) and np.isclose(got[24][at], got[64][at])
+    assert max(got[64].values()) > 0.2
+    still = {(r.r, r.c): r.a for r in lineaments.unmoved_match(df, grid, "a", "b", tile=24).collect()}
+    for at in inside:
+        pairs = [max(corr(bands["a"], *at, s, (2, -2), 0)[0], 0) * max(corr(bands["b"], *at, s, (2, -2), 0)[0], 0) for s in ((1, 0), (1, 1), (0, 1), (-1, 1))]
+        assert np.isclose(still[at], np.sqrt(max(pairs)), atol=1e-9)
+
+
+def test_strike_response_by_definition(spark):
+    grid, rng = GridSpec(40, 44), np.random.default_rng(5)
+    x = rng.normal(size=(40, 44)).cumsum(axis=1)
+    gap = rng.random(x.shape) < 0.03
+    rows = [(r, c, float(x[r, c])) for r in range(40) for c in range(44) if not gap[r, c]]
+    got = {(r.r, r.c): r.v for r in lineaments.strike_response(spark.createDataFrame(rows, "r int, c int, v double"), grid, "v", tile=16).collect()}
+    y = np.where(gap, 0, x)
+    wide = np.pad(y, 15, mode="symmetric")
+    box = np.lib.stride_tricks.sliding_window_view(wide, (31, 31))
+    m, q = box.mean((2, 3)), (box**2).mean((2, 3))
+    z = np.clip((y - m) / (np.sqrt(np.maximum(q - m * m, 1e-6)) + 0.25), -3, 6)
+    for r, c in [(20, 20), (0, 0), (39, 43), (7, 30), (33, 4)]:
+        if gap[r, c]:
+            continue
+        best = 0.0
+        for deg in range(0, 180, 30):
+            u, v = np.sin(np.radians(deg)), np.cos(np.radians(deg))
+            at = lambda a, b: z[min(max(r + 8 - round(8 + a), 0), 39), min(max(c + 8 - round(8 + b), 0), 43)]  # noqa: B023, E731
+            line = [np.mean([at(t * u - s * 3 * v, t * v + s * 3 * u) for t in range(-7, 8)]) for s in (0, 1, -1)]
+            best = max(best, line[0] - (line[1] + line[2]) / 2)
+        assert np.isclose(got[r, c], best, atol=1e-6), (r, c)
+    assert len(got) == len(rows)
 
 
 def test_standardise(spark):
     grid = GridSpec(12, 12)
     df = spark.createDataFrame([(r, c, float(r * c)) for r in range(12) for c in range(12) if (r, c) != (5, 5)], "r int, c int, v double")
     rows = lineaments.standardise(df, grid, "v").collect()
-    assert len(rows) == 144 and abs(sum(r.v for r in rows) / 144) < 0.05
+    own = np.array([float(r * c) for r in range(12) for c in range(12) if (r, c) != (5, 5)])
+    lo, hi = np.quantile(own, [0.01, 0.99])
+    z = np.array([[float(r * c) if (r, c) != (5, 5) else 20.0 for c in range(12)] for r in range(12)]).clip(lo, hi)  # filled from (4, 5)
+    z = (z - own.clip(lo, hi).mean()) / own.clip(lo, hi).std()
+    w = np.exp(-0.5 * (np.arange(-3, 4) / 0.8) ** 2)
+    w /= w.sum()
+    wide = np.pad(z, 3, mode="edge")
+    want = sum(w[a] * w[b] * wide[a : a + 12, b : b + 12] for a in range(7) for b in range(7))
+    assert len(rows) == 144 and all(np.isclose(r.v, want[r.r, r.c]) for r in rows)
     flat = lineaments.standardise(df.withColumn("v", F.lit(3.0)), grid, "v").collect()
     assert {r.v for r in flat} == {0.0}

@@ -75,7 +75,7 @@ def test_strike_response_by_tiles(spark):
     assert np.allclose(whole, cut) and (whole >= 0).all()
     line = np.zeros((40, 40))
     line[20] = 1
-    got = array(lineaments.strike_response(frame(spark, line), GridSpec(40, 40), "v", 4, 2), line.shape)
+    got = array(lineaments.strike_response(frame(spark, line), GridSpec(40, 40), "v", 4, 2, box=0), line.shape)
     assert got[20, 20] == pytest.approx(1) and got[10, 10] == 0
 
 
