@@ -50,7 +50,7 @@ def percentile_rank(df: DataFrame, value: str, by: tuple[str, ...] = ()) -> Data
     return df.join(ranked, [*by, value])
 
 
-def quantile_map(df: DataFrame, source: str, target: str, by: str, knots: int = 101) -> DataFrame:
+def quantile_map(df: DataFrame, source: str, target: str, by: str, knots: int = 1001) -> DataFrame:
     """source mapped onto target's distribution within each group: linear between `knots` quantiles of both."""
     at = F.array(*(F.lit(k / (knots - 1)) for k in range(knots)))
     q = df.groupBy(by).agg(F.percentile(source, at).alias("_s"), F.percentile(target, at).alias("_t"))

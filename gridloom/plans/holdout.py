@@ -45,6 +45,25 @@ def gate(candidate: dict, baseline: dict, max_fold_loss: float = 0.01, tolerance
     return {"rules": rules, "promoted": all(rules.values()), "worst_change": worst, "wins": {k: sum(x > 0 for x in v) for k, v in change.items()}}
 
 
+def gate_table(scores: DataFrame, max_fold_loss: float = 0.01) -> DataFrame:
+    """gate() as a plan, for scores (kind: dense or sparse, fold, candidate, baseline) of any number of folds: one row of
+    the rules, the sparse wins and the worst changes, rounded to five digits. A missing score is a worst change of null,
+    which promotes nothing."""
+    d = F.col("candidate") - F.col("baseline")
+    of = lambda kind, x: F.when(F.col("kind") == kind, x)
+    worst = lambda kind: F.when(F.count(of(kind, d)) == F.count(of(kind, F.lit(1))), F.round(F.min(of(kind, d)), 5))
+    improves = lambda kind: F.avg(of(kind, F.col("candidate"))) > F.avg(of(kind, F.col("baseline")))
+    out = scores.agg(
+        improves("dense").alias("dense_mean_improves"),
+        improves("sparse").alias("sparse_mean_improves"),
+        F.sum(of("sparse", (d > 0).cast("long"))).alias("sparse_wins"),
+        worst("dense").alias("worst_dense"),
+        worst("sparse").alias("worst_sparse"),
+    )
+    good = F.col("dense_mean_improves") & F.col("sparse_mean_improves") & (F.col("sparse_wins") >= 3) & (F.least("worst_dense", "worst_sparse") >= -max_fold_loss) & F.col("worst_dense").isNotNull() & F.col("worst_sparse").isNotNull()
+    return out.withColumn("promoted", F.coalesce(good, F.lit(False)))
+
+
 def build(footprint: DataFrame, labels: DataFrame, grid, share: float = 0.2, seed: int = 4242) -> DataFrame:
     """(r, c, cell_id, fold, dense, sparse): quadrant folds of the footprint, all label cells as dense truth, and of
     every fold a seeded `share` of its whole regions as sparse truth."""

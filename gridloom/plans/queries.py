@@ -544,7 +544,7 @@ def e8_fill_nearest(s, d):
 def e9_hessian_lines(s, d):
     from gridloom.operators.lineaments import hessian_lines
 
-    return rounded(hessian_lines(full_q(s, d), cells(s, d), "q", sigmas=(2, 4)), "response")
+    return rounded(hessian_lines(full_q(s, d), cells(s, d), "q"), "response")
 
 
 @query()
@@ -683,6 +683,23 @@ def k10_holdout(s, d):
     return _told(evaluate(x.select("r", "c", "p"), build(x, x.where("part"), GRID)).withColumns({"fn_w": F.lit(0.0), "mass": F.lit(0.0)})).drop("fn_w", "mass")
 
 
+_FOLD_SCORES = """SELECT CAST(l_orderkey % 4 AS INT) AS fold, round(avg(l_discount) * 4, 5) AS dc, round(avg(l_tax) * 5, 5) AS db,
+round(avg(l_discount * l_tax) * 40, 5) AS sc, round(avg(l_tax * l_tax) * 40, 5) AS sb FROM lineitem GROUP BY 1"""
+
+
+@query(
+    f"""WITH f AS ({_FOLD_SCORES}), g AS (SELECT avg(dc) > avg(db) AS dense_mean_improves, avg(sc) > avg(sb) AS sparse_mean_improves,
+    CAST(sum(CASE WHEN sc > sb THEN 1 ELSE 0 END) AS BIGINT) AS sparse_wins, round(min(dc - db), 5) AS worst_dense, round(min(sc - sb), 5) AS worst_sparse FROM f)
+    SELECT *, dense_mean_improves AND sparse_mean_improves AND sparse_wins >= 3 AND worst_dense >= -0.01 AND worst_sparse >= -0.01 AS promoted FROM g"""
+)
+def k11_gate(s, d):
+    from gridloom.plans.holdout import gate_table
+
+    table(s, d, "lineitem").createOrReplaceTempView("_gate_lineitem")
+    f = s.sql(_FOLD_SCORES.replace("FROM lineitem", "FROM _gate_lineitem"))
+    return gate_table(f.select("fold", F.expr("stack(2, 'dense', dc, db, 'sparse', sc, sb) AS (kind, candidate, baseline)")))
+
+
 @query()
 def e15_marker_displacement(s, d):
     from gridloom.operators.lineaments import marker_displacement
@@ -710,7 +727,7 @@ def e14_standardise(s, d):
 def e17_openness(s, d):
     from gridloom.operators.lineaments import openness
 
-    return rounded(openness(full_q(s, d), GRID, "q", (5, 10), tile=48), "q")
+    return rounded(openness(full_q(s, d), GRID, "q", tile=48), "q")
 
 
 # ---- evidence tables ----

@@ -162,3 +162,15 @@ def test_standardise(spark):
     assert len(rows) == 144 and all(np.isclose(r.v, want[r.r, r.c]) for r in rows)
     flat = lineaments.standardise(df.withColumn("v", F.lit(3.0)), grid, "v").collect()
     assert {r.v for r in flat} == {0.0}
+
+
+def test_quantile_map_at_1001_knots(spark):
+    from gridloom.operators.partition import quantile_map
+
+    rng = np.random.default_rng(8)
+    x, y = rng.exponential(size=3000) ** 2, rng.normal(size=3000)
+    df = spark.createDataFrame([(0, k, float(a), float(b)) for k, (a, b) in enumerate(zip(x, y, strict=True))], "g int, k int, x double, y double")
+    at = np.linspace(0, 1, 1001)
+    want = np.interp(x, np.quantile(x, at), np.quantile(y, at))
+    got = {r.k: r.mapped for r in quantile_map(df, "x", "y", "g").collect()}
+    assert all(np.isclose(got[k], want[k]) for k in range(3000))
