@@ -129,14 +129,14 @@ def grow(blob: bytes, n: int) -> np.ndarray:
 
 
 def send_seen(chunk: int, keys: np.ndarray, flags: np.ndarray, marks: np.ndarray | None, buckets: int) -> Iterator[pa.RecordBatch]:
-    """Distinct sorted keys with two flag bits each and, where given, a 32-bit mark."""
+    """Distinct sorted keys with two flag bits each and, where given, a 64-bit mark."""
     own = buckets_of(keys, buckets)
     cuts = np.flatnonzero(np.diff(own)) + 1
     rows = []
     for a, b in zip([0, *cuts.tolist()], [*cuts.tolist(), len(keys)], strict=True):
         if b > a:
             two = np.packbits(np.stack([flags[a:b] & 1, flags[a:b] >> 1], axis=1).astype(np.uint8).ravel()).tobytes()
-            rows.append((int(own[a]), b - a, shrink(keys[a:b]), two, None if marks is None else marks[a:b].astype("<u4").tobytes()))
+            rows.append((int(own[a]), b - a, shrink(keys[a:b]), two, None if marks is None else marks[a:b].astype("<u8").tobytes()))
     yield from _batches(chunk, rows)
 
 
@@ -172,7 +172,7 @@ def seen_round(sent: DataFrame, round_: int, tag: str) -> DataFrame:
         flag = np.maximum.reduceat(flags[order], first, axis=0)
         twice, other = (size > 1) | (flag[:, 1] > 0), flag[:, 0] > 0
         if marked:
-            marks = np.concatenate([np.frombuffer(x, "<u4") for x in table.column("marks").to_pylist()])[order]
+            marks = np.concatenate([np.frombuffer(x, "<u8") for x in table.column("marks").to_pylist()])[order]
             other |= np.minimum.reduceat(marks, first) != np.maximum.reduceat(marks, first)
         out = np.empty((len(keys), 2), np.uint8)
         out[order] = np.repeat(np.stack([twice, other], axis=1).astype(np.uint8), size, axis=0)

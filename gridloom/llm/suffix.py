@@ -130,8 +130,8 @@ def dedup_bytes(docs: DataFrame, depth: int = 100, id_col: str = "doc_id", text_
     def grouped(x: dict):
         """Distinct digits, each sample's one, flags (1: two contexts here, 2: twice here) and a mark of the context."""
         keys, inverse, count = np.unique(x["h"], return_inverse=True, return_counts=True)
-        mark = (x["ctx"] >> np.uint64(32)).astype(np.uint32)
-        low, high = np.full(len(keys), 2**32 - 1, np.uint32), np.zeros(len(keys), np.uint32)
+        mark = x["ctx"]
+        low, high = np.full(len(keys), 2**64 - 1, np.uint64), np.zeros(len(keys), np.uint64)
         np.minimum.at(low, inverse, mark)
         np.maximum.at(high, inverse, mark)
         return keys, inverse, ((low != high) | (count > 1) * np.uint8(2)).astype(np.uint8), low
