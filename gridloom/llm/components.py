@@ -8,18 +8,30 @@ from pyspark.sql import functions as F
 from gridloom.llm.common import materialize
 
 
-def _large_star(edges: DataFrame) -> DataFrame:
+#: A node is a hub if it has more than this share of all edge ends, so there are at most 1 / HUB hubs.
+HUB = 1 / 256
+
+
+def _with_least(rows: DataFrame, least: DataFrame, ends: int) -> DataFrame:
+    """rows (a, b) with m of their a. The rows of hubs stay where they are and meet the hubs, at most 1 / HUB rows, by
+    broadcast; all others are joined by a, so that no task gets a hub's rows."""
+    hub = F.col("n") > ends * HUB
+    hubs = F.broadcast(least.where(hub).select("a", "m"))
+    return rows.join(hubs, "a").unionByName(rows.join(hubs, "a", "left_anti").join(least.where(~hub).select("a", "m"), "a"))
+
+
+def _large_star(edges: DataFrame, n: int) -> DataFrame:
     """Every node links its larger neighbours to its smallest neighbour (itself included)."""
     both = edges.select("a", "b").union(edges.select(F.col("b"), F.col("a")))
-    least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
-    return both.where("b > a").join(least, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
+    least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"), F.count("*").alias("n"))
+    return _with_least(both.where("b > a"), least, 2 * n).where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
 
 
-def _small_star(edges: DataFrame) -> DataFrame:
+def _small_star(edges: DataFrame, n: int) -> DataFrame:
     """Every node links its smaller neighbours and itself to the smallest of them."""
     down = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-    least = down.groupBy("a").agg(F.min("b").alias("m"))
-    linked = down.join(least, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
+    least = down.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n"))
+    linked = _with_least(down, least, n).where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
     return linked.union(least.select("a", F.col("m").alias("b")))
 
 
@@ -35,7 +47,7 @@ def components(edges: DataFrame, tag: str = "components", most: int = 60) -> Dat
         if sums == told or not sums[0]:
             break
         told = sums
-        now = materialize(_small_star(_large_star(now)).distinct(), tag)
+        now = materialize(_small_star(_large_star(now, sums[0]), sums[0]).distinct(), tag)
     else:
         raise RuntimeError(f"no end after {most} rounds")
     pairs = now.select(F.col("a").alias("node"), F.col("b").alias("root"))
