@@ -140,10 +140,12 @@ def i6_second_largest(s, d):
     return cells(s, d).select("cell_id", fx.second_largest(F.col("p"), F.col("q") / 1000.0, F.col("r") / 96.0, F.col("c") / 80.0).alias("second"))
 
 
-@query()
+@query(_FOLD + """, k AS (SELECT fold, quantile_cont(p, {at}) AS s, quantile_cont(CAST(q AS DOUBLE), {at}) AS t FROM fd GROUP BY 1),
+x AS (SELECT cell_id, least(greatest(p, s[1]), s[1001]) AS p, least(greatest(len(list_filter(s, lambda y: y <= p)), 1), 1000) AS i, s, t FROM fd JOIN k USING (fold))
+SELECT cell_id, round(CASE WHEN s[i + 1] = s[i] THEN t[i + 1] ELSE t[i] + (p - s[i]) / (s[i + 1] - s[i]) * (t[i + 1] - t[i]) END, 8) AS mapped FROM x""".format(at=[k / 1000 for k in range(1001)]))
 def i5_quantile_map(s, d):
     x = partition.quadrants(cells(s, d)).withColumn("q", F.col("q").cast("double"))
-    return rounded(partition.quantile_map(x, "p", "q", "fold").select("cell_id", "mapped"), "mapped")
+    return rounded(partition.quantile_map(x, "p", "q", "fold").select("cell_id", "mapped"), "mapped", digits=8)
 
 
 # ---- cell algebra ----
@@ -262,22 +264,50 @@ def e4_minimum_filter(s, d):
     return focal.extreme(full_q(s, d), "q", 5, largest=False)
 
 
-@query()
+def _at(axis: str, size: int, border: str) -> str:
+    """SQL for the cell that a tap k along the axis reads."""
+    x = f"s.{axis} + k"
+    if border == "reflect":
+        return f"CASE WHEN {x} < 0 THEN -1 - ({x}) WHEN {x} > {size - 1} THEN {2 * size - 1} - ({x}) ELSE {x} END"
+    return f"least(greatest({x}, 0), {size - 1})"
+
+
+def _separable(name: str, source: str, taps: tuple[str, str], border: str = "reflect") -> str:
+    """SQL tables for `source` (r, c, v) filtered by taps (k, g) along the columns, then along the rows: `name` (r, c, v)."""
+    return f""", {name}_c AS (SELECT s.r, s.c, sum(x.v * g) AS v FROM spine s, {taps[1]} JOIN {source} x ON true WHERE x.r = s.r AND x.c = {_at("c", W, border)} GROUP BY 1, 2),
+{name} AS (SELECT s.r, s.c, sum(x.v * g) AS v FROM spine s, {taps[0]} JOIN {name}_c x ON true WHERE x.c = s.c AND x.r = {_at("r", H, border)} GROUP BY 1, 2)"""
+
+
+def _bell(name: str, sigma: float, truncate: float = 4.0) -> str:
+    """SQL tables for the taps of a Gaussian: `name` itself, `name`2 its second derivative."""
+    k = int(truncate * sigma + 0.5)
+    return f""", {name}_k AS (SELECT CAST(range AS INT) - {k} AS k, exp(-0.5 * pow((range - {k}) / {float(sigma)}, 2)) AS e FROM range({2 * k + 1})),
+{name} AS (SELECT k, e / sum(e) OVER () AS g FROM {name}_k), {name}2 AS (SELECT k, (k * k / pow({float(sigma)}, 4) - 1 / pow({float(sigma)}, 2)) * g AS g FROM {name})"""
+
+
+_BOX15 = CELLS_SQL + """, box AS (SELECT CAST(range AS INT) - 7 AS k, 1.0 / 15 AS g FROM range(15)), one AS (SELECT r, c, q AS v FROM full_q), two AS (SELECT r, c, q * q AS v FROM full_q)
+""" + _separable("m", "one", ("box", "box")) + _separable("n", "two", ("box", "box"))
+
+
+@query(_BOX15 + "SELECT r, c, round(q - m.v, 6) AS q FROM full_q JOIN m USING (r, c)")
 def e2_local_anomaly(s, d):
     return rounded(focal.local_anomaly(full_q(s, d), "q", H, W, 15), "q")
 
 
-@query()
+@query(_BOX15 + "SELECT r, c, round(least(greatest((q - m.v) / (sqrt(greatest(n.v - m.v * m.v, 1e-6)) + 0.25), -3.0), 6.0), 6) AS q FROM full_q JOIN m USING (r, c) JOIN n USING (r, c)")
 def e3_local_z(s, d):
     return rounded(focal.local_z(full_q(s, d), "q", H, W, 15), "q")
 
 
-@query()
+_ONE = CELLS_SQL + ", one AS (SELECT r, c, q AS v FROM full_q)" + _bell("g", 1.5)
+
+
+@query(_ONE + _separable("b", "one", ("g", "g")) + "SELECT r, c, round(v, 6) AS q FROM b")
 def e5_gaussian(s, d):
     return rounded(focal.gaussian(full_q(s, d), "q", H, W, 1.5), "q")
 
 
-@query()
+@query(_ONE + _separable("b", "one", ("g", "g2"), "nearest") + "SELECT r, c, round(v, 6) AS q FROM b")
 def e6_gaussian_derivative(s, d):
     return rounded(focal.gaussian(full_q(s, d), "q", H, W, 1.5, (0, 2), border="nearest"), "q")
 
@@ -525,7 +555,9 @@ def m5_surface_difference(s, d):
 # ---- composites without an SQL form, and text columns ----
 
 
-@query()
+@query(CELLS_SQL + _bell("g", 5.0, 3.0) + """,
+b AS (SELECT x.r, x.c, coalesce(sum(k.q * u.g * v.g), 0.0) AS v FROM fp x LEFT JOIN (fp k CROSS JOIN g u CROSS JOIN g v) ON k.known AND k.r + u.k = x.r AND k.c + v.k = x.c GROUP BY 1, 2)
+SELECT r, c, round(v / max(v) OVER (), 6) AS v FROM b""")
 def d5_point_field(s, d):
     from gridloom.operators.lineaments import point_field
 
@@ -533,7 +565,10 @@ def d5_point_field(s, d):
     return rounded(point_field(x.where("known").select("r", "c", F.col("q").cast("double").alias("w")), x, GRID), "v")
 
 
-@query()
+@query(CELLS_SQL + """, own AS (SELECT r, c, CAST(q AS DOUBLE) AS v FROM fp WHERE q % 3 > 0), hole AS (SELECT r, c FROM spine ANTI JOIN own USING (r, c)),
+near AS (SELECT s.r, s.c, arg_min(o.v, ((s.r - o.r) * (s.r - o.r) + (s.c - o.c) * (s.c - o.c)) * 10000 + o.r * 80 + o.c) AS v FROM spine s, own o GROUP BY 1, 2),
+inner_ AS (SELECT s.r, s.c, min((s.r - h.r) * (s.r - h.r) + (s.c - h.c) * (s.c - h.c)) > 4 AS interior FROM spine s, hole h GROUP BY 1, 2)
+SELECT r, c, v, interior FROM near JOIN inner_ USING (r, c)""")
 def e8_fill_nearest(s, d):
     from gridloom.operators.lineaments import fill_nearest
 
@@ -568,7 +603,8 @@ def f4_skeleton(s, d):
     return skeleton(focal.dilate(cells(s, d).where("part"), H, W, 1))
 
 
-@query()
+@query(CELLS_SQL + """, d AS (SELECT s.r, s.c, min((s.r - k.r) * (s.r - k.r) + (s.c - k.c) * (s.c - k.c)) AS d FROM fp s, fp k WHERE k.known GROUP BY 1, 2)
+SELECT r, c, round(exp(-d / 32.0) / max(exp(-d / 32.0)) OVER (), 6) AS v FROM d""")
 def l18_transfer_field(s, d):
     from gridloom.operators.lineaments import transfer_field
 
