@@ -34,7 +34,7 @@ class _Chunk:
         each = [np.fromiter(map(_names.__getitem__, w), np.uint64, len(w)) for w in map(bytes.split, raws)]
         self.count = np.array([len(x) for x in each], dtype=np.int64)
         self.doc = np.array([R.NO_ID if i is None else i for i in ids], dtype=np.int64)
-        names = np.concatenate(each)
+        self.names = names = np.concatenate(each)
         del each
         self.start = np.cumsum(self.count) - self.count
         self.pos = np.arange(len(names)) - np.repeat(self.start, self.count)
@@ -67,12 +67,16 @@ class _Chunk:
 
 
 def _windows(c: _Chunk, s: np.ndarray, window: int, block: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Keys and places of the windows that start at s; the two blocks at a window's ends and those between name it."""
+    """Keys and places of the windows that start at s: 64 bits of the two blocks at a window's ends and those between,
+    and 32 bits of all its words by another polynomial, so that a shared block lends nothing to a second clash."""
     a = c.h[s]
     for k in range(block, window - block, block):
         a = R.mix(a * np.uint64(3) + c.h[s + k])
-    k1, k2 = R.pair_keys(a, c.h[s + window - block])
-    return k1, k2, c.doc[c.owner[s]], c.pos[s]
+    k1, _ = R.pair_keys(a, c.h[s + window - block])
+    k2 = np.zeros(len(s), np.uint64)
+    for k in range(window):
+        k2 = k2 * np.uint64(0xD1342543DE82EF95) + c.names[s + k]
+    return k1, R.mix(k2) >> np.uint64(32), c.doc[c.owner[s]], c.pos[s]
 
 
 def dedup_words(docs: DataFrame, window: int = 20, id_col: str = "doc_id", text_col: str = "text", chunk_bytes: int = 2_500_000) -> DataFrame:
