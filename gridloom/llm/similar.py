@@ -324,12 +324,12 @@ def similar_groups(docs: DataFrame, percent: int = 80, width: int = WIDTH, id_co
     links = _verified(tried, nodes, texts, percent, width, "similar-first")
 
     def rooted_by(links: DataFrame, name: str) -> DataFrame:
-        of = components(links, f"similar-{name}").select(F.col("node").alias("fp"), F.col("root").alias("_to"))
+        of = components(links, f"similar-{name}", hubs=False).select(F.col("node").alias("fp"), F.col("root").alias("_to"))
         return nodes.join(of, "fp", "left").select("fp", F.coalesce("_to", "fp").alias(name))
 
     areas = rooted_by(met.select("a", F.col("root").alias("b")).distinct(), "area").join(rooted_by(links, "root"), "fp")
     more = _joined(nodes.join(areas, "fp"), texts, percent, width)
-    found = components(links.union(more), "similar-all").withColumnRenamed("node", "fp")
+    found = components(links.union(more), "similar-all", hubs=False).withColumnRenamed("node", "fp")
     rooted = materialize(nodes.join(found, "fp", "left").select("fp", "first", F.coalesce("root", "fp").alias("root")), "similar-roots")
     least = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
     return own.select("doc_id", "fp").join(rooted.join(least, "root").select("fp", "component_id"), "fp").select("doc_id", "fp", "component_id")

@@ -403,10 +403,11 @@ def test_components(spark):
     assert got == {k: 1 for k in range(1, 41)} | {k: 100 for k in (100, 150, 200)}
 
 
-def test_hubs(spark):
+@pytest.mark.parametrize("split", [True, False])
+def test_hubs(spark, split):
     """Stars about the smallest and about the largest node, beside pairs that are no hubs."""
     edges = [(0, k) for k in range(1, 600)] + [(9000, k) for k in range(1000, 1600)] + [(k, k + 1) for k in range(2000, 2600, 2)]
-    got = {r.node: r.root for r in components.components(spark.createDataFrame(edges, "a long, b long").repartition(8)).collect()}
+    got = {r.node: r.root for r in components.components(spark.createDataFrame(edges, "a long, b long").repartition(8), hubs=split).collect()}
     assert got == {k: 0 for k in range(600)} | {k: 1000 for k in [*range(1000, 1600), 9000]} | {k: k - k % 2 for k in range(2000, 2600)}
 
 
