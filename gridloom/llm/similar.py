@@ -16,7 +16,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridloom.llm.common import as_bytes, materialize, texts_of
+from gridloom.llm.common import as_bytes, materialize, texts_of, trim
 from gridloom.llm.components import components
 from gridloom.llm.rounds import NO_ID
 from gridloom.llm.simhash import _roots, codeword_index
@@ -52,7 +52,7 @@ def shingle_set(words: list[bytes], width: int = WIDTH) -> np.ndarray:
     return np.unique(_mixed(sums + np.uint64(min(width, len(words)))))
 
 
-def sketches(sets: list[np.ndarray], step: int = 32_768) -> np.ndarray:
+def sketches(sets: list[np.ndarray], step: int = 8_192) -> np.ndarray:
     """sets x WORDS: a bit is set where over half the set's hashes (mixed anew for each word) have it."""
     size = np.array([len(s) for s in sets], dtype=np.int64)
     sums = np.zeros((len(sets), 64 * WORDS), np.int32)
@@ -152,7 +152,7 @@ def _meet(nodes: DataFrame, count: int, bucket_rows: int = 200_000) -> DataFrame
         cuts = np.append(np.flatnonzero(np.concatenate([[True], got["key"][1:] != got["key"][:-1]])), len(got))
         at = 0
         while at < len(cuts) - 1:  # some keys at a time
-            end = max(at + 1, int(np.searchsorted(cuts, cuts[at] + 50_000, side="right")) - 1)
+            end = max(at + 1, int(np.searchsorted(cuts, cuts[at] + 16_000, side="right")) - 1)
             own = got[cuts[at] : cuts[end]]
             rows, index = nearby(own["seg"].astype(np.int64))
             key = own["key"][rows].astype(np.int64) << 12 | index
@@ -172,6 +172,8 @@ def _meet(nodes: DataFrame, count: int, bucket_rows: int = 200_000) -> DataFrame
         least = np.full(len(every), len(every))
         np.minimum.at(least, a, b)
         one = least < len(every)
+        del got, out
+        trim()
         return pa.table({"a": every, "b": pa.array(every[np.where(one, least, 0)] if len(every) else every, pa.int64(), mask=~one), "root": every[root]})
 
     return nodes.select("fp", "sketch").mapInArrow(send, "bucket int, blob binary").groupBy("bucket").applyInArrow(match, "a long, b long, root long")
@@ -216,7 +218,7 @@ def _sets(asked: DataFrame, nodes: DataFrame, texts: DataFrame, width: int, tag:
 
     def take(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         marks, sent = shared.value, set()
-        for batch in batches:
+        for batch in (b.slice(a, 500) for b in batches for a in range(0, b.num_rows, 500)):
             fps, grams = [], []
             for i, raw in zip(batch.column(0).to_pylist(), as_bytes(batch.column(1)), strict=True):
                 words = raw.lower().split()
@@ -228,6 +230,7 @@ def _sets(asked: DataFrame, nodes: DataFrame, texts: DataFrame, width: int, tag:
                     fps.append(fp)
                     grams.append(shingle_set(words, width).astype("<u8").tobytes())
             yield pa.RecordBatch.from_arrays([pa.array(fps, pa.int64()), pa.array(grams, pa.binary())], names=["fp", "grams"])
+        trim()
 
     sets = texts.mapInArrow(take, "fp long, grams binary").join(asked.select("fp"), "fp", "left_semi")
     return materialize(sets.groupBy("fp").agg(F.first("grams").alias("grams")), f"{tag}-sets")
@@ -241,9 +244,9 @@ def _verified(pairs: DataFrame, nodes: DataFrame, texts: DataFrame, percent: int
 
     def decide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            x, y = (batch.column(c).to_pylist() for c in (2, 3))
-            good = [alike(np.frombuffer(p, "<u8"), np.frombuffer(q, "<u8"), percent) for p, q in zip(x, y, strict=True)]
+            good = [alike(np.frombuffer(p.as_buffer(), "<u8"), np.frombuffer(q.as_buffer(), "<u8"), percent) for p, q in zip(batch.column(2), batch.column(3), strict=True)]
             yield batch.select(["a", "b"]).filter(pa.array(good, pa.bool_()))
+        trim()
 
     return materialize(both.select("a", "b", "x", "y").mapInArrow(decide, "a long, b long"), f"{tag}-links")
 
@@ -286,7 +289,7 @@ def _joined(nodes: DataFrame, texts: DataFrame, percent: int, width: int, block:
     def compare(t: pa.Table) -> pa.Table:
         own, area, fp, root = (t.column(c).to_numpy() for c in ("own", "area", "fp", "root"))
         sketch = np.frombuffer(b"".join(t.column("sketch").to_pylist()), "<u8").reshape(-1, WORDS)
-        sets = [np.frombuffer(x, "<u8") for x in t.column("grams").to_pylist()]
+        sets = [np.frombuffer(x.as_buffer(), "<u8") for x in t.column("grams")]
         i, j, out = t.column("i")[0].as_py(), t.column("j")[0].as_py(), []
         for k in np.unique(area):
             mine = np.flatnonzero(area == k)
@@ -310,11 +313,11 @@ def similar_groups(docs: DataFrame, percent: int = 80, width: int = WIDTH, id_co
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, raws = batch.column(0), as_bytes(batch.column(1))
-            for a in range(0, len(raws), 500):
-                words = [x.lower().split() for x in raws[a : a + 500]]
+            for a in range(0, batch.num_rows, 500):
+                words = [x.lower().split() for x in as_bytes(batch.column(1).slice(a, 500))]
                 made = sketches([shingle_set(w, width) for w in words])
-                yield pa.RecordBatch.from_arrays([ids.slice(a, 500), pa.array(list(map(_text_print, words)), pa.int64()), pa.array([x.tobytes() for x in made], pa.binary())], names=["doc_id", "fp", "sketch"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, 500), pa.array(list(map(_text_print, words)), pa.int64()), pa.array([x.tobytes() for x in made], pa.binary())], names=["doc_id", "fp", "sketch"])
+        trim()
 
     own = materialize(texts.mapInArrow(scan, "doc_id long, fp long, sketch binary"), "similar-prints")
     nodes = materialize(own.groupBy("fp").agg(F.min("doc_id").alias("first"), F.first("sketch").alias("sketch")), "similar-nodes")
